@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cellsight.llm import bpe
+from cellsight.llm import audio, bpe, packing, token_files
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,5 +15,17 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_bpe": op1_bpe}
+def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.store(table(spark, sf_dir, "documents"))
+
+
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+def op9_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audio.store_and_read(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op1_bpe": op1_bpe, "op6_token_files": op6_token_files, "op7_packing": op7_packing, "op9_audio": op9_audio}
 ORACLES: dict[str, str] = {}
