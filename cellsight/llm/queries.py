@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cellsight.llm import audio, bpe, packing, token_files
+from cellsight.llm import audio, bpe, packing, quality, token_files
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,5 +27,9 @@ def op9_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audio.store_and_read(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op6_token_files": op6_token_files, "op7_packing": op7_packing, "op9_audio": op9_audio}
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.assess(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op1_bpe": op1_bpe, "op6_token_files": op6_token_files, "op7_packing": op7_packing, "op9_audio": op9_audio, "op10_quality": op10_quality}
 ORACLES: dict[str, str] = {}
