@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cellsight.llm import audio, bpe, packing, quality, token_files
+from cellsight.llm import audio, bpe, packing, quality, simhash, token_files
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,6 +15,10 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"))
 
 
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.store(table(spark, sf_dir, "documents"))
 
@@ -31,5 +35,5 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.assess(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op6_token_files": op6_token_files, "op7_packing": op7_packing, "op9_audio": op9_audio, "op10_quality": op10_quality}
+QUERIES = {"op1_bpe": op1_bpe, "op5_simhash": op5_simhash, "op6_token_files": op6_token_files, "op7_packing": op7_packing, "op9_audio": op9_audio, "op10_quality": op10_quality}
 ORACLES: dict[str, str] = {}
