@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cellsight.llm import audio, bpe, packing, quality, simhash, token_files
+from cellsight.llm import audio, bpe, packing, quality, simhash, substring, token_files
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,6 +15,23 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"))
 
 
+def op2_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.remove_repeats(table(spark, sf_dir, "documents")).drop("kept_text")
+
+
+OP2_SQL = r"""
+WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+p AS (SELECT doc_id, unnest(range(1, len(ws) - 11)) AS i, ws FROM w WHERE len(ws) >= 13),
+win AS (SELECT doc_id, i, array_to_string(ws[i:i + 12], ' ') AS k FROM p),
+firsts AS (SELECT k, min(doc_id) AS least FROM win GROUP BY k),
+hit AS (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS j FROM win JOIN firsts USING (k) WHERE least < doc_id),
+gone AS (SELECT doc_id, list(j) AS js FROM hit GROUP BY doc_id)
+SELECT w.doc_id, len(ws)::BIGINT AS n_words, coalesce(len(js), 0)::BIGINT AS n_removed,
+  sha256(array_to_string(CASE WHEN js IS NULL THEN ws ELSE list_filter(ws, lambda x, i: NOT list_contains(js, i)) END, ' ')) AS kept_sha256
+FROM w LEFT JOIN gone USING (doc_id)
+"""
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -35,5 +52,5 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.assess(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op5_simhash": op5_simhash, "op6_token_files": op6_token_files, "op7_packing": op7_packing, "op9_audio": op9_audio, "op10_quality": op10_quality}
-ORACLES: dict[str, str] = {}
+QUERIES = {"op1_bpe": op1_bpe, "op2_substring": op2_substring, "op5_simhash": op5_simhash, "op6_token_files": op6_token_files, "op7_packing": op7_packing, "op9_audio": op9_audio, "op10_quality": op10_quality}
+ORACLES: dict[str, str] = {"op2_substring": OP2_SQL}
