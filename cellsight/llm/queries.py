@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cellsight.llm import audio, bpe, packing, quality, simhash, substring, token_files
+from cellsight.llm import audio, bpe, chat, lines, packing, quality, simhash, substring, token_files
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,6 +32,10 @@ FROM w LEFT JOIN gone USING (doc_id)
 """
 
 
+def op3_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.digests(table(spark, sf_dir, "documents"))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -44,6 +48,10 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.rotate(table(spark, sf_dir, "conversations"))
+
+
 def op9_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audio.store_and_read(table(spark, sf_dir, "documents"))
 
@@ -52,5 +60,5 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.assess(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op2_substring": op2_substring, "op5_simhash": op5_simhash, "op6_token_files": op6_token_files, "op7_packing": op7_packing, "op9_audio": op9_audio, "op10_quality": op10_quality}
-ORACLES: dict[str, str] = {"op2_substring": OP2_SQL}
+QUERIES = {"op1_bpe": op1_bpe, "op2_substring": op2_substring, "op3_lines": op3_lines, "op5_simhash": op5_simhash, "op6_token_files": op6_token_files, "op7_packing": op7_packing, "op8_chat": op8_chat, "op9_audio": op9_audio, "op10_quality": op10_quality}
+ORACLES: dict[str, str] = {"op2_substring": OP2_SQL, "op3_lines": lines.DIGESTS_SQL, "op8_chat": chat.ROTATE_SQL}
