@@ -158,7 +158,18 @@ def references(measured: DataFrame, min_words: int = MIN_WORDS) -> dict[str, tup
     return {r["lang"]: (np.array([r[f"c{i}"] for i in range(len(CLASSES))], float), np.array([r[f"w{i}"] for i in range(len(WORDS))] + [r["n"]], float)) for r in rows}
 
 
-def judge(measured: DataFrame, refs: dict, min_words: int = MIN_WORDS, class_limit: tuple = CLASS_LIMIT, word_limit: tuple = WORD_LIMIT) -> DataFrame:
+def verdict(n_words, n_repeat_words, classes, common, langs, refs, min_words: int = MIN_WORDS, class_limit: tuple = CLASS_LIMIT, word_limit: tuple = WORD_LIMIT):
+    """Base rules failed, kept, not judged by distance, and both distances, for rows of histograms."""
+    failed = base_failed(n_words, n_repeat_words)
+    known = np.array([x is None or x in refs for x in langs], bool)
+    skip = (n_words < min_words) | ~known | (not refs)
+    by_class, by_word = distances(classes, common, n_words, refs)
+    root = np.sqrt(np.maximum(n_words, 1))
+    kept = ~failed & (skip | ((by_class <= class_limit[0] + class_limit[1] / root) & (by_word <= word_limit[0] + word_limit[1] / root)))
+    return failed, kept, skip, by_class, by_word
+
+
+def judge(measured: DataFrame, refs: dict, **limits) -> DataFrame:
     """``doc_id``, base counts, ``base_failed``, ``class_distance``, ``word_distance``, ``kept``.
 
     Distances are null below ``min_words`` words, for a named language without a reference, and if there is no reference at all;
@@ -172,12 +183,7 @@ def judge(measured: DataFrame, refs: dict, min_words: int = MIN_WORDS, class_lim
                 n_words, repeat = col["n_words"].to_numpy(), col["n_repeat_words"].to_numpy()
                 classes = col["classes"].flatten().to_numpy().reshape(-1, len(CLASSES))
                 common = col["common"].flatten().to_numpy().reshape(-1, len(WORDS))
-                failed = base_failed(n_words, repeat)
-                known = np.array([x is None or x in refs for x in col["lang"].to_pylist()], bool)
-                skip = (n_words < min_words) | ~known | (not refs)
-                by_class, by_word = distances(classes, common, n_words, refs)
-                root = np.sqrt(np.maximum(n_words, 1))
-                kept = ~failed & (skip | ((by_class <= class_limit[0] + class_limit[1] / root) & (by_word <= word_limit[0] + word_limit[1] / root)))
+                failed, kept, skip, by_class, by_word = verdict(n_words, repeat, classes, common, col["lang"].to_pylist(), refs, **limits)
                 yield pa.RecordBatch.from_arrays(
                     [*(col[k] for k in ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")), pa.array(failed), pa.array(kept), pa.array(by_class, mask=skip), pa.array(by_word, mask=skip)],
                     names=["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "class_distance", "word_distance"],
@@ -190,3 +196,21 @@ def assess(docs: DataFrame, **limits) -> DataFrame:
     """Base counts and verdict of every document; the text is read once, the histograms are kept in the shared folder."""
     measured = settle(features(docs), "quality")
     return judge(measured, references(measured), **limits)
+
+
+def keep(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang") -> DataFrame:
+    """The rows of ``docs`` (all columns) that the rules keep.
+
+    The references are aggregated in a first pass over the text; the second judges every row for itself, so ids may be
+    null or repeat and no text moves between tasks.
+    """
+    refs = references(features(docs, id_column, text_column, lang_column))
+    columns = docs.columns
+    text_at, lang_at = columns.index(text_column), columns.index(lang_column) if lang_column in columns else None
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        m = measure(batch.column(text_at).cast(pa.string()))
+        langs = batch.column(lang_at).to_pylist() if lang_at is not None else [None] * batch.num_rows
+        return batch.filter(pa.array(verdict(m["n_words"], m["n_repeat_words"], m["classes"], m["common"], langs, refs)[1]))
+
+    return map_arrow(docs, run, docs.schema, text_column)

@@ -198,6 +198,10 @@ def near_duplicates(docs: DataFrame, size: int = 3, bits: int = 3, id_column: st
 
 
 def keep_one(docs: DataFrame, size: int = 3, bits: int = 3, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose id is the least of their component (all columns kept)."""
-    kept = near_duplicates(docs, size, bits, id_column, text_column).where("doc_id = component_id").select(F.col("doc_id").alias("__kept")).distinct()
-    return docs.join(kept, docs[id_column].cast("long") == F.col("__kept"), "left_semi")
+    """The rows of ``docs`` whose id is the least of their component (all columns kept).
+
+    Rows that repeat an id are the same document and stay or go together; rows without an id stay if one of them is in a
+    component without ids.
+    """
+    kept = near_duplicates(docs, size, bits, id_column, text_column).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__kept")).distinct()
+    return docs.join(kept, docs[id_column].cast("long").eqNullSafe(F.col("__kept")), "left_semi")
