@@ -1,10 +1,9 @@
-"""Every registered query with its SQL counterpart."""
+"""Every registered query of the engine with its SQL counterpart; names follow the operators they show."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from cellsight.plans import queries_attribution, queries_models, queries_tables
 
-
-def FLAGSHIP(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/orders.parquet")
+QUERIES = queries_tables.QUERIES | queries_attribution.QUERIES | queries_models.QUERIES
+ORACLES: dict[str, str] = queries_tables.ORACLES | queries_attribution.ORACLES
+FLAGSHIP = queries_attribution.feature_assembly
