@@ -12,9 +12,9 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 import unicodedata
 from functools import lru_cache
-from os.path import commonprefix
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +32,11 @@ ENDLESS = 1 << 40
 #: The pattern that splits text into words before the merges.
 WORD_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
+#: The same for texts of ASCII, Latin letters and some punctuation alone, where the faster engine's classes are plain ranges.
+LATIN = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017f"
+PLAIN_PATTERN = re.compile(rf"'(?:[stmd]|re|ve|ll)| ?[{LATIN}]+| ?[0-9]+| ?[^\s{LATIN}0-9]+|\s+(?!\S)|\s+")
+BEYOND_PLAIN = re.compile(f"[^\t-\r -~\u00a1\u00ab\u00bb\u00bf{LATIN}\u2013\u2014\u2018-\u201d\u2026]")
+
 
 def byte_alphabet() -> dict[str, int]:
     """Printable stand-ins of the 256 bytes: printable Latin-1 stands for itself, the others follow from U+0100."""
@@ -157,7 +162,9 @@ class TrieEncoder:
         before = b""
         for raw, word in todo:
             n = len(raw)
-            depth = len(commonprefix((before, raw)))
+            depth = min(n, len(before))
+            differ = int.from_bytes(before[:depth]) ^ int.from_bytes(raw[:depth])
+            depth -= (differ.bit_length() + 7) >> 3
             del states[depth:], suffixes[depth + 1 :]
             at = suffixes[-1]
             for byte in raw[depth:]:
@@ -189,14 +196,11 @@ class TrieEncoder:
 
     def words(self, text: str) -> list[str]:
         """The words of a text without special tokens. Characters that Unicode left unassigned are the library's to judge."""
-        try:
-            text.encode("latin-1")
-        except UnicodeEncodeError:
-            if self._odd is None:
-                self._odd = unassigned()
-            if self._odd.search(text):
-                return self._library_words(text)
-        return self.pattern.findall(text)
+        if BEYOND_PLAIN.search(text) is None:
+            return PLAIN_PATTERN.findall(text)
+        if self._odd is None:
+            self._odd = unassigned()
+        return self._library_words(text) if self._odd.search(text) else self.pattern.findall(text)
 
     def _library_words(self, text: str) -> list[str]:
         if self._library is None:

@@ -17,6 +17,7 @@ from __future__ import annotations
 import os
 import uuid
 import zlib
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -35,7 +36,7 @@ RANK_BLOCK = 512
 #: Ids in a file at most, but for one longer document.
 FILE_IDS = 4 << 20
 #: Bounds of one generation of the cache of encoded words, and of the length of a word kept there.
-MAX_WORDS = 200_000
+MAX_WORDS = 300_000
 LONG_WORD = 64
 
 
@@ -158,7 +159,7 @@ class WordEncoder:
         for i in range(0, len(missing), 20_000):
             part = missing[i : i + 20_000]
             for w, e in zip(part, self.library.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)):
-                here[w] = ids = np.array(e.ids, "<u4").tobytes()
+                here[w] = ids = array("I", e.ids).tobytes()
                 if len(w) <= LONG_WORD:
                     fresh[w] = ids
         return [b"".join(map(here.__getitem__, parts)) for parts in found]
