@@ -7,6 +7,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from cellsight.functions import as_column as _c
 
@@ -31,7 +32,7 @@ def outermost(text) -> Column:
     return F.when(obj, F.regexp_extract(t, r"(?s)(\{.*\})", 1)).when(bracket > 0, F.regexp_extract(t, r"(?s)(\[.*\])", 1))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def first_fragment(texts: pd.Series) -> pd.Series:
     """The first balanced object or array, by counting brackets outside strings (for answers with text on both sides)."""
     token = re.compile(r'"(?:\\.|[^"\\])*"|[{}\[\]]')
