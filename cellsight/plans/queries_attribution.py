@@ -32,6 +32,11 @@ def r6(*names: str):
     return [F.round(n, 6).alias(n) for n in names]
 
 
+def with_nulls(df: DataFrame, *names: str) -> DataFrame:
+    """Columns that hold nulls as doubles: a table of another engine may not have integers with nulls."""
+    return df.withColumns({n: F.col(n).cast("double") for n in names})
+
+
 def order_cells(spark, sf_dir) -> DataFrame:
     return C.unpivot(X.orders(spark, sf_dir), ORDER_COLUMNS, masks=ORDER_MASKS)
 
@@ -63,10 +68,10 @@ def error_hist(spark, sf_dir):
 
 @query(f"""WITH {CELLS}, {STATS}, v AS (SELECT DISTINCT col_name, value FROM cells WHERE mask = 0 AND value IS NOT NULL AND lower(trim(value)) NOT IN ('nan', 'none', ''))
 SELECT row_idx, c.col_name, CASE WHEN x IS NOT NULL THEN (x BETWEEN p5 AND p95)::INT ELSE (v.value IS NOT NULL)::INT END AS h1_plausible,
-  CASE WHEN x IS NULL THEN (v.value IS NOT NULL)::INT END AS h1_in_vocab, CASE WHEN x IS NOT NULL THEN (x BETWEEN p5 AND p95)::INT END AS h1_in_range
+  CASE WHEN x IS NULL THEN (v.value IS NOT NULL)::INT END::DOUBLE AS h1_in_vocab, CASE WHEN x IS NOT NULL THEN (x BETWEEN p5 AND p95)::INT END::DOUBLE AS h1_in_range
 FROM cells c CROSS JOIN stats LEFT JOIN v ON c.col_name = v.col_name AND c.value = v.value WHERE mask <> 0""")
 def h1_plausibility(spark, sf_dir):
-    return H.h1_plausibility(order_cells(spark, sf_dir))
+    return with_nulls(H.h1_plausibility(order_cells(spark, sf_dir)), "h1_in_vocab", "h1_in_range")
 
 
 _H2 = f"""WITH {CELLS}, v AS (SELECT col_name, value AS entry, count(*) AS n, min(row_idx) AS f FROM cells WHERE mask = 0 AND value IS NOT NULL AND value <> '' GROUP BY 1, 2),
@@ -152,10 +157,10 @@ k AS (SELECT *, n / (sum(n) OVER (PARTITION BY col_name))::DOUBLE AS share, row_
 
 
 @query(f"""{_ALL} SELECT row_idx, c.col_name, round((x - m) / sd, 6) AS dist_z_score, round(abs((x - m) / sd), 6) AS dist_abs_z, round((x - lo) / (hi - lo), 6) AS dist_percentile_approx, round(share, 6) AS dist_value_freq,
-  (rk = 0)::INT AS dist_is_majority, rk::BIGINT AS dist_freq_rank, round(1 / u::DOUBLE, 6) AS dist_n_unique_ratio
+  (rk = 0)::INT::DOUBLE AS dist_is_majority, rk::DOUBLE AS dist_freq_rank, round(1 / u::DOUBLE, 6) AS dist_n_unique_ratio
 FROM cells c CROSS JOIN s LEFT JOIN k ON c.col_name = k.col_name AND lower(trim(c.value)) = k.k WHERE mask <> 0""")
 def fingerprint_distribution(spark, sf_dir):
-    d = fingerprint.distribution(order_cells(spark, sf_dir))
+    d = with_nulls(fingerprint.distribution(order_cells(spark, sf_dir)), "dist_is_majority", "dist_freq_rank")
     return d.select("row_idx", "col_name", *r6("dist_z_score", "dist_abs_z", "dist_percentile_approx", "dist_value_freq"), "dist_is_majority", "dist_freq_rank", *r6("dist_n_unique_ratio"))
 
 
@@ -163,10 +168,10 @@ def fingerprint_distribution(spark, sf_dir):
 SELECT row_idx, c.col_name, (lower(trim(coalesce(value, ''))) IN ('unknown', 'n/a', 'na', '—', '-', '?', 'none', 'null', 'nan', 'not available', 'not specified', 'other', 'unspecified'))::INT AS str_is_obfuscation,
   round(CASE WHEN value IS NULL OR length(value) <= 2 THEN 0.0 ELSE least(1.0, 0.3 * len(list_filter(range(1, length(value) - 1), lambda i: lower(value)[i] = lower(value)[i + 2]))) END, 6)::DOUBLE AS str_typo_score,
   round(CASE WHEN value IS NULL THEN 0.0 ELSE abs(length(value) - md) / (md + 1) END, 6)::DOUBLE AS str_len_anomaly,
-  CASE WHEN value IS NOT NULL THEN regexp_matches(value, '\\d')::INT END AS str_has_digits, CASE WHEN value IS NOT NULL THEN regexp_matches(value, '[^\\w\\s\\-.]')::INT END AS str_has_special
+  CASE WHEN value IS NOT NULL THEN regexp_matches(value, '\\d')::INT END::DOUBLE AS str_has_digits, CASE WHEN value IS NOT NULL THEN regexp_matches(value, '[^\\w\\s\\-.]')::INT END::DOUBLE AS str_has_special
 FROM cells c LEFT JOIN m USING (col_name) WHERE mask <> 0""")
 def fingerprint_string(spark, sf_dir):
-    return fingerprint.strings(order_cells(spark, sf_dir)).select("row_idx", "col_name", "str_is_obfuscation", *r6("str_typo_score", "str_len_anomaly"), "str_has_digits", "str_has_special")
+    return with_nulls(fingerprint.strings(order_cells(spark, sf_dir)), "str_has_digits", "str_has_special").select("row_idx", "col_name", "str_is_obfuscation", *r6("str_typo_score", "str_len_anomaly"), "str_has_digits", "str_has_special")
 
 
 @query()

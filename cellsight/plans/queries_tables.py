@@ -403,11 +403,11 @@ def llm_resume(spark, sf_dir):
     return D.pending(chunks, done)
 
 
-@query("""SELECT event_id, (CASE event_id % 6 WHEN 0 THEN 1 WHEN 1 THEN -1 WHEN 2 THEN 1 WHEN 3 THEN -1 WHEN 4 THEN 1 END)::INT AS decision FROM events""")
+@query("""SELECT event_id, (CASE event_id % 6 WHEN 0 THEN 1 WHEN 1 THEN -1 WHEN 2 THEN 1 WHEN 3 THEN -1 WHEN 4 THEN 1 END)::DOUBLE AS decision FROM events""")
 def llm_single_decision(spark, sf_dir):
     k = F.col("event_id") % 6
     raw = F.when(k == 0, "1").when(k == 1, '{"decision": -1}').when(k == 2, '<think>is it -1?</think>```json {"intent": 1}```').when(k == 3, '{"0": "-1"}').when(k == 4, '[1, -1]').otherwise("no idea")
-    return X.table(spark, sf_dir, "events").select("event_id", D.single_decision(raw).alias("decision"))
+    return X.table(spark, sf_dir, "events").select("event_id", D.single_decision(raw).cast("double").alias("decision"))
 
 
 # values and names ------------------------------------------------------------------------------
