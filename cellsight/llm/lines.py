@@ -29,7 +29,7 @@ def _key(line: Column) -> Column:
 
 
 def boilerplate(docs: DataFrame, host: Column, text_column: str = "text", percent: int = PERCENT, min_pages: int = MIN_PAGES) -> DataFrame:
-    """``host, keys``: the boilerplate lines of every host that has some.
+    """``__site, __keys``: the boilerplate lines of every host that has some.
 
     A page counts a line once, and counts are aggregated before the shuffle, so neither a hot host nor a hot line gathers
     rows. With distinct lines of L a page, a host has at most 100 * L / percent such lines.
@@ -39,7 +39,7 @@ def boilerplate(docs: DataFrame, host: Column, text_column: str = "text", percen
     counts = lines.select("host", _key(F.col("line")).alias("key")).groupBy("host", "key").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)
     totals = pages.groupBy("host").agg(F.count("*").alias("pages")).withColumnRenamed("host", "site")
     over = counts.join(totals, F.col("host").eqNullSafe(F.col("site"))).where(100 * F.col("n") > percent * F.col("pages"))
-    return settle(over.groupBy("host").agg(F.collect_list("key").alias("keys")).withColumnRenamed("host", "site"), "boilerplate")
+    return settle(over.groupBy("host").agg(F.collect_list("key").alias("keys")).withColumnRenamed("host", "__site").withColumnRenamed("keys", "__keys"), "boilerplate")
 
 
 def drop_lines(docs: DataFrame, host: Column | None = None, text_column: str = "text", percent: int = PERCENT, min_pages: int = MIN_PAGES) -> DataFrame:
@@ -50,10 +50,10 @@ def drop_lines(docs: DataFrame, host: Column | None = None, text_column: str = "
     """
     host = docs["source"] if host is None else host
     found = boilerplate(docs, host, text_column, percent, min_pages)
-    joined = docs.withColumn("__host", host.cast("string")).join(found, F.col("__host").eqNullSafe(F.col("site")), "left")
+    joined = docs.withColumn("__host", host.cast("string")).join(found, F.col("__host").eqNullSafe(F.col("__site")), "left")
     lines = F.split(F.col(text_column), "\n")
-    bad = lambda line: line.rlike(HAS_WORD) & F.array_contains(F.col("keys"), _key(line))
-    kept = F.when(F.col("keys").isNull(), lines).otherwise(F.filter(lines, lambda line: ~bad(line)))
+    bad = lambda line: line.rlike(HAS_WORD) & F.array_contains(F.col("__keys"), _key(line))
+    kept = F.when(F.col("__keys").isNull(), lines).otherwise(F.filter(lines, lambda line: ~bad(line)))
     out = joined.withColumn("__kept", kept)
     return out.select(
         *[F.array_join("__kept", "\n").alias(c) if c == text_column else F.col(c) for c in docs.columns],

@@ -16,7 +16,7 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring.remove_repeats(table(spark, sf_dir, "documents")).drop("kept_text")
+    return substring.remove_repeats(table(spark, sf_dir, "documents"), with_text=False)
 
 
 OP2_SQL = r"""

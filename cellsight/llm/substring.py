@@ -18,7 +18,7 @@ from __future__ import annotations
 
 import gc
 import hashlib
-from functools import reduce
+from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +31,7 @@ WINDOW = 13
 GRAM = 5
 FAN_OUT = 2
 #: Rounds in which the query feeds the index, each with a range of ids of equal width.
-BATCHES = 3
+BATCHES = 2
 SECOND_SEED, SECOND_BASE = 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9
 
 
@@ -92,8 +92,8 @@ def _windows_of(batch: pa.RecordBatch) -> pa.RecordBatch:
     )
 
 
-def _kept_of(batch: pa.RecordBatch) -> pa.RecordBatch:
-    """Counts, the joined remaining words and which words are removed, from the places of repeated windows."""
+def _kept_of(batch: pa.RecordBatch, with_text: bool = True) -> pa.RecordBatch:
+    """Counts and the joined remaining words (or their digest alone), from the places of repeated windows."""
     raw, offsets = byte_view(batch.column(1))
     starts, ends, first = word_spans(raw, offsets)
     lists = batch.column(2).fill_null([]) if batch.column(2).null_count else batch.column(2)
@@ -113,8 +113,10 @@ def _kept_of(batch: pa.RecordBatch) -> pa.RecordBatch:
         else:
             text = b" ".join(data[offsets[i] : offsets[i + 1]].split())
         digests.append(hashlib.sha256(text).hexdigest())
-        texts.append(text.decode())
-    return pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_words.astype(np.int64)), pa.array(n_removed, pa.int64()), pa.array(digests, pa.string()), pa.array(texts, pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text"])
+        if with_text:
+            texts.append(text.decode())
+    columns = [batch.column(0), pa.array(n_words.astype(np.int64)), pa.array(n_removed, pa.int64()), pa.array(digests, pa.string())] + [pa.array(texts, pa.string())] * with_text
+    return pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_words", "n_removed", "kept_sha256"] + ["kept_text"] * with_text)
 
 
 def release(spark: SparkSession) -> None:
@@ -145,7 +147,7 @@ class FingerprintIndex:
         p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
 
     ANCHORS = "anchor long, least long, shared boolean"
-    WINDOWS = "fp long, check long, least long"
+    WINDOWS = "fp long, check long, least long"  # a run may have more columns
 
     @staticmethod
     def merge_anchors(rows: DataFrame) -> DataFrame:
@@ -187,17 +189,20 @@ class FingerprintIndex:
         self._drop(postings_path)
         self.sources.append(batch)
         texts = reduce(DataFrame.union, [s.select("doc_id", "text") for s in self.sources]) if targets is not None else batch.select("doc_id", "text")
-        asked = texts.join(self._read(wanted_path, "doc_id long, anchors array<long>"), "doc_id").select("doc_id", "text", "anchors")
+        asked = texts.join(self._read(wanted_path, "doc_id long, anchors array<long>").hint("shuffle_hash"), "doc_id").select("doc_id", "text", "anchors")
         windows_path = self._write(map_arrow(asked, _windows_of, "fp long, check long, doc_id long, place int"), "windows")
         release(self.spark)
         self._drop(wanted_path)
         windows = self._read(windows_path, "fp long, check long, doc_id long, place int")
-        firsts = self._write(windows.groupBy("fp", "check").agg(F.min("doc_id").alias("least")).sortWithinPartitions("fp"), "firsts")
+        # one aggregation verifies the batch and compacts its windows with the runs before
+        rows = windows.select("fp", "check", F.col("doc_id").alias("least"), F.col("doc_id").alias("most"))
+        past_windows = self._history(self.window_runs, self.WINDOWS)
+        if past_windows is not None:
+            rows = rows.union(past_windows.select("fp", "check", "least", F.col("least").alias("most")))
+        known_schema = self.WINDOWS + ", most long"
+        firsts = self._write(rows.groupBy("fp", "check").agg(F.min("least").alias("least"), F.max("most").alias("most")).sortWithinPartitions("fp"), "firsts")
         release(self.spark)
-        known = self._history([*self.window_runs, firsts], self.WINDOWS)
-        if self.window_runs:
-            merged = self._write(known.groupBy("fp", "check").agg(F.min("least").alias("least")).sortWithinPartitions("fp"), "merged")
-            known = self._read(merged, self.WINDOWS)
+        known = self._read(firsts, known_schema).where("least < most").drop("most")
         low = batch.agg(F.min("doc_id")).first()[0]
         verified = windows.where(F.col("doc_id") >= F.lit(low)) if low is not None else windows
         repeats = verified.join(known, ["fp", "check"]).where("least < doc_id").select("doc_id", "place")
@@ -206,14 +211,17 @@ class FingerprintIndex:
         self._drop(windows_path)
         self._drop(live_path)
         self.anchor_runs.append(run)
-        if self.window_runs:  # the merge that verified this batch is the compaction of the window runs
-            for p in [*self.window_runs, firsts]:
-                self._drop(p)
-            self.window_runs = [merged]
-        else:
-            self.window_runs = [firsts]
+        for p in self.window_runs:
+            self._drop(p)
+        self.window_runs = [firsts]
         return self._read(out_path, "doc_id long, place int")
 
+    def close(self) -> None:
+        """Remove the index; what ``ingest`` returned stays."""
+        for p in [*self.anchor_runs, *self.window_runs]:
+            self._drop(p)
+        self.anchor_runs, self.window_runs = [], []
+
     def compact(self, force: bool = False) -> None:
         """Merge the runs of anchors into one once there are ``fan_out`` of them."""
         if len(self.anchor_runs) < (2 if force else self.fan_out):
@@ -226,8 +234,8 @@ class FingerprintIndex:
         release(self.spark)
 
 
-def remove_repeats(docs: DataFrame, batches: int = BATCHES, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """``doc_id, n_words, n_removed, kept_sha256, kept_text`` of every row.
+def remove_repeats(docs: DataFrame, batches: int = BATCHES, id_column: str = "doc_id", text_column: str = "text", with_text: bool = True) -> DataFrame:
+    """``doc_id, n_words, n_removed, kept_sha256`` and, unless told otherwise, ``kept_text`` of every row.
 
     The index is fed with ``batches`` ranges of ids. Null texts have no words; rows with a null id lose none; rows that
     share an id are one document (windows they share are no repeats); texts under 13 words lose none.
@@ -242,8 +250,9 @@ def remove_repeats(docs: DataFrame, batches: int = BATCHES, id_column: str = "do
             found.append(index.ingest(frame.where((F.col("doc_id") >= a) & (F.col("doc_id") < b))))
             if k + 2 < len(cuts):
                 index.compact()
+    index.close()
     schema = "doc_id long, place int"
     places = reduce(DataFrame.union, found) if found else spark.createDataFrame([], schema)
     lists = places.groupBy("doc_id").agg(F.collect_list("place").alias("places"))
-    joined = frame.join(lists, "doc_id", "left").select("doc_id", "text", "places")
-    return map_arrow(joined, _kept_of, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
+    joined = frame.join(lists.hint("shuffle_hash"), "doc_id", "left").select("doc_id", "text", "places")
+    return map_arrow(joined, partial(_kept_of, with_text=with_text), "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text)
