@@ -5,6 +5,7 @@ import os
 import pytest
 
 import __spark_entry__ as entry
+from cellsight.plans import catalogue
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -28,9 +29,9 @@ def frame(df, columns):
     return df.astype(str).replace({"<NA>": "nan", "None": "nan"}).sort_values(columns).reset_index(drop=True)
 
 
-@pytest.mark.parametrize("name", sorted(entry.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(catalogue.ORACLES))
 def test_query_equals_sql(spark, duck, name):
-    want, got = duck.sql(entry.oracle_sql()[name]).df(), entry.queries()[name](spark, SF).toPandas()
+    want, got = duck.sql(catalogue.ORACLES[name]).df(), catalogue.QUERIES[name](spark, SF).toPandas()
     columns = sorted(want.columns)
     assert sorted(got.columns) == columns
     a, b = frame(want, columns), frame(got, columns)
