@@ -136,9 +136,26 @@ class WordEncoder:
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
+        special = sorted(i for i, t in self.library.get_added_tokens_decoder().items() if t.special and not (t.single_word or t.lstrip or t.rstrip))
+        self.mark_id = special[0] if special else None
+        self.mark = self.library.id_to_token(special[0]) if special else None
         self.fresh: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
 
+    def _encode_pieces(self, pieces: list[str]) -> list[bytes]:
+        """Packed ids of each piece. Many pieces go to the library as one text with a special token between them, which cuts it as the start of a text does."""
+        if self.mark is None or any(self.mark in p for p in pieces):
+            return [array("I", e.ids).tobytes() for e in self.library.encode_batch_fast(pieces, add_special_tokens=False)]
+        out = []
+        for i in range(0, len(pieces), 20_000):
+            part = pieces[i : i + 20_000]
+            ids = np.array(self.library.encode_batch_fast([self.mark.join(part)], add_special_tokens=False)[0].ids, np.uint32)
+            cuts = np.flatnonzero(ids == self.mark_id)
+            begins, ends = np.append(0, cuts + 1) * 4, np.append(cuts, len(ids)) * 4
+            raw = ids.astype("<u4").tobytes()
+            out += [raw[a:b] for a, b in zip(begins.tolist(), ends.tolist())]
+        return out
+
     def encode_packed(self, texts: list[str]) -> list[bytes]:
         found = [t.encode().split() for t in texts]
         need = set()
@@ -156,12 +173,10 @@ class WordEncoder:
                     continue
                 fresh[w] = ids
             here[w] = ids
-        for i in range(0, len(missing), 20_000):
-            part = missing[i : i + 20_000]
-            for w, e in zip(part, self.library.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)):
-                here[w] = ids = array("I", e.ids).tobytes()
-                if len(w) <= LONG_WORD:
-                    fresh[w] = ids
+        for w, ids in zip(missing, self._encode_pieces([w.decode() for w in missing])):
+            here[w] = ids
+            if len(w) <= LONG_WORD:
+                fresh[w] = ids
         return [b"".join(map(here.__getitem__, parts)) for parts in found]
 
 
