@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cellsight.llm.common import bound_batches, map_arrow, settle, texts_of
+from cellsight.llm.common import bound_batches, byte_view, map_arrow, mix, settle, texts_of, window_hashes, word_hashes, word_spans
 from cellsight.llm.components import components
 
 #: Members of an anchor's group above which its home members are dealt out to several tasks.
@@ -205,3 +205,73 @@ def keep_one(docs: DataFrame, size: int = 3, bits: int = 3, id_column: str = "do
     """
     kept = near_duplicates(docs, size, bits, id_column, text_column).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__kept")).distinct()
     return docs.join(kept, docs[id_column].cast("long").eqNullSafe(F.col("__kept")), "left_semi")
+
+
+# copies at a lower similarity -------------------------------------------------------
+
+#: Sampled fingerprints of a document, shingles in each, and shingle hashes kept to verify.
+SAMPLES, SAMPLE_SIZE, SKETCH = 16, 4, 128
+
+
+def sketches(docs: DataFrame, size: int = 5, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """``doc_id, sketch, keys``: the least hashes of the distinct shingles, and fingerprints of small samples of them.
+
+    A sample is the shingles that come first under one of sixteen fixed orders. At a similarity of 0.8 two documents have the
+    same four with a chance of about 0.4, so one of sixteen samples is the same almost surely. Rows without words or id drop out.
+    """
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        ids, sketch, keys = [], [], []
+        for d, text in zip(batch.column(0).to_pylist(), texts_of(batch.column(1))):
+            lower = pa.array([text.encode().lower().decode()])
+            raw, offsets = byte_view(lower)
+            starts, ends, _ = word_spans(raw, offsets)
+            if d is None or not len(starts):
+                continue
+            words = word_hashes(raw, starts, ends)
+            h = np.unique(window_hashes(words, min(size, len(words))))
+            own = []
+            for s in range(SAMPLES):
+                order = mix(h ^ mix(np.array([s + 1], np.uint64)))
+                first = np.sort(np.partition(order, SAMPLE_SIZE - 1)[:SAMPLE_SIZE]) if len(h) > SAMPLE_SIZE else np.sort(order)
+                own.append(int(window_hashes(first, len(first))[0].astype(np.int64)))
+            ids.append(d)
+            sketch.append(h[:SKETCH].tobytes())
+            keys.append(own)
+        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sketch, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "sketch", "keys"])
+
+    frame = docs.select(docs[id_column].cast("long").alias("doc_id"), docs[text_column].cast("string").alias("text"))
+    return map_arrow(frame, run, "doc_id long, sketch binary, keys array<long>")
+
+
+def similarity_of(a: bytes, b: bytes) -> float:
+    """Jaccard similarity of two shingle sets from their sketches: exact if both are whole, else over the least hashes of the union."""
+    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+    union = np.union1d(x, y)
+    if len(x) == SKETCH or len(y) == SKETCH:
+        union = union[:SKETCH]
+    both = np.intersect1d(x, y, assume_unique=True)
+    return int(np.isin(union, both, assume_unique=True).sum()) / len(union)
+
+
+def keep_dissimilar(docs: DataFrame, size: int = 5, similarity: float = 0.8, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """The rows of ``docs`` (all columns) without those similar to one that stays: one document of each component of links.
+
+    Documents that share a sample's fingerprint are compared with the least and the greatest id among them, so a group of any
+    size gives two pairs for each member. Rows without an id or without words stay.
+    """
+    made = settle(sketches(docs, size, id_column, text_column), "sketches")
+    rows = made.select("doc_id", F.posexplode("keys").alias("sample", "key"))
+    ends = settle(rows.groupBy("sample", "key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high"), "ends")
+    pairs = rows.join(ends, ["sample", "key"]).select("doc_id", F.explode(F.array("low", "high")).alias("other")).where("doc_id <> other")
+    pairs = settle(pairs.select(F.greatest("doc_id", "other").alias("a"), F.least("doc_id", "other").alias("b")).distinct(), "pairs")
+    one = made.groupBy("doc_id").agg(F.first("sketch").alias("sketch"))  # rows that repeat an id
+    left, right = one.withColumnsRenamed({"doc_id": "a", "sketch": "x"}), one.withColumnsRenamed({"doc_id": "b", "sketch": "y"})
+
+    def verify(batch: pa.RecordBatch) -> pa.RecordBatch:
+        near = [similarity_of(x, y) >= similarity for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
+        return batch.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
+
+    edges = map_arrow(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y"), verify, "a long, b long", "x")
+    gone = settle(components(edges).where("node <> root").select(F.col("node").alias("__gone")).distinct(), "gone")
+    return docs.join(gone, docs[id_column].cast("long") == F.col("__gone"), "left_anti")

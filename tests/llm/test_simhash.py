@@ -102,3 +102,38 @@ def test_components_on_hub_and_chain(spark):
     got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert all(got[i] == 0 for i in range(40)) and all(got[100 + i] == 100 for i in range(31))
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_similar_documents(spark):
+    rng = random.Random(7)
+    base = [[f"w{rng.randint(0, 5000)}" for _ in range(rng.randint(60, 400))] for _ in range(60)]
+    rows, far = [(k, " ".join(w)) for k, w in enumerate(base)], 1000
+    copies = []
+    for k, w in enumerate(base[:40]):
+        for _ in range(2):
+            c = list(w)
+            for i in rng.sample(range(len(c)), max(1, len(c) // 120)):
+                c[i] = f"n{rng.randint(0, 10**6)}"
+            rows.append((far, " ".join(c).upper()))
+            copies.append((k, far))
+            far += 1
+    half = [(far + k, " ".join(w[: len(w) // 2] + [f"z{k}x{i}" for i in range(len(w) // 2)])) for k, w in enumerate(base[40:])]
+    rows += half + [(5000, None), (5001, ""), (None, rows[0][1]), (5002, "a b"), (5003, "A  b")]
+
+    def jaccard(a, b):
+        s = [{tuple(x.lower().split()[i : i + 5]) for i in range(len(x.split()) - 4)} for x in (a, b)]
+        return len(s[0] & s[1]) / len(s[0] | s[1])
+
+    text = dict(r for r in rows if r[0] is not None)
+    close = [(a, b) for a, b in copies if jaccard(text[a], text[b]) >= 0.85]
+    assert len(close) > 40
+    df = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, a int")
+    got = {r["doc_id"] for r in simhash.keep_dissimilar(df).collect()}
+    assert set(range(60)) <= got and {k for k, _ in half} <= got and {5000, 5001, None, 5002} <= got
+    assert 5003 not in got and not {b for _, b in close} & got
+    assert simhash.keep_dissimilar(df.limit(0)).count() == 0
+
+
+def test_similarity_of_sketches():
+    x, y = np.arange(0, 100, dtype=np.uint64), np.arange(10, 110, dtype=np.uint64)
+    assert simhash.similarity_of(x.tobytes(), y.tobytes()) == 90 / 110
