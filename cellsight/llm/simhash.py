@@ -210,7 +210,7 @@ def keep_one(docs: DataFrame, size: int = 3, bits: int = 3, id_column: str = "do
 # copies at a lower similarity -------------------------------------------------------
 
 #: Sampled fingerprints of a document, shingles in each, and shingle hashes kept to verify.
-SAMPLES, SAMPLE_SIZE, SKETCH = 16, 4, 128
+SAMPLES, SAMPLE_SIZE, SKETCH = 16, 4, 256
 
 
 def sketches(docs: DataFrame, size: int = 5, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
