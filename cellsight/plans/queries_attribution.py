@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cellsight.functions import numbers as N
 from cellsight.operators import cells as C
-from cellsight.operators import detect, fingerprint, rules
+from cellsight.operators import detect, fingerprint, records, rules
 from cellsight.operators import heuristics as H
 from cellsight.operators import reference_values as R
 from cellsight.operators import suspicion
@@ -299,3 +299,46 @@ def suspicion_summary(spark, sf_dir):
     from cellsight.operators.metrics import suspicion_summary as summary
 
     return summary(_suspicion(spark, sf_dir)).select("col_name", *r6("mean"), "high", "n_over", *r6("pct_over"))
+
+
+# records ----------------------------------------------------------------------------------
+
+
+@query(f"""WITH {_PAIRS}, c AS (SELECT col_name, o FROM p WHERE mask = 0), t AS (SELECT col_name, count(*) AS t FROM c GROUP BY 1), v AS (SELECT DISTINCT col_name, n FROM p WHERE mask <> 0),
+b AS (SELECT v.col_name, v.n, count(c.o) AS k FROM v LEFT JOIN c ON v.col_name = c.col_name AND c.o < v.n GROUP BY 1, 2)
+SELECT row_idx, col_name, round(k / t::DOUBLE, 6) AS below FROM p JOIN b USING (col_name, n) JOIN t USING (col_name) WHERE mask <> 0""")
+def strict_percentile(spark, sf_dir):
+    p = line_pairs(spark, sf_dir)
+    asked, clean = p.where("mask <> 0").select("row_idx", "col_name", F.col("new").alias("x")), p.where("mask = 0").select("row_idx", "col_name", F.col("old").alias("x"))
+    return records.strict_percentile(asked, clean).select("row_idx", "col_name", *r6("below"))
+
+
+@query(f"""WITH {_PAIRS} SELECT row_idx AS variant_record_id, floor(row_idx / 3)::BIGINT AS original_record_id, row_idx % 3 AS variant_idx, col_name AS feature_name, round(abs(n - o), 6) AS change_magnitude, sign(n - o)::DOUBLE AS change_direction,
+  round(ln(1 + abs(n - o)), 6) AS log_magnitude, round((n - o) / (o + 1e-10), 5) AS relative_change, mask AS intent_label FROM p WHERE mask <> 0""")
+def change_records(spark, sf_dir):
+    text = line_pairs(spark, sf_dir).withColumns({"old": F.col("old").cast("string"), "new": F.col("new").cast("string")})
+    r = records.change_records(text)
+    return r.select("variant_record_id", "original_record_id", "variant_idx", "feature_name", *r6("change_magnitude"), "change_direction", *r6("log_magnitude"), F.round("relative_change", 5).alias("relative_change"), "intent_label")
+
+
+@query("""WITH e AS (SELECT event_type, avg(value) AS f FROM events GROUP BY 1), b AS (SELECT 'low' AS baseline, 10.0::DOUBLE AS f UNION ALL SELECT 'mid', 20.0 UNION ALL SELECT 'high', 40.0),
+x AS (SELECT event_type AS method, e.f AS f1, baseline, abs(e.f - b.f) AS gap, row_number() OVER (PARTITION BY event_type ORDER BY abs(e.f - b.f), baseline) AS i FROM e CROSS JOIN b)
+SELECT method, round(f1, 6) AS f1, baseline, round(gap, 6) AS gap FROM x WHERE i = 1""")
+def closest_baseline(spark, sf_dir):
+    e = X.table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("method")).agg(F.avg("value").alias("f1"))
+    b = spark.createDataFrame([("low", 10.0), ("mid", 20.0), ("high", 40.0)], "method string, f1 double")
+    return records.closest_baseline(e, b).select("method", *r6("f1"), "baseline", *r6("gap"))
+
+
+@query("""WITH a AS (SELECT DISTINCT o_custkey AS k FROM orders), b AS (SELECT DISTINCT c_custkey AS k FROM customer) SELECT 'union' AS name, (SELECT count(*) FROM (SELECT k FROM a UNION SELECT k FROM b)) AS n
+UNION ALL SELECT 'both', (SELECT count(*) FROM a WHERE k IN (SELECT k FROM b)) UNION ALL SELECT 'left_only', (SELECT count(*) FROM a WHERE k NOT IN (SELECT k FROM b)) UNION ALL SELECT 'right_only', (SELECT count(*) FROM b WHERE k NOT IN (SELECT k FROM a))""")
+def key_sets(spark, sf_dir):
+    a, b = X.table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("k")), X.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"))
+    return records.key_sets(a, b, "k")
+
+
+@query("SELECT event_type AS part, event_id AS left_position, event_id AS right_position FROM events WHERE event_id % 3 <> 0")
+def aligned_rows(spark, sf_dir):
+    """Two thirds of each group's rows find their partners again."""
+    e = X.table(spark, sf_dir, "events").select(F.col("event_type").alias("part"), F.col("event_id").alias("position"), F.col("event_id").alias("key"))
+    return records.align(e.where("position % 3 <> 0"), e)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cellsight.operators import cells as C
-from cellsight.operators import cluster, detect
+from cellsight.operators import cluster, detect, records
 from cellsight.operators import heuristics as H
 from cellsight.operators import models as M
 from cellsight.operators.storage import settled
@@ -153,3 +153,13 @@ def model_attribution(spark, sf_dir):
     """Decisions of the stub scorer for every flagged order cell, -1 where it gives none."""
     cells = C.errors(order_cells(spark, sf_dir))
     return scenario.model_attribution(cells)
+
+
+@query
+def diverse_records(spark, sf_dir):
+    return records.diverse_records(vectors(spark, sf_dir), 10)
+
+
+@query
+def learned_suspicion(spark, sf_dir):
+    return records.learned_suspicion(order_cells(spark, sf_dir), ORDER_COLUMNS)
