@@ -9,7 +9,7 @@ anchors, so there is one for about five windows.
 The index holds sorted immutable runs. A run of anchors has one row for each
 anchor hash, with the least id that has it and whether a second one does. A
 new batch's anchors are aggregated to a run, merge-joined with the runs before,
-and only windows of repeated anchors are looked at: their 128-bit fingerprints
+and only windows of repeated anchors are looked at: their 96-bit fingerprints
 are verified against a run of windows, each with the least id where it starts.
 When runs of a kind reach the fan-out they are compacted into one.
 """
@@ -31,7 +31,7 @@ WINDOW = 13
 GRAM = 5
 FAN_OUT = 2
 #: Rounds in which the query feeds the index, each with a range of ids of equal width.
-BATCHES = 2
+BATCHES = 3
 SECOND_SEED, SECOND_BASE = 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9
 
 
@@ -87,7 +87,7 @@ def _windows_of(batch: pa.RecordBatch) -> pa.RecordBatch:
     second = window_hashes(word_hashes(raw, starts, ends, SECOND_SEED), WINDOW, SECOND_BASE)
     begin = at[pick]
     return pa.RecordBatch.from_arrays(
-        [pa.array(window_hashes(words, WINDOW)[begin].astype(np.int64)), pa.array(second[begin].astype(np.int64)), pa.array(ids[doc[pick]]), pa.array((begin - first[:-1][doc[pick]]).astype(np.int32))],
+        [pa.array(window_hashes(words, WINDOW)[begin].astype(np.int64)), pa.array((second[begin] >> np.uint64(32)).astype(np.uint32).view(np.int32)), pa.array(ids[doc[pick]]), pa.array((begin - first[:-1][doc[pick]]).astype(np.int32))],
         names=["fp", "check", "doc_id", "place"],
     )
 
@@ -147,7 +147,7 @@ class FingerprintIndex:
         p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
 
     ANCHORS = "anchor long, least long, shared boolean"
-    WINDOWS = "fp long, check long, least long"  # a run may have more columns
+    WINDOWS = "fp long, check int, least long"  # a run may have more columns
 
     @staticmethod
     def merge_anchors(rows: DataFrame) -> DataFrame:
@@ -190,10 +190,10 @@ class FingerprintIndex:
         self.sources.append(batch)
         texts = reduce(DataFrame.union, [s.select("doc_id", "text") for s in self.sources]) if targets is not None else batch.select("doc_id", "text")
         asked = texts.join(self._read(wanted_path, "doc_id long, anchors array<long>").hint("shuffle_hash"), "doc_id").select("doc_id", "text", "anchors")
-        windows_path = self._write(map_arrow(asked, _windows_of, "fp long, check long, doc_id long, place int"), "windows")
+        windows_path = self._write(map_arrow(asked, _windows_of, "fp long, check int, doc_id long, place int"), "windows")
         release(self.spark)
         self._drop(wanted_path)
-        windows = self._read(windows_path, "fp long, check long, doc_id long, place int")
+        windows = self._read(windows_path, "fp long, check int, doc_id long, place int")
         # one aggregation verifies the batch and compacts its windows with the runs before
         rows = windows.select("fp", "check", F.col("doc_id").alias("least"), F.col("doc_id").alias("most"))
         past_windows = self._history(self.window_runs, self.WINDOWS)
