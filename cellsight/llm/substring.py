@@ -201,6 +201,9 @@ class FingerprintIndex:
             rows = rows.union(past_windows.select("fp", "check", "least", F.col("least").alias("most")))
         known_schema = self.WINDOWS + ", most long"
         firsts = self._write(rows.groupBy("fp", "check").agg(F.min("least").alias("least"), F.max("most").alias("most")).sortWithinPartitions("fp"), "firsts")
+        for p in self.window_runs:
+            self._drop(p)
+        self.window_runs = [firsts]
         release(self.spark)
         known = self._read(firsts, known_schema).where("least < most").drop("most")
         low = batch.agg(F.min("doc_id")).first()[0]
@@ -211,9 +214,6 @@ class FingerprintIndex:
         self._drop(windows_path)
         self._drop(live_path)
         self.anchor_runs.append(run)
-        for p in self.window_runs:
-            self._drop(p)
-        self.window_runs = [firsts]
         return self._read(out_path, "doc_id long, place int")
 
     def close(self) -> None:
