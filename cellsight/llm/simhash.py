@@ -211,37 +211,51 @@ def keep_one(docs: DataFrame, size: int = 3, bits: int = 3, id_column: str = "do
 
 #: Sampled fingerprints of a document, shingles in each, and shingle hashes kept to verify.
 SAMPLES, SAMPLE_SIZE, SKETCH = 16, 4, 256
+#: Documents at home in one comparison and their shingles at most; documents that pass by in one task.
+HOME_DOCS, HOME_SHINGLES, PASSING = 256, 1 << 21, 4096
 
 
-def sketches(docs: DataFrame, size: int = 5, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """``doc_id, sketch, keys``: the least hashes of the distinct shingles, and fingerprints of small samples of them.
+def shingles(text: str, size: int) -> np.ndarray:
+    """Sorted hashes of the distinct shingles of a text; a text of fewer words is one shingle, one without words has none."""
+    raw, offsets = byte_view(pa.array([text.encode().lower().decode()]))
+    starts, ends, _ = word_spans(raw, offsets)
+    return np.unique(window_hashes(word_hashes(raw, starts, ends), min(size, len(starts)))) if len(starts) else np.zeros(0, np.uint64)
+
+
+def samples(docs: DataFrame, size: int = 5) -> DataFrame:
+    """``doc_id, n_shingles, keys`` of ``doc_id, text``: fingerprints of small samples of the distinct shingles.
 
     A sample is the shingles that come first under one of sixteen fixed orders. At a similarity of 0.8 two documents have the
     same four with a chance of about 0.4, so one of sixteen samples is the same almost surely. Rows without words or id drop out.
     """
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        ids, sketch, keys = [], [], []
+        ids, counts, keys = [], [], []
         for d, text in zip(batch.column(0).to_pylist(), texts_of(batch.column(1))):
-            lower = pa.array([text.encode().lower().decode()])
-            raw, offsets = byte_view(lower)
-            starts, ends, _ = word_spans(raw, offsets)
-            if d is None or not len(starts):
+            h = shingles(text, size)
+            if d is None or not len(h):
                 continue
-            words = word_hashes(raw, starts, ends)
-            h = np.unique(window_hashes(words, min(size, len(words))))
             own = []
             for s in range(SAMPLES):
                 order = mix(h ^ mix(np.array([s + 1], np.uint64)))
                 first = np.sort(np.partition(order, SAMPLE_SIZE - 1)[:SAMPLE_SIZE]) if len(h) > SAMPLE_SIZE else np.sort(order)
                 own.append(int(window_hashes(first, len(first))[0].astype(np.int64)))
             ids.append(d)
-            sketch.append(h[:SKETCH].tobytes())
+            counts.append(len(h))
             keys.append(own)
-        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sketch, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "sketch", "keys"])
+        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(counts, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "keys"])
 
-    frame = docs.select(docs[id_column].cast("long").alias("doc_id"), docs[text_column].cast("string").alias("text"))
-    return map_arrow(frame, run, "doc_id long, sketch binary, keys array<long>")
+    return map_arrow(docs, run, "doc_id long, n_shingles long, keys array<long>")
+
+
+def sketches(docs: DataFrame, size: int = 5) -> DataFrame:
+    """``doc_id, sketch`` of ``doc_id, text``: the least hashes of the distinct shingles."""
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        found = [shingles(t, size)[:SKETCH].tobytes() for t in texts_of(batch.column(1))]
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["doc_id", "sketch"])
+
+    return map_arrow(docs, run, "doc_id long, sketch binary")
 
 
 def similarity_of(a: bytes, b: bytes) -> float:
@@ -254,24 +268,112 @@ def similarity_of(a: bytes, b: bytes) -> float:
     return int(np.isin(union, both, assume_unique=True).sum()) / len(union)
 
 
+class Homes:
+    """The documents at home in one comparison. Links are given only where they join two parts."""
+
+    def __init__(self, similarity: float):
+        self.similarity, self.ids, self.labels, self.sets, self.active = similarity, [], [], [], []
+
+    def add(self, doc: int, label: int, shingle_set: bytes, compared: bool) -> None:
+        if compared:
+            self.active.append(len(self.ids))
+        self.ids.append(doc)
+        self.labels.append(label)
+        self.sets.append(shingle_set)
+
+    def close(self) -> list[tuple[int, int]]:
+        """No more come home: links among them."""
+        self.ids, self.labels = np.array(self.ids, np.int64), np.array(self.labels, np.int64)
+        return [e for k in self.active for e in self.meet(self.ids[k], self.labels[k], self.sets[k])]
+
+    def near(self, shingle_set: bytes) -> np.ndarray:
+        return np.array([similarity_of(shingle_set, s) >= self.similarity for s in self.sets], bool)
+
+    def meet(self, doc: int, label: int, shingle_set: bytes) -> list[tuple[int, int]]:
+        """Links of one document with parts of those at home that it does not belong to yet."""
+        if not len(self.ids):
+            return []
+        hit = np.flatnonzero(self.near(shingle_set) & (self.labels != label))
+        parts, first = np.unique(self.labels[hit], return_index=True)
+        out = [(int(doc), int(self.ids[k])) for k in hit[first]]
+        if out:
+            self.labels[np.isin(self.labels, parts)] = label
+        return out
+
+
+def similar_links(members: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """``a, b``: links at ``similarity`` between members of a group, of which one at least is at home.
+
+    ``members`` has ``g, doc_id, n_shingles, label, home``. Every document at home meets every member once, whatever the group's
+    size: those at home are dealt out in one direction, all members in the other, and a task holds what is at home in
+    its cell while the others pass by. Documents of equal labels are known to be connected.
+    """
+    bound_batches(members.sparkSession)
+    n_home = F.sum(F.col("home").cast("long"))
+    words = F.sum(F.when(F.col("home"), F.col("n_shingles")).otherwise(F.lit(0).cast("long")))
+    load = members.groupBy("g").agg(F.ceil(F.greatest(n_home / HOME_DOCS, words / HOME_SHINGLES)).cast("int").alias("across"), F.ceil(F.count("*") / PASSING).cast("int").alias("down")).where("across > 0")
+    load = settle(load, "loads")
+    own_x, own_y = F.pmod(F.xxhash64("doc_id"), F.col("across")).cast("int"), F.pmod(F.xxhash64("doc_id", F.lit(1)), F.col("down")).cast("int")
+    cell = lambda x, y, role: F.struct(x.alias("x"), y.alias("y"), role.cast("int").alias("role"))
+    # 2: at home and compared, 1: at home only, 0: passing
+    passing = F.transform(F.sequence(F.lit(0), F.col("across") - 1), lambda x: cell(x, own_y, F.when(F.col("home") & (x == own_x), 2).otherwise(0)))
+    staying = F.transform(F.filter(F.sequence(F.lit(0), F.col("down") - 1), lambda y: F.col("home") & (y != own_y)), lambda y: cell(own_x, y, F.lit(1)))
+    rows = members.join(load, "g").select("g", "doc_id", "label", F.explode(F.concat(passing, staying)).alias("c")).select("g", "c.*", "doc_id", "label")
+    rows = rows.join(sets, "doc_id").select("g", "x", "y", "role", "doc_id", "label", "sketch")
+
+    def compare(batches):
+        key = homes = None
+        open_ = False
+        for batch in batches:
+            out = []
+            for g, x, y, role, doc, label, found in zip(*(c.to_pylist() for c in batch.columns)):
+                if (g, x, y) != key:
+                    if open_:
+                        out += homes.close()
+                    key, homes, open_ = (g, x, y), Homes(similarity), True
+                if role:
+                    homes.add(doc, label, found, role == 2)
+                    continue
+                if open_:
+                    out += homes.close()
+                    open_ = False
+                out += homes.meet(doc, label, found)
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array([e[k] for e in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
+        if open_:
+            out = homes.close()
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array([e[k] for e in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    dealt = rows.repartition("g", "x", "y").sortWithinPartitions("g", "x", "y", F.desc("role"))
+    return dealt.mapInArrow(compare, "a long, b long")
+
+
 def keep_dissimilar(docs: DataFrame, size: int = 5, similarity: float = 0.8, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """The rows of ``docs`` (all columns) without those similar to one that stays: one document of each component of links.
 
-    Documents that share a sample's fingerprint are compared with the least and the greatest id among them, so a group of any
-    size gives two pairs for each member. Rows without an id or without words stay.
+    Documents that share a sample's fingerprint form a group; groups of the same members are one. All members are compared first
+    with the one that is in the most and largest groups. Those still apart from the largest part of a group are then compared
+    with all its members, so every pair of a group is either compared or known to be connected. Rows without an id or without
+    words stay.
     """
-    made = settle(sketches(docs, size, id_column, text_column), "sketches")
-    rows = made.select("doc_id", F.posexplode("keys").alias("sample", "key"))
-    ends = settle(rows.groupBy("sample", "key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high"), "ends")
-    pairs = rows.join(ends, ["sample", "key"]).select("doc_id", F.explode(F.array("low", "high")).alias("other")).where("doc_id <> other")
-    pairs = settle(pairs.select(F.greatest("doc_id", "other").alias("a"), F.least("doc_id", "other").alias("b")).distinct(), "pairs")
-    one = made.groupBy("doc_id").agg(F.first("sketch").alias("sketch"))  # rows that repeat an id
-    left, right = one.withColumnsRenamed({"doc_id": "a", "sketch": "x"}), one.withColumnsRenamed({"doc_id": "b", "sketch": "y"})
-
-    def verify(batch: pa.RecordBatch) -> pa.RecordBatch:
-        near = [similarity_of(x, y) >= similarity for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
-        return batch.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
-
-    edges = map_arrow(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y"), verify, "a long, b long", "x")
-    gone = settle(components(edges).where("node <> root").select(F.col("node").alias("__gone")).distinct(), "gone")
+    frame = docs.select(docs[id_column].cast("long").alias("doc_id"), docs[text_column].cast("string").alias("text"))
+    made = settle(samples(frame, size), "samples")
+    rows = made.select("doc_id", "n_shingles", F.posexplode("keys").alias("sample", "key"))
+    ends = rows.groupBy("sample", "key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("n"), F.bit_xor(F.xxhash64("doc_id")).alias("all")).where("low < high")
+    ends = settle(ends.select("sample", "key", F.xxhash64("low", "high", "n", "all").alias("g")), "groups")
+    members = settle(rows.join(ends, ["sample", "key"]).groupBy("g", "doc_id").agg(F.max("n_shingles").alias("n_shingles")), "members")
+    found = sketches(frame.join(members.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "text"), size)
+    sets = settle(found.groupBy("doc_id").agg(F.min("sketch").alias("sketch")), "sets")  # rows that repeat an id
+
+    score = members.join(members.groupBy("g").agg(F.count("*").alias("n")), "g").groupBy("doc_id").agg(F.sum("n").alias("score"))
+    hubs = settle(members.join(score, "doc_id").groupBy("g").agg(F.max_by("doc_id", F.struct("score", "doc_id")).alias("hub")), "hubs")
+    spokes = members.join(hubs, "g").select("g", "doc_id", "n_shingles", F.col("doc_id").alias("label"), (F.col("doc_id") == F.col("hub")).alias("home"))
+    edges = settle(similar_links(settle(spokes, "spokes"), sets, similarity), "links")
+    known = settle(components(edges), "known")
+    labelled = settle(members.join(known, F.col("doc_id") == F.col("node"), "left").select("g", "doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("label")), "labelled")
+    largest = labelled.groupBy("g", "label").agg(F.count("*").alias("n")).groupBy("g").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.count("*").alias("parts")).where("parts > 1")
+    apart = labelled.join(largest, "g").select("g", "doc_id", "n_shingles", "label", (F.col("label") != F.col("main")).alias("home"))
+    more = settle(similar_links(settle(apart, "apart"), sets, similarity), "links")
+    gone = settle(components(edges.union(more)).where("node <> root").select(F.col("node").alias("__gone")).distinct(), "gone")
     return docs.join(gone, docs[id_column].cast("long") == F.col("__gone"), "left_anti")

@@ -137,3 +137,29 @@ def test_similar_documents(spark):
 def test_similarity_of_sketches():
     x, y = np.arange(0, 100, dtype=np.uint64), np.arange(10, 110, dtype=np.uint64)
     assert simhash.similarity_of(x.tobytes(), y.tobytes()) == 90 / 110
+
+
+def edited_copies(rng, n, words=200, edits=4):
+    """An original and copies with edits at places of their own, so copies are less like each other than like the original."""
+    base = [f"w{rng.randint(0, 10**6)}" for _ in range(words)]
+    out = []
+    for _ in range(n):
+        c = list(base)
+        for i in rng.sample(range(3, words - 3), edits):
+            c[i] = f"n{rng.randint(0, 10**9)}"
+        out.append(" ".join(c))
+    return " ".join(base), out
+
+
+def test_similar_documents_around_an_original_in_the_middle(spark, monkeypatch):
+    for name, value in (("HOME_DOCS", 8), ("PASSING", 32)):  # groups are dealt out in both directions
+        monkeypatch.setattr(simhash, name, value, raising=False)
+    original, copies = edited_copies(random.Random(3), 100)
+    ids = [*range(50), *range(51, 101)]
+    df = spark.createDataFrame([(50, original), *zip(ids, copies)], "doc_id long, text string")
+    assert [r["doc_id"] for r in simhash.keep_dissimilar(df).collect()] == [0]
+    # without the hub's help every pair of a group still meets once
+    sets = simhash.sketches(df)
+    members = df.selectExpr("0L as g", "doc_id", "200L as n_shingles", "doc_id as label", "true as home")
+    linked = {r["node"]: r["root"] for r in components(simhash.similar_links(members, sets, 0.8)).collect()}
+    assert linked == dict.fromkeys(range(101), 0)
