@@ -209,8 +209,8 @@ def keep_one(docs: DataFrame, size: int = 3, bits: int = 3, id_column: str = "do
 
 # copies at a lower similarity -------------------------------------------------------
 
-#: Sampled fingerprints of a document, shingles in each, and shingle hashes kept to verify.
-SAMPLES, SAMPLE_SIZE, SKETCH = 16, 4, 256
+#: Sampled fingerprints of a document, and shingles in each.
+SAMPLES, SAMPLE_SIZE = 16, 4
 #: Documents at home in one comparison and their shingles at most; documents that pass by in one task.
 HOME_DOCS, HOME_SHINGLES, PASSING = 256, 1 << 21, 4096
 
@@ -248,28 +248,25 @@ def samples(docs: DataFrame, size: int = 5) -> DataFrame:
     return map_arrow(docs, run, "doc_id long, n_shingles long, keys array<long>")
 
 
-def sketches(docs: DataFrame, size: int = 5) -> DataFrame:
-    """``doc_id, sketch`` of ``doc_id, text``: the least hashes of the distinct shingles."""
+def shingle_sets(docs: DataFrame, size: int = 5) -> DataFrame:
+    """``doc_id, shingles`` of ``doc_id, text``: the sorted hashes of all distinct shingles."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = [shingles(t, size)[:SKETCH].tobytes() for t in texts_of(batch.column(1))]
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["doc_id", "sketch"])
+        found = [shingles(t, size).tobytes() for t in texts_of(batch.column(1))]
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["doc_id", "shingles"])
 
-    return map_arrow(docs, run, "doc_id long, sketch binary")
+    return map_arrow(docs, run, "doc_id long, shingles binary")
 
 
 def similarity_of(a: bytes, b: bytes) -> float:
-    """Jaccard similarity of two shingle sets from their sketches: exact if both are whole, else over the least hashes of the union."""
+    """Jaccard similarity of two shingle sets."""
     x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
-    union = np.union1d(x, y)
-    if len(x) == SKETCH or len(y) == SKETCH:
-        union = union[:SKETCH]
-    both = np.intersect1d(x, y, assume_unique=True)
-    return int(np.isin(union, both, assume_unique=True).sum()) / len(union)
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both / (len(x) + len(y) - both)
 
 
 class Homes:
-    """The documents at home in one comparison. Links are given only where they join two parts."""
+    """The documents at home in one comparison, as postings of their shingles. Links are given only where they join two parts."""
 
     def __init__(self, similarity: float):
         self.similarity, self.ids, self.labels, self.sets, self.active = similarity, [], [], [], []
@@ -284,10 +281,24 @@ class Homes:
     def close(self) -> list[tuple[int, int]]:
         """No more come home: links among them."""
         self.ids, self.labels = np.array(self.ids, np.int64), np.array(self.labels, np.int64)
+        found = [np.frombuffer(x, np.uint64) for x in self.sets]
+        self.sizes = np.array([len(x) for x in found], np.int64)
+        every = np.concatenate(found) if found else np.zeros(0, np.uint64)
+        order = np.argsort(every, kind="stable")
+        self.owners = np.repeat(np.arange(len(found), dtype=np.int32), self.sizes)[order]
+        self.hashes, begins = np.unique(every[order], return_index=True)
+        self.begins = np.append(begins, len(every))
         return [e for k in self.active for e in self.meet(self.ids[k], self.labels[k], self.sets[k])]
 
     def near(self, shingle_set: bytes) -> np.ndarray:
-        return np.array([similarity_of(shingle_set, s) >= self.similarity for s in self.sets], bool)
+        """Which of those at home have a Jaccard similarity to these shingles that reaches the limit."""
+        x = np.frombuffer(shingle_set, np.uint64)
+        at = np.minimum(np.searchsorted(self.hashes, x), len(self.hashes) - 1)
+        at = at[self.hashes[at] == x]
+        count = self.begins[at + 1] - self.begins[at]
+        posting = np.repeat(self.begins[at] - (np.cumsum(count) - count), count) + np.arange(count.sum())
+        both = np.bincount(self.owners[posting], minlength=len(self.ids))
+        return both / (self.sizes + len(x) - both) >= self.similarity
 
     def meet(self, doc: int, label: int, shingle_set: bytes) -> list[tuple[int, int]]:
         """Links of one document with parts of those at home that it does not belong to yet."""
@@ -319,7 +330,7 @@ def similar_links(members: DataFrame, sets: DataFrame, similarity: float) -> Dat
     passing = F.transform(F.sequence(F.lit(0), F.col("across") - 1), lambda x: cell(x, own_y, F.when(F.col("home") & (x == own_x), 2).otherwise(0)))
     staying = F.transform(F.filter(F.sequence(F.lit(0), F.col("down") - 1), lambda y: F.col("home") & (y != own_y)), lambda y: cell(own_x, y, F.lit(1)))
     rows = members.join(load, "g").select("g", "doc_id", "label", F.explode(F.concat(passing, staying)).alias("c")).select("g", "c.*", "doc_id", "label")
-    rows = rows.join(sets, "doc_id").select("g", "x", "y", "role", "doc_id", "label", "sketch")
+    rows = rows.join(sets, "doc_id").select("g", "x", "y", "role", "doc_id", "label", "shingles")
 
     def compare(batches):
         key = homes = None
@@ -354,8 +365,8 @@ def keep_dissimilar(docs: DataFrame, size: int = 5, similarity: float = 0.8, id_
 
     Documents that share a sample's fingerprint form a group; groups of the same members are one. All members are compared first
     with the one that is in the most and largest groups. Those still apart from the largest part of a group are then compared
-    with all its members, so every pair of a group is either compared or known to be connected. Rows without an id or without
-    words stay.
+    with all its members, so every pair of a group is either compared or known to be connected. The shingle sets of the whole
+    texts decide. Rows without an id or without words stay.
     """
     frame = docs.select(docs[id_column].cast("long").alias("doc_id"), docs[text_column].cast("string").alias("text"))
     made = settle(samples(frame, size), "samples")
@@ -363,8 +374,8 @@ def keep_dissimilar(docs: DataFrame, size: int = 5, similarity: float = 0.8, id_
     ends = rows.groupBy("sample", "key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("n"), F.bit_xor(F.xxhash64("doc_id")).alias("all")).where("low < high")
     ends = settle(ends.select("sample", "key", F.xxhash64("low", "high", "n", "all").alias("g")), "groups")
     members = settle(rows.join(ends, ["sample", "key"]).groupBy("g", "doc_id").agg(F.max("n_shingles").alias("n_shingles")), "members")
-    found = sketches(frame.join(members.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "text"), size)
-    sets = settle(found.groupBy("doc_id").agg(F.min("sketch").alias("sketch")), "sets")  # rows that repeat an id
+    found = shingle_sets(frame.join(members.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "text"), size)
+    sets = settle(found.groupBy("doc_id").agg(F.min("shingles").alias("shingles")), "sets")  # rows that repeat an id
 
     score = members.join(members.groupBy("g").agg(F.count("*").alias("n")), "g").groupBy("doc_id").agg(F.sum("n").alias("score"))
     hubs = settle(members.join(score, "doc_id").groupBy("g").agg(F.max_by("doc_id", F.struct("score", "doc_id")).alias("hub")), "hubs")

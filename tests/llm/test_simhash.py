@@ -159,7 +159,23 @@ def test_similar_documents_around_an_original_in_the_middle(spark, monkeypatch):
     df = spark.createDataFrame([(50, original), *zip(ids, copies)], "doc_id long, text string")
     assert [r["doc_id"] for r in simhash.keep_dissimilar(df).collect()] == [0]
     # without the hub's help every pair of a group still meets once
-    sets = simhash.sketches(df)
+    sets = simhash.shingle_sets(df)
     members = df.selectExpr("0L as g", "doc_id", "200L as n_shingles", "doc_id as label", "true as home")
     linked = {r["node"]: r["root"] for r in components(simhash.similar_links(members, sets, 0.8)).collect()}
     assert linked == dict.fromkeys(range(101), 0)
+
+
+def test_similarity_near_the_limit_is_exact_for_long_documents(spark):
+    rng = random.Random(11)
+    rows, twins = [], []
+    for k in range(40):
+        base = [f"w{rng.randint(0, 10**6)}" for _ in range(1204)]
+        # 1,200 shingles each; those of the common first words are shared
+        kept = 1066 + (2 if k % 2 else -2) + 4
+        rows += [(k, " ".join(base)), (1000 + k, " ".join(base[:kept] + [f"n{rng.randint(0, 10**9)}" for _ in range(1204 - kept)]))]
+        shared = kept - 4
+        twins.append((1000 + k, shared / (2400 - shared) >= 0.8))
+    assert {near for _, near in twins} == {True, False}
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"] for r in simhash.keep_dissimilar(df).collect()}
+    assert got == set(range(40)) | {d for d, near in twins if not near}
