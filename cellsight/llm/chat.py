@@ -2,17 +2,22 @@
 
 Every participant of a dialogue takes the assistant's place once: its turns are
 the assistant's and open in the mask, all others are users with names, system
-turns stay. Dialogues are grouped by conversation and blocks of turn numbers, so
-that no group grows beyond a fixed number of turns; a block is rendered for
-those who speak in it.
+turns stay. Long dialogues come in blocks, so that no group grows beyond a fixed
+number of turns. ``rotate_whole`` numbers turns by rank and gives every
+participant of the conversation every block, so the parts make up one whole
+rendering; ``rotate`` cuts by turn numbers and renders a block for those who
+speak in it.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: Turn numbers of one rendered block.
+from cellsight.llm.common import settle
+
+#: Turns (of ``rotate``: turn numbers) of one rendered block.
 BLOCK_TURNS = 1024
 BEGIN, END = "<|im_start|>", "<|im_end|>"
 
@@ -26,34 +31,82 @@ def _header(role: Column, speaker: Column) -> Column:
     )
 
 
-def rotate(conversations: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", block_turns: int = BLOCK_TURNS) -> DataFrame:
-    """``conv_id, block, speaker, n_turns, n_own_turns, rendered, mask``: one row for each dialogue block and speaker.
+def _turns(c: DataFrame, conv: str, turn: str, role: str, text: str) -> DataFrame:
+    return c.select(c[conv].alias("conv_id"), c[turn].cast("long").alias("turn"), c[role].cast("string").alias("role"), F.replace(F.coalesce(c[text].cast("string"), F.lit("")), F.lit("<|im_"), F.lit("<| im_")).alias("text"))
 
-    ``mask`` has the spans of the speaker's turns, their end marks included, as ``start-end`` in code points, separated by
-    commas. Turns go by number, then role, then text. Null texts are empty; null turn numbers come first, in block 0; a null role is a user without
-    a name and no participant; a block without participants gives no row. Markers inside texts are broken by a space.
-    Repeated rows are turns of their own; other columns are not read.
-    """
-    c = conversations
-    turns = c.select(c[conv].alias("conv_id"), c[turn].cast("long").alias("turn"), c[role].cast("string").alias("role"), F.replace(F.coalesce(c[text].cast("string"), F.lit("")), F.lit("<|im_"), F.lit("<| im_")).alias("text"))
-    block = F.coalesce(F.floor(F.col("turn") / block_turns), F.lit(0)).cast("long")
-    grouped = turns.groupBy("conv_id", block.alias("block")).agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
-    people = F.array_distinct(F.transform(F.filter("turns", lambda t: t["role"].isNotNull() & (F.lower(t["role"]) != "system")), lambda t: t["role"]))
-    each = grouped.select("conv_id", "block", "turns", F.explode(people).alias("speaker"))
+
+def _takes_part(role: Column) -> Column:
+    return role.isNotNull() & (F.lower(role) != "system")
+
+
+def _render(each: DataFrame) -> DataFrame:
+    """The output columns from ``conv_id, block, speaker, turns, offset``; spans count from the offset."""
     piece = lambda t: F.struct(_header(t["role"], F.col("speaker")).alias("head"), F.concat(t["text"], F.lit(END)).alias("body"), F.coalesce(t["role"] == F.col("speaker"), F.lit(False)).alias("own"))
-    pieces = each.select("conv_id", "block", "speaker", F.transform("turns", piece).alias("p"))
+    pieces = each.select("conv_id", "block", "speaker", "offset", F.transform("turns", piece).alias("p"))
 
     def step(acc: Column, p: Column) -> Column:
         begin = acc["at"] + F.char_length(p["head"])
         end = begin + F.char_length(p["body"])
         return F.struct((end + 1).alias("at"), F.when(p["own"], F.concat(acc["spans"], F.array(F.concat_ws("-", begin.cast("string"), end.cast("string"))))).otherwise(acc["spans"]).alias("spans"))
 
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("spans"))
+    start = F.struct(F.col("offset").alias("at"), F.array().cast("array<string>").alias("spans"))
     spans = F.aggregate("p", start, step, lambda acc: acc["spans"])
     rendered = F.array_join(F.transform("p", lambda p: F.concat(p["head"], p["body"], F.lit("\n"))), "")
     return pieces.select("conv_id", "block", "speaker", F.size("p").cast("long").alias("n_turns"), F.size(F.filter("p", lambda p: p["own"])).cast("long").alias("n_own_turns"), rendered.alias("rendered"), F.array_join(spans, ",").alias("mask"))
 
 
+def rotate(conversations: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", block_turns: int = BLOCK_TURNS) -> DataFrame:
+    """``conv_id, block, speaker, n_turns, n_own_turns, rendered, mask``: one row for each dialogue block and speaker in it.
+
+    ``mask`` has the spans of the speaker's turns, their end marks included, as ``start-end`` in code points, separated by
+    commas. Turns go by number, then role, then text. Null texts are empty; null turn numbers come first, in block 0; a null role is a user without
+    a name and no participant; a block without participants gives no row. Markers inside texts are broken by a space.
+    Repeated rows are turns of their own; other columns are not read.
+    """
+    turns = _turns(conversations, conv, turn, role, text)
+    block = F.coalesce(F.floor(F.col("turn") / block_turns), F.lit(0)).cast("long")
+    grouped = turns.groupBy("conv_id", block.alias("block")).agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
+    people = F.array_distinct(F.transform(F.filter("turns", lambda t: _takes_part(t["role"])), lambda t: t["role"]))
+    return _render(grouped.select("conv_id", "block", "turns", F.explode(people).alias("speaker"), F.lit(0).cast("long").alias("offset")))
+
+
+def rotate_whole(conversations: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", block_turns: int = BLOCK_TURNS) -> DataFrame:
+    """The columns of ``rotate``: one row for each participant of a conversation and block of ``block_turns`` turns by rank.
+
+    Turns are ordered as in ``rotate``. The ``rendered`` parts of a participant, put together by block, are the whole
+    dialogue, silent blocks included, and the spans of ``mask`` count from its start. Ranks are made in ranges, so no task
+    gathers a conversation.
+    """
+    n = int(conversations.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    order = ["turn", "role", "text", "tie"]  # the tie deals out repeated rows
+    keyed = _turns(conversations, conv, turn, role, text).select(F.struct("conv_id").alias("conv"), "turn", "role", "text", F.monotonically_increasing_id().alias("tie"))
+    ranged = settle(keyed.repartitionByRange(n, "conv", *order).withColumn("part", F.spark_partition_id()), "turns")
+    of_conv = W.partitionBy("conv")
+    counts = ranged.groupBy("conv", "part").agg(F.count("*").alias("here"))
+    counts = settle(counts.select("conv", "part", (F.sum("here").over(of_conv.orderBy("part")) - F.col("here")).alias("before"), F.sum("here").over(of_conv).alias("total")), "counts")
+
+    def numbered(some: DataFrame) -> DataFrame:
+        rank = F.col("before") + F.row_number().over(W.partitionBy("conv", "part").orderBy(*order)) - 1
+        return ranged.join(some, ["conv", "part"]).withColumn("rank", rank).withColumn("block", F.floor(F.col("rank") / block_turns).cast("long"))
+
+    people = ranged.where(_takes_part(F.col("role"))).select("conv", F.col("role").alias("speaker")).distinct()
+    blocks = counts.select("conv", F.ceil(F.col("total") / block_turns).cast("long").alias("blocks")).distinct()
+    seats = people.join(blocks, "conv").select("conv", "speaker", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
+
+    # what lies before a block, as this speaker sees it: only the heads of the speaker's own turns have another length
+    head = F.char_length(_header(F.col("role"), F.lit(None).cast("string")))
+    lengths = numbered(counts.where(F.col("total") > block_turns)).groupBy("conv", "block", "role").agg(F.sum(head + F.char_length("text") + len(END) + 1).alias("all"), F.sum(F.lit(len(f"{BEGIN}assistant\n")) - head).alias("more"))
+    lengths = settle(lengths, "lengths")
+    own = lengths.select("conv", "block", F.col("role").alias("speaker"), "more")
+    size = F.col("all") + F.coalesce("more", F.lit(0))
+    before = F.sum(size).over(W.partitionBy("conv", "speaker").orderBy("block")) - size
+    offsets = seats.join(lengths.groupBy("conv", "block").agg(F.sum("all").alias("all")), ["conv", "block"]).join(own, ["conv", "block", "speaker"], "left").select("conv", "block", "speaker", before.alias("offset"))
+
+    grouped = numbered(counts).groupBy("conv", "block").agg(F.sort_array(F.collect_list(F.struct("rank", "role", "text"))).alias("turns"))
+    each = grouped.join(seats.join(offsets, ["conv", "block", "speaker"], "left"), ["conv", "block"])
+    return _render(each.select("conv.conv_id", "block", "speaker", "turns", F.coalesce("offset", F.lit(0).cast("long")).alias("offset")))
+
+
 ROTATE_SQL = rf"""
 WITH t AS (SELECT conv_id, coalesce(floor(turn / {BLOCK_TURNS}), 0)::BIGINT AS block, turn, role, replace(coalesce(text, ''), '<|im_', '<| im_') AS text FROM conversations),
 p AS (SELECT DISTINCT conv_id, block, role AS speaker FROM t WHERE role IS NOT NULL AND lower(role) <> 'system'),

@@ -53,7 +53,7 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chat.rotate(table(spark, sf_dir, "conversations"))
+    return chat.rotate_whole(table(spark, sf_dir, "conversations"))
 
 
 def op9_audio(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,7 +5,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from cellsight.llm import chat, html, lines, quality
+from cellsight.llm import chat, html, lines, quality, queries
 from cellsight.llm.common import word_hashes, word_spans, byte_view
 
 
@@ -97,6 +97,23 @@ def test_chat(spark):
     assert {(r["block"], r["speaker"]) for r in blocks} == {(0, "bob"), (1, "bob"), (1, "amy b")}
 
 
+def test_chat_gives_every_participant_the_whole_dialogue(spark, tmp_path):
+    long = [(1, 0, "system", "rules"), (1, None, "amy b", "early"), (1, 7, "carl", "once é"), *[(1, 10**9 + 60 * i, ("bob", "amy b", None)[i % 3], f"t{i}") for i in range(2200)]]
+    rows = [*long, *[(1, 5, "bob", "same")] * 20, *[(None, 5000 * i, "bob", f"no id {i}") for i in range(3)], (2, 0, "system", "alone")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    df.write.parquet(f"{tmp_path}/conversations.parquet")
+    got = queries.op8_chat(spark, str(tmp_path)).collect()
+    assert {(r["conv_id"], r["block"], r["speaker"]) for r in got} == {(1, b, s) for b in range(3) for s in ("bob", "amy b", "carl")} | {(None, 0, "bob")}
+    assert max(r["n_turns"] for r in got) == chat.BLOCK_TURNS
+    whole = {(r["conv_id"], r["speaker"]): r for r in chat.rotate(df, block_turns=10**12).collect()}
+    for key, want in whole.items():
+        parts = sorted((r for r in got if (r["conv_id"], r["speaker"]) == key), key=lambda r: r["block"])
+        assert "".join(r["rendered"] for r in parts) == want["rendered"]
+        assert ",".join(r["mask"] for r in parts if r["mask"]) == want["mask"]
+        assert sum(r["n_own_turns"] for r in parts) == want["n_own_turns"]
+    assert chat.rotate_whole(df.limit(0)).count() == 0
+
+
 ARTICLE = "<h1>Title &amp; more</h1><p>First  <b>bold</b>\npart.</p><p>Second<br>line</p>"
 
 
