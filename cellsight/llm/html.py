@@ -1,18 +1,21 @@
 """Op 4: main text of web pages by two-pass block rules.
 
-The markup is cut into blocks at block-level tags. Scripts, styles, comments of
-the markup and whole subtrees that name themselves as page furniture (by tag,
-role, class or id) give no blocks. First pass: link density, length and the
-density of common words decide a block as good or bad or leave it open; what
-lies in the page's article is good unless it is all links. Second pass: open
-blocks take the label of the nearest decided neighbour (a heading that of the
-next one), of both where these agree.
+The markup is cut into blocks at block-level tags; scripts, styles and comments
+of the markup give none. The first pass adds up the evidence of every block:
+density of common words, length, share of link text, whether it stands in the
+page's article, and whether an element around it names itself as furniture of
+the page. A block is good, bad, or left open; headings and short blocks without
+evidence against them are always left open. The second pass gives an open block
+the label of the nearest decided neighbour in the same part of the page (a
+heading: of the next one), of the part itself if nothing in it is decided.
 """
 
 from __future__ import annotations
 
 import html as references
 import re
+from collections.abc import Iterator
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -20,11 +23,17 @@ from pyspark.sql import DataFrame
 from cellsight.llm.common import map_arrow
 from cellsight.llm.quality import COMMON_WORDS
 
-#: Limits of the first pass.
+#: Limits of the first pass: link text, code points of a short block, share of common words.
 MAX_LINKS = 0.5
 SHORT_CHARS = 70
 GOOD_DENSITY, POOR_DENSITY = 0.15, 0.06
-#: Names of tags and words of roles, classes and ids.
+#: What the evidence weighs, and the sums from which a block is good or bad.
+LONG, DENSE, POOR, LINKED, LINKED_LIST = 1.0, 1.0, -2.0, -2.0, -3.0
+IN_MAIN, BESIDE_MAIN, HINTED, NAMED = 1.0, -1.0, -1.5, -4.0
+GOOD_FROM, BAD_FROM = 1.5, -1.0
+#: An article with less than this share of the page's text outside furniture is a teaser and no evidence.
+MAIN_SHARE = 0.3
+#: Names of tags and roles of the HTML standard.
 BLOCK_TAGS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li "
     "main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul".split()
@@ -33,48 +42,135 @@ VOID_TAGS = frozenset("area base br col embed hr img input link meta param sourc
 RAW_TAGS = frozenset("script style noscript template textarea select iframe svg math object canvas audio video title noframes noembed button datalist map".split())
 FURNITURE_TAGS = frozenset("nav footer aside form menu dialog search".split())
 FURNITURE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar status".split())
+#: Heuristic: words of classes and ids that name furniture, and words that only hint at it.
 FURNITURE_WORDS = frozenset(
-    "ad ads advert adverts advertisement advertising adsense adbox banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies copyright disclaimer disqus footer gdpr header "
-    "login masthead menu menus modal nav navbar navigation navi newsletter notice notices notification overlay pager pagination paywall popup promo promotion promoted related reply replies respond responses "
-    "share sharing sidebar sidebars signup sitemap skip social sponsor sponsored sponsors subscribe subscription tags teaser teasers toolbar topbar warning widget widgets".split()
+    "ad ads advert adverts advertisement advertising adsense adbox banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies copyright disqus footer gdpr login masthead menu menus "
+    "modal nav navbar navigation navi newsletter notice notices notification pager pagination paywall popup promo promotion promoted related reply replies respond responses share sharing sidebar sidebars "
+    "signup sitemap sponsor sponsored sponsors subscribe subscription teaser teasers toolbar topbar".split()
 )
+HINT_WORDS = frozenset("disclaimer header menus overlay skip social tags warning widget widgets".split())
 MAIN_TAGS = frozenset(("article", "main"))
 HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
+LIST_TAGS = frozenset(("li", "ul", "ol", "dd", "dt", "td", "th"))
 STOP_WORDS = frozenset(w for words in COMMON_WORDS.values() for w in words.split())
 
-TOKEN = re.compile(r"<!--.*?(?:--!?>|\Z)|<(/?)([A-Za-z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([A-Za-z][^\s/>]*+)([^>]*+)>|<[!?/][^>]*+(?:>|\Z)", re.S)
-ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+NAME = re.compile(r"/?([A-Za-z][^\s/>]*+)")
+PLAIN = re.compile(r"[^>\"']*+")
+COMMENT_END = re.compile(r"--!?>")
+RAW_END = {tag: re.compile(rf"</{tag}[\s/>]", re.I) for tag in RAW_TAGS}
+ATTRIBUTE = re.compile(r"""([^\s=/"'>]++)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s"'>]++)))?""")
+HIDDEN = re.compile(r"display\s*+:\s*+none|visibility\s*+:\s*+hidden", re.I)
 NAME_PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+")
 SPACES = re.compile(r"\s+")
 OPEN, GOOD, BAD = 0, 1, 2
+NOTHING, HINT, FURNITURE = 0, 1, 2
 
 
-def is_furniture(tag: str, attributes: str, in_main: bool) -> bool:
-    """Whether an element names itself as furniture of the page."""
+class Block(NamedTuple):
+    text: str
+    #: Share of the solid characters that stand in links.
+    links: float
+    tag: str
+    in_main: bool
+    #: NOTHING, HINT or FURNITURE: what the elements around it say.
+    zone: int
+    #: Number of the part of the page: it changes where an article or a zone begins or ends.
+    part: int
+    #: The furniture around it was named by a class outside the article.
+    outer: bool
+
+
+def kind_of(tag: str, attributes: str, in_main: bool) -> int:
+    """What an element says of itself: furniture of the page, a hint at it, or nothing."""
     if tag in FURNITURE_TAGS or tag == "header" and not in_main:
-        return True
+        return FURNITURE
     if not attributes or tag in ("html", "body") or tag in MAIN_TAGS and "omment" not in attributes:
-        return False
+        return NOTHING
+    found = NOTHING
     for m in ATTRIBUTE.finditer(attributes):
         name = m[1].lower()
         value = m[2] if m[2] is not None else m[3] if m[3] is not None else m[4] or ""
-        if name == "role" and value.strip().lower() in FURNITURE_ROLES or name == "hidden" or name == "aria-hidden" and value.lower() == "true":
-            return True
-        if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-            return True
-        if name in ("class", "id", "aria-label", "itemtype") and any(w in FURNITURE_WORDS and not (in_main and w == "header") for w in map(str.lower, NAME_PARTS.findall(value))):
-            return True
-    return False
-
-
-def blocks_of(html: str) -> list[tuple[str, float, str, bool]]:
-    """``(text, link share, tag, in the main element)`` of every block outside furniture, in page order."""
-    blocks: list[tuple[str, float, str, bool]] = []
+        if name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "role" and value.strip().lower() in FURNITURE_ROLES or name == "style" and HIDDEN.search(value):
+            return FURNITURE
+        if name in ("class", "id", "aria-label", "itemtype"):
+            words = {w.lower() for w in NAME_PARTS.findall(value)}
+            if words & FURNITURE_WORDS:
+                return FURNITURE
+            if words & HINT_WORDS:
+                found = HINT
+    return found
+
+
+def tags_of(html: str) -> Iterator[tuple[int, int, str, bool, str]]:
+    """``(begin, end, name, ending, attributes)`` of every tag, and with an empty name of every comment and declaration, in linear time.
+
+    A quoted value may hold ``>``. Once a quote has no end, quotes mean nothing in the rest of the page.
+    """
+    last, quotes, at = html.rfind(">"), True, 0
+    while True:
+        at = html.find("<", at)
+        if at < 0:
+            return
+        if html.startswith("<!--", at):
+            end = COMMENT_END.search(html, at + 4)
+            yield at, end.end() if end else len(html), "", False, ""
+            if not end:
+                return
+            at = end.end()
+            continue
+        m = NAME.match(html, at + 1)
+        if not m:
+            if html[at + 1 : at + 2] in ("!", "?", "/") and at + 2 < len(html):
+                end = html.find(">", at + 2) + 1 or len(html)
+                yield at, end, "", False, ""
+                at = end
+            else:
+                at += 1
+            continue
+        if at > last:
+            return
+        end = m.end()
+        while quotes:
+            end = PLAIN.match(html, end).end()
+            if html[end : end + 1] == ">":
+                break
+            close = html.find(html[end], end + 1) if end < len(html) else -1
+            quotes = close >= 0
+            end = close + 1
+        if not quotes:
+            end = html.find(">", m.end())
+            if end < 0:
+                return
+        yield at, end + 1, m[1].lower(), html[at + 1] == "/", html[m.end() : end]
+        at = end + 1
+
+
+class Zone:
+    """The outermost open element that names itself as furniture (or hints at it)."""
+
+    def __init__(self):
+        self.tag, self.depth, self.main, self.outer = "", 0, 0, False
+
+    def begin(self, tag: str, main: int, outer: bool) -> None:
+        if not self.depth:
+            self.tag, self.depth, self.main, self.outer = tag, 1, main, outer
+
+    def see(self, tag: str, ending: bool) -> None:
+        """End with the element, or where another tag ends a paragraph or list item by itself."""
+        if tag == self.tag:
+            self.depth = self.depth - 1 if ending else 0 if tag in ("p", "li") else self.depth + 1
+        elif self.tag == "p" and tag in BLOCK_TAGS or self.tag == "li" and ending and tag in ("ul", "ol"):
+            self.depth = 0
+
+
+def blocks_of(html: str) -> list[Block]:
+    """Every block of the page in order, those of furniture too."""
+    blocks: list[Block] = []
     parts: list[str] = []
-    linked = 0
-    tag_of, main_depth, links = "body", 0, 0
-    skip_tag, skip_depth = "", 0
-    at, n = 0, len(html)
+    linked = links = main = part = 0
+    tag_of, at = "body", 0
+    named, hinted = Zone(), Zone()
+    endless: set[str] = set()
 
     def text(chunk: str) -> None:
         nonlocal linked
@@ -88,129 +184,168 @@ def blocks_of(html: str) -> list[tuple[str, float, str, bool]]:
         nonlocal linked
         whole = SPACES.sub(" ", "".join(parts)).strip()
         if whole:
-            solid = len(whole) - whole.count(" ")
-            blocks.append((whole, linked / max(solid, 1), tag_of, main_depth > 0))
+            zone = FURNITURE if named.depth else HINT if hinted.depth else NOTHING
+            blocks.append(Block(whole, linked / max(len(whole) - whole.count(" "), 1), tag_of, main > 0, zone, part, bool(named.depth and named.outer)))
         parts.clear()
         linked = 0
 
-    while at < n:
-        m = TOKEN.search(html, at)
-        if not skip_tag:
-            text(html[at : m.start()] if m else html[at:])
-        if not m:
-            break
-        at = m.end()
-        name = m[2] or m[5]
-        if not name:
+    for begin, end, tag, ending, attributes in tags_of(html):
+        if begin < at:  # inside a raw element
+            continue
+        text(html[at:begin])
+        at = end
+        if not tag:
             continue
-        tag, ending = name.lower(), bool(m[1] or m[4])
-        attributes = m[3] or m[6] or ""
-        if tag in RAW_TAGS and not ending:
-            if not attributes.endswith("/") or tag in ("script", "style", "title"):
-                end = re.compile(rf"</{tag}[\s/>]", re.I).search(html, at)
-                close_at = html.find(">", end.start()) if end else -1
-                if end:
-                    at = close_at + 1 if close_at >= 0 else n
+        if tag in RAW_TAGS:
+            if not ending and (not attributes.endswith("/") or tag in ("script", "style", "title")) and tag not in endless:
+                found = RAW_END[tag].search(html, at)
+                if found:
+                    at = html.find(">", found.end() - 1) + 1 or len(html)
                 elif tag in ("script", "style"):
-                    at = n
+                    at = len(html)
+                else:
+                    endless.add(tag)
             continue
-        if skip_tag:
-            if tag == skip_tag:
-                skip_depth += -1 if ending else 0 if tag in ("p", "li") else 1
-                if not ending and tag in ("p", "li"):
-                    skip_depth = 0
-            elif skip_tag == "p" and (ending and tag in BLOCK_TAGS or not ending and tag in BLOCK_TAGS) or skip_tag == "li" and ending and tag in ("ul", "ol"):
-                skip_depth = 0
-            if skip_depth > 0:
-                continue
-            ended_itself = ending and tag == skip_tag
-            skip_tag = ""
-            if ended_itself:
-                continue
-        if tag == "br":
+        block = tag in BLOCK_TAGS
+        if block:
+            close()
+            links, tag_of = 0, "body" if ending else tag
+        elif tag == "br":
             parts.append(" ")
         elif tag == "a":
             links = 0 if ending else 1
-        elif tag in BLOCK_TAGS:
-            close()
-            links = 0
-            if ending:
-                if tag in MAIN_TAGS:
-                    main_depth = max(0, main_depth - 1)
-                tag_of = "body"
-                continue
-            if tag not in VOID_TAGS and is_furniture(tag, attributes, main_depth > 0):
-                skip_tag, skip_depth = tag, 1
-                continue
-            if tag in MAIN_TAGS:
-                main_depth += 1
-            tag_of = tag
-        elif not ending and tag not in VOID_TAGS and not attributes.endswith("/") and attributes and is_furniture(tag, attributes, main_depth > 0):
-            skip_tag, skip_depth = tag, 1
+        for zone in (named, hinted):
+            if zone.depth:
+                was = "".join(parts)
+                zone.see(tag, ending)
+                if not zone.depth:
+                    part += 1
+                    if not block and was:  # an inline element of furniture ends inside a block
+                        zone.depth = 1
+                        close()
+                        zone.depth = 0
+        if tag in MAIN_TAGS:
+            main = max(0, main + (-1 if ending else 1))
+            part += 1
+            for zone in (named, hinted):
+                if ending and zone.depth and zone.main > main:  # left open in an article that ends
+                    zone.depth = 0
+        if not ending and tag not in VOID_TAGS and not (attributes.endswith("/") and not block):
+            kind = kind_of(tag, attributes, main > 0)
+            zone = named if kind == FURNITURE else hinted
+            if kind and not zone.depth:
+                if not block:
+                    close()
+                part += 1
+                zone.begin(tag, main, not main and tag not in FURNITURE_TAGS and tag != "header")
+    if at < len(html):
+        text(html[at:])
     close()
     return blocks
 
 
 def density(text: str) -> float:
-    """Share of common words among a text's words."""
-    words = [w.strip(".,;:!?\"'()").lower() for w in text.split()]
+    """Share of common words among a text's words, without the marks around them."""
+    words = [w.strip(".,;:!?\"'()[]*#$%&|<>").lower() for w in text.split()]
     return sum(w in STOP_WORDS for w in words) / max(len(words), 1)
 
 
-def first_pass(blocks: list[tuple[str, float, str, bool]]) -> list[int]:
-    has_main = any(b[3] for b in blocks)
-    out = []
-    for text, links, tag, in_main in blocks:
-        if has_main and not in_main:
+def main_is_evidence(blocks: list[Block]) -> bool:
+    """Whether the page has an article that holds a fair share of its text outside furniture and links."""
+    free = [(len(b.text), b.in_main) for b in blocks if b.zone != FURNITURE and b.links <= MAX_LINKS]
+    inside = sum(n for n, m in free if m)
+    return inside > 0 and inside >= MAIN_SHARE * sum(n for n, _ in free)
+
+
+def evidence(block: Block, has_main: bool) -> float:
+    """The sum of what speaks for a block (above zero) and against it."""
+    score = 0.0
+    if len(block.text) >= SHORT_CHARS:  # the words of a short block say little
+        common = density(block.text)
+        score += LONG + (DENSE if common >= GOOD_DENSITY else POOR if common < POOR_DENSITY else 0.0)
+    if block.links > MAX_LINKS:
+        score += LINKED_LIST if block.tag in LIST_TAGS else LINKED
+    if has_main:
+        score += IN_MAIN if block.in_main else BESIDE_MAIN
+    return score + (0.0, HINTED, NAMED)[block.zone]
+
+
+def first_pass(blocks: list[Block]) -> list[int]:
+    """GOOD, BAD or OPEN by the sum of evidence; headings and short blocks are never good by themselves."""
+    has_main, out = main_is_evidence(blocks), []
+    for b in blocks:
+        score = evidence(b, has_main)
+        if score <= BAD_FROM and not (b.tag in HEADINGS and b.zone == NOTHING):
             out.append(BAD)
-        elif links > MAX_LINKS:
-            out.append(OPEN if tag in HEADINGS else BAD)
-        elif in_main:
+        elif score >= GOOD_FROM and b.tag not in HEADINGS and len(b.text) >= SHORT_CHARS:
             out.append(GOOD)
-        elif tag in HEADINGS or len(text) < SHORT_CHARS:
-            out.append(OPEN)
         else:
-            d = density(text)
-            out.append(GOOD if d >= GOOD_DENSITY else BAD if d < POOR_DENSITY else OPEN)
+            out.append(OPEN)
     return out
 
 
-def second_pass(labels: list[int], blocks: list[tuple[str, float, str, bool]]) -> list[bool]:
-    """Open blocks inherit; with no decided block on a side the other side's label holds, and a page with none keeps all."""
+def neighbours(labels: list[int], parts: list[int]) -> tuple[list[int | None], list[int | None]]:
+    """The nearest decided block before and after each, within the same part."""
     n = len(labels)
     before, after = [None] * n, [None] * n
-    last = None
-    for i in range(n):
-        before[i] = last
-        if labels[i] != OPEN:
-            last = i
-    last = None
-    for i in reversed(range(n)):
-        after[i] = last
-        if labels[i] != OPEN:
-            last = i
+    for found, order in ((before, range(n)), (after, range(n - 1, -1, -1))):
+        last, part = None, None
+        for i in order:
+            if parts[i] != part:
+                last, part = None, parts[i]
+            found[i] = last
+            if labels[i] != OPEN:
+                last = i
+    return before, after
+
+
+def inherit(i: int, before: int | None, after: int | None, labels: list[int], heading: bool) -> int:
+    """Label of an open block from its decided neighbours; OPEN if there is none. Two at the same distance that differ: good."""
+    if before is None and after is None:
+        return OPEN
+    if before is None or after is None:
+        return labels[after if before is None else before]
+    if heading or labels[before] == labels[after]:
+        return labels[after]
+    if i - before == after - i:
+        return GOOD
+    return labels[before if i - before < after - i else after]
+
+
+def second_pass(labels: list[int], blocks: list[Block]) -> list[bool]:
+    """Open blocks inherit within their part of the page; a part without a decided block stands as its place says.
+
+    Furniture is then bad, an article good, and where the page has no article the nearest decided block of the page decides;
+    a page without any keeps all.
+    """
+    has_main = main_is_evidence(blocks)
+    near = neighbours(labels, [b.part for b in blocks])
+    far = neighbours(labels, [0] * len(blocks))
     out = []
-    for i, label in enumerate(labels):
-        if label != OPEN:
-            out.append(label == GOOD)
-            continue
-        a, b = before[i], after[i]
-        if a is None and b is None:
-            out.append(True)
-        elif a is None or b is None:
-            out.append(labels[b if a is None else a] == GOOD)
-        elif labels[a] == labels[b] or blocks[i][2] in HEADINGS:
-            out.append(labels[b] == GOOD)
-        else:
-            out.append(labels[a if i - a < b - i else b] == GOOD if i - a != b - i else True)
+    for i, (label, b) in enumerate(zip(labels, blocks)):
+        heading = b.tag in HEADINGS
+        if label == OPEN:
+            label = inherit(i, near[0][i], near[1][i], labels, heading)
+        if label == OPEN:
+            label = BAD if b.zone == FURNITURE else (GOOD if b.in_main else BAD) if has_main else inherit(i, far[0][i], far[1][i], labels, heading)
+        out.append(label != BAD)
     return out
 
 
+def judged(html: str | None) -> tuple[list[Block], list[int], list[bool]]:
+    """Blocks, labels of the first pass, and which blocks stay."""
+    blocks = blocks_of(html or "")
+    if any(b.in_main and b.outer for b in blocks) and not any(b.in_main and b.zone != FURNITURE for b in blocks):
+        # the only article stands inside an element whose class sounds like furniture
+        blocks = [b._replace(zone=NOTHING) if b.in_main and b.outer else b for b in blocks]
+    labels = first_pass(blocks)
+    return blocks, labels, second_pass(labels, blocks)
+
+
 def extract(html: str | None) -> str:
     """The main text: kept blocks joined by an empty line; empty for null, empty or text-free pages."""
-    blocks = blocks_of(html or "")
-    keep = second_pass(first_pass(blocks), blocks)
-    return "\n\n".join(b[0] for b, k in zip(blocks, keep) if k)
+    blocks, _, keep = judged(html)
+    return "\n\n".join(b.text for b, k in zip(blocks, keep) if k)
 
 
 def extract_pages(pages: DataFrame, id_column: str = "page_id", url_column: str = "url", html_column: str = "html") -> DataFrame:
