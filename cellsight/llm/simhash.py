@@ -14,13 +14,15 @@ links than it has members. Groups above a size are split by their home members.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cellsight.llm.common import bound_batches, byte_view, map_arrow, mix, settle, texts_of, window_hashes, word_hashes, word_spans
+from cellsight.llm.common import bound_batches, byte_view, map_arrow, settle, texts_of, window_hashes, word_hashes, word_spans
 from cellsight.llm.components import components
 
 #: Members of an anchor's group above which its home members are dealt out to several tasks.
@@ -215,34 +217,50 @@ SAMPLES, SAMPLE_SIZE = 16, 4
 HOME_DOCS, HOME_SHINGLES, PASSING = 256, 1 << 21, 4096
 
 
-def shingles(text: str, size: int) -> np.ndarray:
-    """Sorted hashes of the distinct shingles of a text; a text of fewer words is one shingle, one without words has none."""
-    raw, offsets = byte_view(pa.array([text.encode().lower().decode()]))
-    starts, ends, _ = word_spans(raw, offsets)
-    return np.unique(window_hashes(word_hashes(raw, starts, ends), min(size, len(starts)))) if len(starts) else np.zeros(0, np.uint64)
+def shingle_lists(column: pa.Array, size: int) -> Iterator[np.ndarray]:
+    """Sorted hashes of the distinct shingles of every text; one of fewer words is one shingle, one without words has none."""
+    raw, offsets = byte_view(column)
+    raw = np.where((raw >= 65) & (raw <= 90), raw | 32, raw).astype(np.uint8)
+    starts, ends, first = word_spans(raw, offsets)
+    words = word_hashes(raw, starts, ends)
+    hashes = window_hashes(words, size)
+    for a, b in zip(first[:-1].tolist(), first[1:].tolist()):
+        if b - a < size:
+            yield window_hashes(words[a:b], b - a) if b > a else words[:0]
+        else:
+            h = np.sort(hashes[a : b - size + 1])
+            yield h[np.concatenate([[True], h[1:] != h[:-1]])]
+
+
+def sample_keys(h: np.ndarray) -> np.ndarray:
+    """Fingerprints of small samples of sorted shingle hashes: the four that come next, in a circle, after evenly spaced points.
+
+    Of texts with fewer shingles than all samples together every shingle is such a point.
+    """
+    n = len(h)
+    if n <= SAMPLES * SAMPLE_SIZE:
+        at = np.arange(n)
+    else:
+        at = np.unique(np.searchsorted(h, np.arange(SAMPLES, dtype=np.uint64) << np.uint64(64 - SAMPLES.bit_length() + 1)) % n)
+    k = min(SAMPLE_SIZE, n)
+    run = window_hashes(np.concatenate([h, h[: k - 1]]), k)
+    return np.unique(run[at]).astype(np.int64)
 
 
 def samples(docs: DataFrame, size: int = 5) -> DataFrame:
     """``doc_id, n_shingles, keys`` of ``doc_id, text``: fingerprints of small samples of the distinct shingles.
 
-    A sample is the shingles that come first under one of sixteen fixed orders. At a similarity of 0.8 two documents have the
-    same four with a chance of about 0.4, so one of sixteen samples is the same almost surely. Rows without words or id drop out.
+    At a similarity of 0.8 two documents have the same sample after a point with a chance of about 0.4, so after one of
+    sixteen points almost surely. Rows without words or id drop out.
     """
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         ids, counts, keys = [], [], []
-        for d, text in zip(batch.column(0).to_pylist(), texts_of(batch.column(1))):
-            h = shingles(text, size)
-            if d is None or not len(h):
-                continue
-            own = []
-            for s in range(SAMPLES):
-                order = mix(h ^ mix(np.array([s + 1], np.uint64)))
-                first = np.sort(np.partition(order, SAMPLE_SIZE - 1)[:SAMPLE_SIZE]) if len(h) > SAMPLE_SIZE else np.sort(order)
-                own.append(int(window_hashes(first, len(first))[0].astype(np.int64)))
-            ids.append(d)
-            counts.append(len(h))
-            keys.append(own)
+        for d, h in zip(batch.column(0).to_pylist(), shingle_lists(batch.column(1), size)):
+            if d is not None and len(h):
+                ids.append(d)
+                counts.append(len(h))
+                keys.append(sample_keys(h))
         return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(counts, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "keys"])
 
     return map_arrow(docs, run, "doc_id long, n_shingles long, keys array<long>")
@@ -252,7 +270,7 @@ def shingle_sets(docs: DataFrame, size: int = 5) -> DataFrame:
     """``doc_id, shingles`` of ``doc_id, text``: the sorted hashes of all distinct shingles."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = [shingles(t, size).tobytes() for t in texts_of(batch.column(1))]
+        found = [h.tobytes() for h in shingle_lists(batch.column(1), size)]
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["doc_id", "shingles"])
 
     return map_arrow(docs, run, "doc_id long, shingles binary")
@@ -363,26 +381,29 @@ def similar_links(members: DataFrame, sets: DataFrame, similarity: float) -> Dat
 def keep_dissimilar(docs: DataFrame, size: int = 5, similarity: float = 0.8, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """The rows of ``docs`` (all columns) without those similar to one that stays: one document of each component of links.
 
-    Documents that share a sample's fingerprint form a group; groups of the same members are one. All members are compared first
-    with the one that is in the most and largest groups. Those still apart from the largest part of a group are then compared
-    with all its members, so every pair of a group is either compared or known to be connected. The shingle sets of the whole
-    texts decide. Rows without an id or without words stay.
+    Documents that share a sample's fingerprint form a group; groups of the same members are one. Every member is compared once
+    with each hub of its groups, the one that is in the most and largest groups. In a group of three or more, those still apart
+    from its largest part are then compared with all its members, so every pair of a group is either compared or known to be
+    connected. The shingle sets of the whole texts decide. Rows without an id or without words stay; rows that share an id stay or go together.
     """
     frame = docs.select(docs[id_column].cast("long").alias("doc_id"), docs[text_column].cast("string").alias("text"))
     made = settle(samples(frame, size), "samples")
-    rows = made.select("doc_id", "n_shingles", F.posexplode("keys").alias("sample", "key"))
-    ends = rows.groupBy("sample", "key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("n"), F.bit_xor(F.xxhash64("doc_id")).alias("all")).where("low < high")
-    ends = settle(ends.select("sample", "key", F.xxhash64("low", "high", "n", "all").alias("g")), "groups")
-    members = settle(rows.join(ends, ["sample", "key"]).groupBy("g", "doc_id").agg(F.max("n_shingles").alias("n_shingles")), "members")
+    rows = made.select("doc_id", "n_shingles", F.explode("keys").alias("key"))
+    ends = rows.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("n"), F.bit_xor(F.xxhash64("doc_id")).alias("all")).where("low < high")
+    ends = settle(ends.select("key", F.xxhash64("low", "high", "n", "all").alias("g")), "groups")
+    members = settle(rows.join(ends, "key").groupBy("g", "doc_id").agg(F.max("n_shingles").alias("n_shingles")), "members")
     found = shingle_sets(frame.join(members.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "text"), size)
     sets = settle(found.groupBy("doc_id").agg(F.min("shingles").alias("shingles")), "sets")  # rows that repeat an id
 
-    score = members.join(members.groupBy("g").agg(F.count("*").alias("n")), "g").groupBy("doc_id").agg(F.sum("n").alias("score"))
-    hubs = settle(members.join(score, "doc_id").groupBy("g").agg(F.max_by("doc_id", F.struct("score", "doc_id")).alias("hub")), "hubs")
-    spokes = members.join(hubs, "g").select("g", "doc_id", "n_shingles", F.col("doc_id").alias("label"), (F.col("doc_id") == F.col("hub")).alias("home"))
+    sizes = members.groupBy("g").agg(F.count("*").alias("n"))
+    score = members.join(sizes, "g").groupBy("doc_id").agg(F.sum("n").alias("score"))
+    hubs = settle(members.join(score, "doc_id").groupBy("g").agg(F.max_by("doc_id", F.struct("score", "doc_id")).alias("hub"), F.count("*").alias("n")), "hubs")
+    spokes = members.join(hubs, "g").groupBy(F.col("hub").alias("g"), "doc_id").agg(F.max("n_shingles").alias("n_shingles"))
+    spokes = spokes.select("g", "doc_id", "n_shingles", F.col("doc_id").alias("label"), (F.col("doc_id") == F.col("g")).alias("home"))
     edges = settle(similar_links(settle(spokes, "spokes"), sets, similarity), "links")
     known = settle(components(edges), "known")
-    labelled = settle(members.join(known, F.col("doc_id") == F.col("node"), "left").select("g", "doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("label")), "labelled")
+    several = members.join(hubs.where("n > 2").select("g"), "g")
+    labelled = settle(several.join(known, F.col("doc_id") == F.col("node"), "left").select("g", "doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("label")), "labelled")
     largest = labelled.groupBy("g", "label").agg(F.count("*").alias("n")).groupBy("g").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.count("*").alias("parts")).where("parts > 1")
     apart = labelled.join(largest, "g").select("g", "doc_id", "n_shingles", "label", (F.col("label") != F.col("main")).alias("home"))
     more = settle(similar_links(settle(apart, "apart"), sets, similarity), "links")
