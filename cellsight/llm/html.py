@@ -28,7 +28,7 @@ MAX_LINKS = 0.5
 SHORT_CHARS = 70
 GOOD_DENSITY, POOR_DENSITY = 0.15, 0.06
 #: What the evidence weighs, and the sums from which a block is good or bad.
-LONG, DENSE, POOR, LINKED, LINKED_LIST = 1.0, 1.0, -2.0, -2.0, -3.0
+LONG, DENSE, POOR, LINKED, LINKED_LIST = 1.0, 1.0, -2.0, -1.5, -3.0
 IN_MAIN, BESIDE_MAIN, HINTED, NAMED = 1.0, -1.0, -1.5, -4.0
 GOOD_FROM, BAD_FROM = 1.5, -1.0
 #: An article with less than this share of the page's text outside furniture is a teaser and no evidence.
