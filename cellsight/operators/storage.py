@@ -8,12 +8,14 @@ from pyspark.sql import DataFrame
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """``df`` checkpointed in the shared folder of ``spark.checkpoint.dir``; one of our own only where none is set."""
+    """``df`` checkpointed in the shared folder of ``spark.checkpoint.dir``; a local session without one (a test) gets its own."""
     spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         root = spark.conf.get("spark.checkpoint.dir", None)
         if not root:
+            if not context.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
             root = "file://" + tempfile.mkdtemp(prefix="checkpoints-")
             spark.conf.set("spark.checkpoint.dir", root)
         context.setCheckpointDir(root)
