@@ -16,16 +16,16 @@ When runs of a kind reach the fan-out they are compacted into one.
 
 from __future__ import annotations
 
-import gc
 import hashlib
+from collections.abc import Iterator
 from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellsight.llm.common import byte_view, bound_batches, chunks, covered, map_arrow, scratch_path, window_hashes, window_starts, word_hashes, word_spans
+from cellsight.llm.common import byte_view, bound_batches, covered, dropping_shuffles, map_arrow, scratch_path, window_hashes, window_starts, word_hashes, word_spans
 
 WINDOW = 13
 GRAM = 5
@@ -86,43 +86,47 @@ def _windows_of(batch: pa.RecordBatch) -> pa.RecordBatch:
     ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
     second = window_hashes(word_hashes(raw, starts, ends, SECOND_SEED), WINDOW, SECOND_BASE)
     begin = at[pick]
+    rows = batch.column(3).to_numpy(zero_copy_only=False).astype(np.int32)
     return pa.RecordBatch.from_arrays(
-        [pa.array(window_hashes(words, WINDOW)[begin].astype(np.int64)), pa.array((second[begin] >> np.uint64(32)).astype(np.uint32).view(np.int32)), pa.array(ids[doc[pick]]), pa.array((begin - first[:-1][doc[pick]]).astype(np.int32))],
-        names=["fp", "check", "doc_id", "place"],
+        [pa.array(window_hashes(words, WINDOW)[begin].astype(np.int64)), pa.array((second[begin] >> np.uint64(32)).astype(np.uint32).view(np.int32)), pa.array(ids[doc[pick]]), pa.array(rows[doc[pick]]), pa.array((begin - first[:-1][doc[pick]]).astype(np.int32))],
+        names=["fp", "check", "doc_id", "row", "place"],
     )
 
 
-def _kept_of(batch: pa.RecordBatch, with_text: bool = True) -> pa.RecordBatch:
-    """Counts and the joined remaining words (or their digest alone), from the places of repeated windows."""
-    raw, offsets = byte_view(batch.column(1))
+def _remaining(texts: pa.Array, lists: pa.Array) -> Iterator[tuple[int, int, bytes]]:
+    """Words, removed words, and the others joined by spaces, for every text and the places of its repeated windows."""
+    raw, offsets = byte_view(texts)
     starts, ends, first = word_spans(raw, offsets)
-    lists = batch.column(2).fill_null([]) if batch.column(2).null_count else batch.column(2)
+    lists = lists.fill_null([]) if lists.null_count else lists
     sizes = np.diff(np.asarray(lists.offsets))
     flat = lists.flatten().to_numpy().astype(np.int64)
     gone = covered(flat + np.repeat(first[:-1], sizes), WINDOW, len(starts))
-    n_words, n_removed, digests, texts = np.diff(first), [], [], []
     data = raw.tobytes()
     for i in range(len(first) - 1):
         a, b = first[i], first[i + 1]
         out = gone[a:b]
         n = int(out.sum())
-        n_removed.append(n)
         if n:
             stay = np.flatnonzero(~out) + a
-            text = b" ".join([data[x:y] for x, y in zip(starts[stay].tolist(), ends[stay].tolist())])
+            yield int(b - a), n, b" ".join([data[x:y] for x, y in zip(starts[stay].tolist(), ends[stay].tolist())])
         else:
-            text = b" ".join(data[offsets[i] : offsets[i + 1]].split())
-        digests.append(hashlib.sha256(text).hexdigest())
-        if with_text:
-            texts.append(text.decode())
-    columns = [batch.column(0), pa.array(n_words.astype(np.int64)), pa.array(n_removed, pa.int64()), pa.array(digests, pa.string())] + [pa.array(texts, pa.string())] * with_text
+            yield int(b - a), 0, b" ".join(data[offsets[i] : offsets[i + 1]].split())
+
+
+def _kept_of(batch: pa.RecordBatch, with_text: bool = True) -> pa.RecordBatch:
+    """Counts and the joined remaining words (or their digest alone), from the places of repeated windows."""
+    found = list(_remaining(batch.column(1), batch.column(2)))
+    columns = [batch.column(0), pa.array([n for n, _, _ in found], pa.int64()), pa.array([n for _, n, _ in found], pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for *_, x in found], pa.string())]
+    columns += [pa.array([x.decode() for *_, x in found], pa.string())] * with_text
     return pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_words", "n_removed", "kept_sha256"] + ["kept_text"] * with_text)
 
 
-def release(spark: SparkSession) -> None:
-    """Have the cleaner remove the shuffle files of phases that are done (their plans are no longer referenced)."""
-    gc.collect()
-    spark._jvm.System.gc()
+PLACES = "doc_id long, row int, place int"
+
+
+def row_of(text: str) -> Column:
+    """What tells rows of one id apart."""
+    return F.hash(F.col(text).cast("string"))
 
 
 class FingerprintIndex:
@@ -136,7 +140,8 @@ class FingerprintIndex:
 
     def _write(self, df: DataFrame, name: str) -> str:
         path = scratch_path(self.spark, name)
-        df.write.option("compression", "zstd").parquet(path)
+        with dropping_shuffles(self.spark):
+            df.write.option("compression", "zstd").parquet(path)
         return path
 
     def _read(self, path: str, schema: str) -> DataFrame:
@@ -148,6 +153,7 @@ class FingerprintIndex:
 
     ANCHORS = "anchor long, least long, shared boolean"
     WINDOWS = "fp long, check int, least long"  # a run may have more columns
+    FOUND = "fp long, check int, doc_id long, row int, place int"
 
     @staticmethod
     def merge_anchors(rows: DataFrame) -> DataFrame:
@@ -159,17 +165,17 @@ class FingerprintIndex:
         return reduce(DataFrame.union, [self._read(p, schema) for p in paths]) if paths else None
 
     def ingest(self, batch: DataFrame) -> DataFrame:
-        """Index ``batch`` (``doc_id, text``) and return ``doc_id, place`` of its windows that start in a document with a smaller id.
+        """Index ``batch`` (``doc_id, text``) and return ``doc_id, row, place`` of its windows that start in a document with a smaller id.
 
-        All ids of a batch must be greater than those of the batches before; null ids are left out.
+        ``row`` is a hash of the text, so that rows which share an id keep their own places. All ids of a batch must be greater
+        than those of the batches before; null ids are left out.
         """
-        batch = batch.where("doc_id is not null")
+        batch = batch.where("doc_id is not null").select("doc_id", "text")
         bound_batches(self.spark)
         postings_path = self._write(map_arrow(batch, _anchors_of, "anchor long, doc_id long"), "postings")
         postings = self._read(postings_path, "anchor long, doc_id long")
         rows = postings.select("anchor", F.col("doc_id").alias("least"), F.col("doc_id").alias("most"), F.lit(False).alias("shared"))
         run = self._write(self.merge_anchors(rows).sortWithinPartitions("anchor"), "anchors")
-        release(self.spark)
         new = self._read(run, self.ANCHORS)
         old = self._history(self.anchor_runs, self.ANCHORS)
         if old is None:
@@ -185,15 +191,13 @@ class FingerprintIndex:
         own = postings.join(live, "anchor").select("anchor", "doc_id")
         wanted = (own.union(targets) if targets is not None else own).groupBy("doc_id").agg(F.collect_list("anchor").alias("anchors"))
         wanted_path = self._write(wanted, "wanted")
-        release(self.spark)
         self._drop(postings_path)
         self.sources.append(batch)
-        texts = reduce(DataFrame.union, [s.select("doc_id", "text") for s in self.sources]) if targets is not None else batch.select("doc_id", "text")
-        asked = texts.join(self._read(wanted_path, "doc_id long, anchors array<long>").hint("shuffle_hash"), "doc_id").select("doc_id", "text", "anchors")
-        windows_path = self._write(map_arrow(asked, _windows_of, "fp long, check int, doc_id long, place int"), "windows")
-        release(self.spark)
+        texts = reduce(DataFrame.union, self.sources) if targets is not None else batch
+        asked = texts.join(self._read(wanted_path, "doc_id long, anchors array<long>").hint("shuffle_hash"), "doc_id").select("doc_id", "text", "anchors", row_of("text").alias("row"))
+        windows_path = self._write(map_arrow(asked, _windows_of, self.FOUND), "windows")
         self._drop(wanted_path)
-        windows = self._read(windows_path, "fp long, check int, doc_id long, place int")
+        windows = self._read(windows_path, self.FOUND)
         # one aggregation verifies the batch and compacts its windows with the runs before
         rows = windows.select("fp", "check", F.col("doc_id").alias("least"), F.col("doc_id").alias("most"))
         past_windows = self._history(self.window_runs, self.WINDOWS)
@@ -204,17 +208,15 @@ class FingerprintIndex:
         for p in self.window_runs:
             self._drop(p)
         self.window_runs = [firsts]
-        release(self.spark)
         known = self._read(firsts, known_schema).where("least < most").drop("most")
         low = batch.agg(F.min("doc_id")).first()[0]
         verified = windows.where(F.col("doc_id") >= F.lit(low)) if low is not None else windows
-        repeats = verified.join(known, ["fp", "check"]).where("least < doc_id").select("doc_id", "place")
+        repeats = verified.join(known, ["fp", "check"]).where("least < doc_id").select("doc_id", "row", "place")
         out_path = self._write(repeats, "repeats")
-        release(self.spark)
         self._drop(windows_path)
         self._drop(live_path)
         self.anchor_runs.append(run)
-        return self._read(out_path, "doc_id long, place int")
+        return self._read(out_path, PLACES)
 
     def close(self) -> None:
         """Remove the index; what ``ingest`` returned stays."""
@@ -231,17 +233,11 @@ class FingerprintIndex:
         for p in self.anchor_runs:
             self._drop(p)
         self.anchor_runs = [run]
-        release(self.spark)
-
 
-def remove_repeats(docs: DataFrame, batches: int = BATCHES, id_column: str = "doc_id", text_column: str = "text", with_text: bool = True) -> DataFrame:
-    """``doc_id, n_words, n_removed, kept_sha256`` and, unless told otherwise, ``kept_text`` of every row.
 
-    The index is fed with ``batches`` ranges of ids. Null texts have no words; rows with a null id lose none; rows that
-    share an id are one document (windows they share are no repeats); texts under 13 words lose none.
-    """
-    spark = docs.sparkSession
-    frame = docs.select(docs[id_column].cast("long").alias("doc_id"), docs[text_column].cast("string").alias("text"))
+def repeated_places(frame: DataFrame, batches: int = BATCHES) -> DataFrame:
+    """``__id, __row, __places`` of ``doc_id, text``: where the repeated windows of every document that has some start."""
+    spark = frame.sparkSession
     low, high = frame.agg(F.min("doc_id"), F.max("doc_id")).first()
     index, found = FingerprintIndex(spark), []
     if low is not None:
@@ -251,8 +247,46 @@ def remove_repeats(docs: DataFrame, batches: int = BATCHES, id_column: str = "do
             if k + 2 < len(cuts):
                 index.compact()
     index.close()
-    schema = "doc_id long, place int"
-    places = reduce(DataFrame.union, found) if found else spark.createDataFrame([], schema)
-    lists = places.groupBy("doc_id").agg(F.collect_list("place").alias("places"))
-    joined = frame.join(lists.hint("shuffle_hash"), "doc_id", "left").select("doc_id", "text", "places")
-    return map_arrow(joined, partial(_kept_of, with_text=with_text), "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text)
+    places = reduce(DataFrame.union, found) if found else spark.createDataFrame([], PLACES)
+    return places.groupBy(F.col("doc_id").alias("__id"), F.col("row").alias("__row")).agg(F.collect_list("place").alias("__places"))
+
+
+def _with_places(docs: DataFrame, id_column: str, text_column: str, batches: int) -> DataFrame:
+    """``docs`` with the key of every row and its places (null where it has none)."""
+    keyed = docs.withColumn("__doc", docs[id_column].cast("long")).withColumn("__hash", row_of(text_column))
+    frame = docs.select(docs[id_column].cast("long").alias("doc_id"), docs[text_column].cast("string").alias("text"))
+    found = repeated_places(frame, batches)
+    return keyed.join(found.hint("shuffle_hash"), (F.col("__doc") == F.col("__id")) & (F.col("__hash") == F.col("__row")), "left")
+
+
+def remove_repeats(docs: DataFrame, batches: int = BATCHES, id_column: str = "doc_id", text_column: str = "text", with_text: bool = True) -> DataFrame:
+    """``doc_id, n_words, n_removed, kept_sha256`` and, unless told otherwise, ``kept_text`` of every row.
+
+    The index is fed with ``batches`` ranges of ids. Null texts have no words; rows with a null id lose none; rows that
+    share an id are one document (windows they share are no repeats), each with its own text; texts under 13 words lose none.
+    """
+    joined = _with_places(docs.select(docs[id_column], docs[text_column]), id_column, text_column, batches)
+    rows = joined.select(F.col("__doc").alias("doc_id"), F.col(text_column).cast("string").alias("text"), F.col("__places").alias("places"))
+    return map_arrow(rows, partial(_kept_of, with_text=with_text), "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text)
+
+
+def drop_repeats(docs: DataFrame, batches: int = BATCHES, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns: repeated words are taken out of the text, the others joined by spaces.
+
+    A text that loses none stays as it is, nulls too. Rows and ids are treated as in ``remove_repeats``.
+    """
+    joined = _with_places(docs, id_column, text_column, batches)
+    names = docs.columns
+    n, at = len(names), names.index(text_column)
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        texts = batch.column(at).to_pylist()
+        hit = np.flatnonzero(batch.column(n).is_valid().to_numpy(zero_copy_only=False))
+        if len(hit):
+            for i, (_, removed, text) in zip(hit.tolist(), _remaining(batch.column(at).take(pa.array(hit)), batch.column(n).take(pa.array(hit)))):
+                if removed:
+                    texts[i] = text.decode()
+        return pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if i == at else batch.column(i) for i in range(n)], names=names)
+
+    rows = joined.select(*[F.col(c).cast("string").alias(c) if c == text_column else F.col(c) for c in docs.columns], "__places")
+    return map_arrow(rows, run, rows.drop("__places").schema, text_column)
