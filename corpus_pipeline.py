@@ -21,26 +21,29 @@ def _columns(docs: DataFrame) -> DataFrame:
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep; the others go."""
+    """Documents that the quality rules keep; the others go. Null and empty texts fail the rules; every row is judged for itself."""
     return quality.keep(_columns(docs))
 
 
 def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines on too many pages of their source are taken out; a document stays even if nothing of it does."""
+    """Lines on too many pages of their source are taken out; a document stays even if nothing of it does. Null texts stay null, with no characters counted."""
     return _columns(lines.drop_lines(docs).withColumn("n_chars", F.char_length("text").cast("long")))
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least id of every group of near-duplicates: fingerprints within three bits, then five-word shingles at 0.8."""
+    """The document with the least id of every group of near-duplicates: fingerprints within three bits, then five-word shingles at 0.8.
+
+    Rows that share an id stay or go together. All texts without words are alike and one of them stays.
+    """
     return _columns(simhash.keep_dissimilar(settle(simhash.keep_one(docs), "distinct")))
 
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Words in passages that a document with a smaller id has too are taken out; texts that lose none stay as they are."""
-    kept = substring.remove_repeats(docs).where("n_removed > 0").select(F.col("doc_id").alias("__id"), "kept_text").dropDuplicates(["__id"])
-    joined = docs.join(kept, F.col("doc_id") == F.col("__id"), "left")
-    text = F.coalesce("kept_text", "text")
-    return _columns(joined.withColumn("text", text).withColumn("n_chars", F.char_length("text").cast("long")))
+    """Words in passages that a document with a smaller id has too are taken out; texts that lose none stay as they are.
+
+    Every row keeps its own text, also where ids repeat or are null (rows without an id lose nothing).
+    """
+    return _columns(substring.drop_repeats(_columns(docs)).withColumn("n_chars", F.char_length("text").cast("long")))
 
 
 def pack_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
