@@ -214,7 +214,7 @@ def keep_one(docs: DataFrame, size: int = 3, bits: int = 3, id_column: str = "do
 #: Sampled fingerprints of a document, and shingles in each.
 SAMPLES, SAMPLE_SIZE = 16, 4
 #: Documents at home in one comparison and their shingles at most; documents that pass by in one task.
-HOME_DOCS, HOME_SHINGLES, PASSING = 256, 1 << 21, 4096
+HOME_DOCS, HOME_SHINGLES, PASSING = 256, 1 << 21, 512
 
 
 def shingle_lists(column: pa.Array, size: int) -> Iterator[np.ndarray]:

@@ -6,12 +6,15 @@ gram with the least hash among the nine in it. Equal windows have equal anchors,
 so a window can repeat only where its anchor does; neighbouring windows share
 anchors, so there is one for about five windows.
 
-The index holds sorted immutable runs. A run of anchors has one row for each
-anchor hash, with the least id that has it and whether a second one does. A
-new batch's anchors are aggregated to a run, merge-joined with the runs before,
-and only windows of repeated anchors are looked at: their 96-bit fingerprints
-are verified against a run of windows, each with the least id where it starts.
-When runs of a kind reach the fan-out they are compacted into one.
+The index holds immutable runs of three kinds, one of each for a batch.
+Evidence: the word hashes of every text, so no text is read again. Anchors: one
+row for each anchor hash, with the least id that has it and whether a second one
+does. Windows: the 96-bit fingerprints of all 13 words of windows whose anchor
+repeats, each with the least id where it starts. A new batch's anchors are
+aggregated to a run and merge-joined with the runs before; windows of repeated
+anchors are verified from the evidence, of this batch and, where an anchor was
+unique so far, of its owner's. When ``fan_out`` runs of a tier have come together
+they are compacted to one of the next tier.
 """
 
 from __future__ import annotations
@@ -25,39 +28,48 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellsight.llm.common import byte_view, bound_batches, covered, dropping_shuffles, map_arrow, scratch_path, window_hashes, window_starts, word_hashes, word_spans
+from cellsight.llm.common import bound_batches, byte_view, covered, dropping_shuffles, map_arrow, scratch_path, window_hashes, window_starts, word_hashes, word_spans
 
 WINDOW = 13
 GRAM = 5
-FAN_OUT = 2
-#: Rounds in which the query feeds the index, each with a range of ids of equal width.
+FAN_OUT = 4
+#: Rounds in which the query feeds the index, each with a range of ids.
 BATCHES = 3
-SECOND_SEED, SECOND_BASE = 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9
+SECOND_BASE = 0x165667B19E3779F9
 
 
-def anchored(raw: np.ndarray, offsets: np.ndarray, size: int = WINDOW, gram: int = GRAM):
-    """Words, windows and anchors of all texts of a column.
-
-    Returns word hashes, word starts and ends, words before each text, and for every window its first word, its text and
-    its anchor's hash (the least gram hash in the window).
-    """
+def _evidence_of(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """The word hashes of every text of at least one window, eight bytes each."""
+    raw, offsets = byte_view(batch.column(1))
     starts, ends, first = word_spans(raw, offsets)
     words = word_hashes(raw, starts, ends)
+    long = np.flatnonzero(np.diff(first) >= WINDOW)
+    found = [words[first[i] : first[i + 1]].tobytes() for i in long.tolist()]
+    return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(long)), batch.column(2).take(pa.array(long)), pa.array(found, pa.binary())], names=["doc_id", "row", "words"])
+
+
+def word_view(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All word hashes of a column of evidence, and the number of words before each of its texts."""
+    values = column.to_pylist()
+    return np.frombuffer(b"".join(values), np.uint64), np.concatenate([[0], np.cumsum([len(x) // 8 for x in values], dtype=np.int64)]).astype(np.int64)
+
+
+def anchored(words: np.ndarray, first: np.ndarray, size: int = WINDOW, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First word, text and anchor's hash (the least gram hash in the window) of every window of texts of word hashes."""
     at, doc = window_starts(first, size)
     if not len(at):
-        return words, starts, ends, first, at, doc, np.zeros(0, np.uint64)
+        return at, doc, np.zeros(0, np.uint64)
     grams = window_hashes(words, gram)
     least, span, width = grams, size - gram + 1, 1
     while 2 * width <= span:  # least of 1, 2, 4, 8 neighbours
         least = np.minimum(least[:-width], least[width:])
         width *= 2
     least = np.minimum(least[: len(least) - (span - width)], least[span - width :]) if span > width else least
-    return words, starts, ends, first, at, doc, least[at]
+    return at, doc, least[at]
 
 
 def _anchors_of(batch: pa.RecordBatch) -> pa.RecordBatch:
-    raw, offsets = byte_view(batch.column(1))
-    *_, doc, anchor = anchored(raw, offsets)
+    _, doc, anchor = anchored(*word_view(batch.column(1)))
     ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
     if not len(doc):
         return None
@@ -71,9 +83,9 @@ def _anchors_of(batch: pa.RecordBatch) -> pa.RecordBatch:
 
 def _windows_of(batch: pa.RecordBatch) -> pa.RecordBatch:
     """Both fingerprints and the place of every window whose anchor is listed for its document."""
-    raw, offsets = byte_view(batch.column(1))
-    words, starts, ends, first, at, doc, anchor = anchored(raw, offsets)
-    lists = batch.column(2)
+    words, first = word_view(batch.column(2))
+    at, doc, anchor = anchored(words, first)
+    lists = batch.column(3)
     sizes = np.diff(np.asarray(lists.offsets))
     flat = lists.flatten().to_numpy().astype(np.uint64)
     salt = lambda d: d.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
@@ -83,12 +95,11 @@ def _windows_of(batch: pa.RecordBatch) -> pa.RecordBatch:
     pick = np.flatnonzero(wanted[place] == mine) if len(wanted) else np.zeros(0, np.int64)
     if not len(pick):
         return None
-    ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-    second = window_hashes(word_hashes(raw, starts, ends, SECOND_SEED), WINDOW, SECOND_BASE)
-    begin = at[pick]
-    rows = batch.column(3).to_numpy(zero_copy_only=False).astype(np.int32)
+    ids, rows = batch.column(0).to_numpy().astype(np.int64), batch.column(1).to_numpy().astype(np.int32)
+    begin, doc = at[pick], doc[pick]
+    second = window_hashes(words, WINDOW, SECOND_BASE)
     return pa.RecordBatch.from_arrays(
-        [pa.array(window_hashes(words, WINDOW)[begin].astype(np.int64)), pa.array((second[begin] >> np.uint64(32)).astype(np.uint32).view(np.int32)), pa.array(ids[doc[pick]]), pa.array(rows[doc[pick]]), pa.array((begin - first[:-1][doc[pick]]).astype(np.int32))],
+        [pa.array(window_hashes(words, WINDOW)[begin].astype(np.int64)), pa.array((second[begin] >> np.uint64(32)).astype(np.uint32).view(np.int32)), pa.array(ids[doc]), pa.array(rows[doc]), pa.array((begin - first[:-1][doc]).astype(np.int32))],
         names=["fp", "check", "doc_id", "row", "place"],
     )
 
@@ -132,11 +143,16 @@ def row_of(text: str) -> Column:
 class FingerprintIndex:
     """Grows by batches of documents with ascending ids; ``ingest`` returns the repeated windows of a batch."""
 
+    EVIDENCE = "doc_id long, row int, words binary"
+    ANCHORS = "anchor long, least long, shared boolean"
+    WINDOWS = "fp long, check int, least long"
+    FOUND = "fp long, check int, doc_id long, row int, place int"
+
     def __init__(self, spark: SparkSession, fan_out: int = FAN_OUT):
         self.spark, self.fan_out = spark, fan_out
-        self.anchor_runs: list[str] = []
-        self.window_runs: list[str] = []
-        self.sources: list[DataFrame] = []
+        self.evidence: list[str] = []
+        #: Runs by kind, oldest first: ``(tier, path)``.
+        self.runs: dict[str, list[tuple[int, str]]] = {"anchors": [], "windows": []}
 
     def _write(self, df: DataFrame, name: str) -> str:
         path = scratch_path(self.spark, name)
@@ -144,107 +160,105 @@ class FingerprintIndex:
             df.write.option("compression", "zstd").parquet(path)
         return path
 
-    def _read(self, path: str, schema: str) -> DataFrame:
-        return self.spark.read.schema(schema).parquet(path)
+    def _read(self, schema: str, *paths: str) -> DataFrame:
+        return self.spark.read.schema(schema).parquet(*paths)
 
     def _drop(self, path: str) -> None:
         p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
 
-    ANCHORS = "anchor long, least long, shared boolean"
-    WINDOWS = "fp long, check int, least long"  # a run may have more columns
-    FOUND = "fp long, check int, doc_id long, row int, place int"
+    def _history(self, kind: str, schema: str) -> DataFrame | None:
+        paths = [p for _, p in self.runs[kind]]
+        return self._read(schema, *paths) if paths else None
 
     @staticmethod
     def merge_anchors(rows: DataFrame) -> DataFrame:
-        """One row for each anchor of several runs, whose ids don't overlap unless a run says so."""
+        """One row for each anchor: the least id that has it, and whether another one does."""
         merged = rows.groupBy("anchor").agg(F.min("least").alias("least"), F.max("most").alias("most"), F.max("shared").alias("shared"))
-        return merged.select("anchor", "least", (F.col("shared") | (F.col("least") < F.col("most"))).alias("shared"))
-
-    def _history(self, paths: list[str], schema: str) -> DataFrame | None:
-        return reduce(DataFrame.union, [self._read(p, schema) for p in paths]) if paths else None
+        return merged.select("anchor", "least", (F.col("shared") | (F.col("least") < F.col("most"))).alias("shared")).sortWithinPartitions("anchor")
 
     def ingest(self, batch: DataFrame) -> DataFrame:
         """Index ``batch`` (``doc_id, text``) and return ``doc_id, row, place`` of its windows that start in a document with a smaller id.
 
         ``row`` is a hash of the text, so that rows which share an id keep their own places. All ids of a batch must be greater
-        than those of the batches before; null ids are left out.
+        than those of the batches before; null ids are left out. The batch is read once.
         """
-        batch = batch.where("doc_id is not null").select("doc_id", "text")
         bound_batches(self.spark)
-        postings_path = self._write(map_arrow(batch, _anchors_of, "anchor long, doc_id long"), "postings")
-        postings = self._read(postings_path, "anchor long, doc_id long")
+        texts = batch.where("doc_id is not null").select("doc_id", "text", row_of("text").alias("row"))
+        evidence = self._write(map_arrow(texts, _evidence_of, self.EVIDENCE), "evidence")
+        own = self._read(self.EVIDENCE, evidence)
+        postings_path = self._write(map_arrow(own.select("doc_id", "words"), _anchors_of, "anchor long, doc_id long", "words"), "postings")
+        postings = self._read("anchor long, doc_id long", postings_path)
         rows = postings.select("anchor", F.col("doc_id").alias("least"), F.col("doc_id").alias("most"), F.lit(False).alias("shared"))
-        run = self._write(self.merge_anchors(rows).sortWithinPartitions("anchor"), "anchors")
-        new = self._read(run, self.ANCHORS)
-        old = self._history(self.anchor_runs, self.ANCHORS)
+        run = self._write(self.merge_anchors(rows), "anchors")
+        new, old = self._read(self.ANCHORS, run), self._history("anchors", self.ANCHORS)
         if old is None:
-            live_path = self._write(new.where("shared").select("anchor"), "live")
-            targets = None
+            live_path, targets = self._write(new.where("shared").select("anchor"), "live"), None
         else:
             # merge join of the new run with all before: anchors of the batch that repeat, and first owners not yet verified
             past = old.groupBy("anchor").agg(F.min("least").alias("owner"), (F.max("shared") | (F.count("*") > 1)).alias("known"))
-            met = new.join(past, "anchor", "left").where("shared or owner is not null").select("anchor", "owner", "known")
-            live_path = self._write(met, "live")
-            targets = self._read(live_path, "anchor long, owner long, known boolean").where("owner is not null and not known").select("anchor", F.col("owner").alias("doc_id"))
-        live = self._read(live_path, "anchor long").select("anchor")
-        own = postings.join(live, "anchor").select("anchor", "doc_id")
-        wanted = (own.union(targets) if targets is not None else own).groupBy("doc_id").agg(F.collect_list("anchor").alias("anchors"))
+            live_path = self._write(new.join(past, "anchor", "left").where("shared or owner is not null").select("anchor", "owner", "known"), "live")
+            targets = self._read("anchor long, owner long, known boolean", live_path).where("owner is not null and not known").select("anchor", F.col("owner").alias("doc_id"))
+        asked = postings.join(self._read("anchor long", live_path), "anchor").select("anchor", "doc_id")
+        wanted = (asked.union(targets) if targets is not None else asked).groupBy("doc_id").agg(F.collect_list("anchor").alias("anchors"))
         wanted_path = self._write(wanted, "wanted")
         self._drop(postings_path)
-        self.sources.append(batch)
-        texts = reduce(DataFrame.union, self.sources) if targets is not None else batch
-        asked = texts.join(self._read(wanted_path, "doc_id long, anchors array<long>").hint("shuffle_hash"), "doc_id").select("doc_id", "text", "anchors", row_of("text").alias("row"))
-        windows_path = self._write(map_arrow(asked, _windows_of, self.FOUND), "windows")
+        self._drop(live_path)
+        self.evidence.append(evidence)
+        words = self._read(self.EVIDENCE, *(self.evidence if targets is not None else [evidence]))
+        lists = self._read("doc_id long, anchors array<long>", wanted_path)
+        found = words.join(lists.hint("shuffle_hash"), "doc_id").select("doc_id", "row", "words", "anchors")
+        windows_path = self._write(map_arrow(found, _windows_of, self.FOUND, "words"), "windows")
         self._drop(wanted_path)
-        windows = self._read(windows_path, self.FOUND)
-        # one aggregation verifies the batch and compacts its windows with the runs before
-        rows = windows.select("fp", "check", F.col("doc_id").alias("least"), F.col("doc_id").alias("most"))
-        past_windows = self._history(self.window_runs, self.WINDOWS)
-        if past_windows is not None:
-            rows = rows.union(past_windows.select("fp", "check", "least", F.col("least").alias("most")))
-        known_schema = self.WINDOWS + ", most long"
-        firsts = self._write(rows.groupBy("fp", "check").agg(F.min("least").alias("least"), F.max("most").alias("most")).sortWithinPartitions("fp"), "firsts")
-        for p in self.window_runs:
-            self._drop(p)
-        self.window_runs = [firsts]
-        known = self._read(firsts, known_schema).where("least < most").drop("most")
-        low = batch.agg(F.min("doc_id")).first()[0]
-        verified = windows.where(F.col("doc_id") >= F.lit(low)) if low is not None else windows
-        repeats = verified.join(known, ["fp", "check"]).where("least < doc_id").select("doc_id", "row", "place")
-        out_path = self._write(repeats, "repeats")
+        windows = self._read(self.FOUND, windows_path)
+        firsts = windows.groupBy("fp", "check").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"))
+        window_run = self._write(firsts.sortWithinPartitions("fp"), "windows")
+        known = self._read(self.WINDOWS + ", most long", window_run)
+        past = self._history("windows", self.WINDOWS)
+        if past is not None:
+            past = past.groupBy("fp", "check").agg(F.min("least").alias("past"))
+            known = known.join(past, ["fp", "check"], "left").select("fp", "check", F.least("least", "past").alias("least"), "most")
+        known = known.where("least < most").drop("most")
+        low = own.agg(F.min("doc_id")).first()[0]
+        mine = windows.where(F.col("doc_id") >= F.lit(low)) if low is not None else windows
+        out_path = self._write(mine.join(known, ["fp", "check"]).where("least < doc_id").select("doc_id", "row", "place"), "repeats")
         self._drop(windows_path)
-        self._drop(live_path)
-        self.anchor_runs.append(run)
-        return self._read(out_path, PLACES)
+        self.runs["anchors"].append((0, run))
+        self.runs["windows"].append((0, window_run))
+        return self._read(PLACES, out_path)
+
+    def compact(self) -> None:
+        """Merge runs until no tier has ``fan_out`` of them."""
+        for kind, schema in (("anchors", self.ANCHORS), ("windows", self.WINDOWS)):
+            runs = self.runs[kind]
+            while full := [t for t in {t for t, _ in runs} if sum(t == u for u, _ in runs) >= self.fan_out]:
+                tier = min(full)
+                old = [p for t, p in runs if t == tier]
+                rows = self._read(schema, *old)
+                merged = self.merge_anchors(rows.withColumn("most", F.col("least"))) if kind == "anchors" else rows.groupBy("fp", "check").agg(F.min("least").alias("least")).sortWithinPartitions("fp")
+                path = self._write(merged, kind)
+                runs[:] = [r for r in runs if r[1] not in old] + [(tier + 1, path)]
+                for p in old:
+                    self._drop(p)
 
     def close(self) -> None:
         """Remove the index; what ``ingest`` returned stays."""
-        for p in [*self.anchor_runs, *self.window_runs]:
-            self._drop(p)
-        self.anchor_runs, self.window_runs = [], []
-
-    def compact(self, force: bool = False) -> None:
-        """Merge the runs of anchors into one once there are ``fan_out`` of them."""
-        if len(self.anchor_runs) < (2 if force else self.fan_out):
-            return
-        rows = self._history(self.anchor_runs, self.ANCHORS).withColumn("most", F.col("least"))
-        run = self._write(self.merge_anchors(rows).sortWithinPartitions("anchor"), "anchors")
-        for p in self.anchor_runs:
+        for p in [*self.evidence, *(p for runs in self.runs.values() for _, p in runs)]:
             self._drop(p)
-        self.anchor_runs = [run]
+        self.evidence, self.runs = [], {"anchors": [], "windows": []}
 
 
 def repeated_places(frame: DataFrame, batches: int = BATCHES) -> DataFrame:
     """``__id, __row, __places`` of ``doc_id, text``: where the repeated windows of every document that has some start."""
     spark = frame.sparkSession
-    low, high = frame.agg(F.min("doc_id"), F.max("doc_id")).first()
     index, found = FingerprintIndex(spark), []
-    if low is not None:
-        cuts = sorted({low + (high + 1 - low) * k // batches for k in range(batches + 1)})
-        for k, (a, b) in enumerate(zip(cuts, cuts[1:])):
+    # ranges of ids with about equally many documents; a range of equal cuts is empty
+    cuts = frame.agg(F.percentile_approx("doc_id", [k / batches for k in range(1, batches)], 10000).alias("cuts"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).first() if batches > 1 else frame.agg(F.lit(None).alias("cuts"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).first()
+    if cuts["low"] is not None:
+        edges = sorted({cuts["low"], *(cuts["cuts"] or []), cuts["high"] + 1})
+        for k, (a, b) in enumerate(zip(edges, edges[1:])):
             found.append(index.ingest(frame.where((F.col("doc_id") >= a) & (F.col("doc_id") < b))))
-            if k + 2 < len(cuts):
+            if k + 2 < len(edges):
                 index.compact()
     index.close()
     places = reduce(DataFrame.union, found) if found else spark.createDataFrame([], PLACES)

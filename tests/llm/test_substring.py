@@ -1,5 +1,6 @@
 import hashlib
 import random
+import shutil
 
 from cellsight.llm import substring
 
@@ -51,14 +52,20 @@ def test_edges(spark):
     assert substring.remove_repeats(df.limit(0)).count() == 0
 
 
-def test_index_grows_and_compacts(spark):
-    docs = sorted(corpus(3))
+def test_index_grows_and_compacts_without_the_old_texts(spark, tmp_path):
+    docs = sorted(corpus(3, 90))
     want = brute(docs)
-    index, found = substring.FingerprintIndex(spark), []
-    for i in range(0, len(docs), 17):
-        found += index.ingest(spark.createDataFrame(docs[i : i + 17], "doc_id long, text string")).collect()
+    index, found, most = substring.FingerprintIndex(spark), [], 0
+    step = -(-len(docs) // 10)
+    for i in range(0, len(docs), step):
+        path = tmp_path / f"batch{i}"
+        spark.createDataFrame(docs[i : i + step], "doc_id long, text string").write.parquet(str(path))
+        found += index.ingest(spark.read.parquet(str(path))).collect()
+        shutil.rmtree(path)
+        most = max(most, len(index.runs["anchors"]))
         index.compact()
-    assert len(index.anchor_runs) == 1 and len(index.window_runs) == 1
+        assert all(sum(t == u for u, _ in runs) < index.fan_out for runs in index.runs.values() for t, _ in runs)
+    assert most == 5 and {t for t, _ in index.runs["windows"]} == {0, 1}
     gone = {}
     for r in found:
         gone.setdefault(r["doc_id"], set()).update(range(r["place"], r["place"] + 13))
