@@ -7,8 +7,10 @@ sample, 17 (IMA ADPCM) in blocks, 1 (16-bit PCM).
 from __future__ import annotations
 
 import hashlib
+import math
 import struct
 import zlib
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +21,9 @@ from cellsight.llm.common import map_arrow, settle, texts_of
 PCM, ALAW, MULAW, IMA = 1, 6, 7, 17
 RATE = 8000
 BLOCK = 192
+#: Production rate of stored PCM, and zero crossings of the resampling filter on each side.
+PCM_RATE = 6000
+ZERO_CROSSINGS = 8
 #: Fixed values of the public IMA ADPCM format: the step sizes and the change of their index for each code.
 IMA_STEPS = np.array([
     7, 8, 9, 10, 11, 12, 13, 14, 16, 17, 19, 21, 23, 25, 28, 31, 34, 37, 41, 45, 50, 55, 60, 66, 73, 80, 88, 97, 107, 118,
@@ -120,16 +125,38 @@ def ima_encode(samples: np.ndarray, block: int = BLOCK) -> np.ndarray:
     return out
 
 
+@lru_cache(maxsize=32)
+def _kernels(up: int, down: int) -> tuple[int, np.ndarray]:
+    """Reach of the windowed sinc, and its weights for each of ``up`` places between two samples; they pass what both rates can hold."""
+    share = min(1.0, up / down)
+    reach = int(np.ceil(ZERO_CROSSINGS / share))
+    at = np.arange(1 - reach, reach + 1)
+    rows = []
+    for phase in range(up):
+        x = at - phase / up
+        weights = np.sinc(share * x) * np.cos(np.pi * np.clip(x / (reach + 1), -1, 1) / 2) ** 2
+        rows.append(weights / weights.sum())
+    return reach, np.array(rows)
+
+
 def resample(samples: np.ndarray, rate: int, target: int) -> np.ndarray:
-    """16-bit samples at another rate, by linear interpolation between neighbours."""
+    """16-bit samples at another rate by a windowed sinc, which keeps out what the lower rate can't hold; ends are held."""
     n = len(samples) * target // rate
     if rate == target or not n:
         return samples[:n].astype(np.int16)
-    if target == 2 * rate:
-        after = np.append(samples[1:], samples[-1:]).astype(np.int32)
-        return np.stack([samples, (samples + after) >> 1], 1).ravel().astype(np.int16)
-    at = np.arange(n) * (rate / target)
-    return np.rint(np.interp(at, np.arange(len(samples)), samples)).astype(np.int16)
+    common = math.gcd(rate, target)
+    up, down = target // common, rate // common
+    reach, kernels = _kernels(up, down)
+    padded = np.concatenate([np.full(reach - 1, samples[0], float), samples, np.full(reach + down, samples[-1], float)])
+    out = np.empty(n)
+    for phase in range(min(up, n)):  # output phase, phase + up, ... lie at the same place between samples
+        base, place = divmod(phase * down, up)
+        count = -(-(n - phase) // up)
+        total = np.zeros(count)
+        for k, weight in enumerate(kernels[place]):
+            total += weight * padded[base + k : base + k + down * (count - 1) + 1 : down]
+        out[phase::up] = total
+    return np.clip(np.rint(out), -32768, 32767).astype(np.int16)
 
 
 def wav(payload: bytes, kind: int, rate: int = RATE, block: int = 1) -> bytes:
@@ -147,7 +174,7 @@ def wav(payload: bytes, kind: int, rate: int = RATE, block: int = 1) -> bytes:
 
 
 def read_wav(data: bytes) -> tuple[int, int, int, bytes]:
-    """Format, rate, block size and payload of RIFF/WAVE bytes."""
+    """Format, rate, block size and payload of mono RIFF/WAVE bytes."""
     if data[:4] != b"RIFF" or data[8:12] != b"WAVE":
         raise ValueError("not RIFF/WAVE")
     at, kind, rate, align, payload = 12, None, 0, 1, None
@@ -155,7 +182,9 @@ def read_wav(data: bytes) -> tuple[int, int, int, bytes]:
         name, size = data[at : at + 4], struct.unpack_from("<I", data, at + 4)[0]
         body = data[at + 8 : at + 8 + size]
         if name == b"fmt ":
-            kind, _, rate, _, align = struct.unpack_from("<HHIIH", body)
+            kind, channels, rate, _, align = struct.unpack_from("<HHIIH", body)
+            if channels != 1 or not rate or kind == IMA and align < 5:
+                raise ValueError("not mono, no rate, or no room in a block")
         elif name == b"data":
             payload = body
         at += 8 + size + size % 2
@@ -177,8 +206,8 @@ def samples_of(data: bytes) -> tuple[np.ndarray, int]:
     raise ValueError(f"format {kind}")
 
 
-def to_pcm(media: DataFrame, target: int = 16000, id_column: str = "doc_id", media_column: str = "media") -> DataFrame:
-    """``doc_id, pcm, rate, n_samples``: decoded, resampled and stored as 16-bit PCM WAVE. Null or broken media give null ``pcm``."""
+def to_pcm(media: DataFrame, target: int = PCM_RATE, id_column: str = "doc_id", media_column: str = "media") -> DataFrame:
+    """``doc_id, pcm, rate, n_samples``: decoded, resampled and stored as 16-bit PCM WAVE. Null, broken and many-channel media give null ``pcm``."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         out, counts = [], []
@@ -217,46 +246,56 @@ def store_text(docs: DataFrame, kind: int = MULAW, id_column: str = "doc_id", te
     return map_arrow(frame, run, "doc_id long, n_bytes long, media binary")
 
 
-def features(payloads: list[bytes]) -> list[str]:
-    """A line of figures for each payload: of its mu-law samples at 16 kHz, its A-law samples, and its ADPCM blocks.
-
-    All blocks of all payloads are decoded together.
-    """
+def law_features(payloads: list[bytes]) -> list[str]:
+    """Figures of each payload's A-law samples and ADPCM blocks; all blocks of all payloads are decoded together."""
+    if not payloads:
+        return []
     blocks = np.frombuffer(b"".join(payloads), np.uint8).reshape(-1, BLOCK)
     counts = np.array([len(p) // BLOCK for p in payloads])
     begins = np.cumsum(counts) - counts
-    pcm = expand(blocks.ravel(), MULAW)
     law = np.abs(expand(blocks, ALAW).astype(np.int32)).sum(1)
     ima = ima_decode(blocks)
     ima_peak = np.maximum.reduceat(ima.max(1), begins)
     ima_sum = np.add.reduceat(np.abs(ima.astype(np.int32)).sum(1, dtype=np.int64), begins)
     law_sum = np.add.reduceat(law.astype(np.int64), begins)
-    out = []
-    for i, (b, n) in enumerate(zip(begins * BLOCK, counts * BLOCK)):
-        s = resample(pcm[b : b + n], RATE, 2 * RATE)
-        energy = int(np.square(s.astype(np.int64)).sum())
-        crossings = int(np.count_nonzero((s[1:] < 0) != (s[:-1] < 0)))
-        out.append(f"n={len(s)};energy={energy};crossings={crossings};peak={int(np.abs(s.astype(np.int32)).max())};alaw={int(law_sum[i])};ima_peak={int(ima_peak[i])};ima_sum={int(ima_sum[i])}")
-    return out
+    return [f"alaw={a};ima_peak={p};ima_sum={s}" for a, p, s in zip(law_sum.tolist(), ima_peak.tolist(), ima_sum.tolist())]
+
 
+def pcm_features(samples: np.ndarray) -> str:
+    """Figures of PCM samples."""
+    s = samples.astype(np.int64)
+    return f"n={len(s)};energy={int(np.square(s).sum())};crossings={int(np.count_nonzero((s[1:] < 0) != (s[:-1] < 0)))};peak={int(np.abs(s).max(initial=0))}"
 
-def digests(media: DataFrame) -> DataFrame:
-    """Digests and features of stored mu-law media, from the stored bytes alone."""
+
+DIGESTS = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+
+
+def digests(media: DataFrame, target: int = PCM_RATE) -> DataFrame:
+    """Digests of stored mu-law media with figures of their A-law and ADPCM readings, and their resampled ``pcm``, from the stored bytes alone."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         stored = batch.column(2).to_pylist()
         payloads = [read_wav(x)[3] for x in stored]
         sha = lambda x: hashlib.sha256(x).hexdigest()
+        pcm = [wav(resample(expand(np.frombuffer(x, np.uint8)), RATE, target).astype("<i2").tobytes(), PCM, target) for x in payloads]
         return pa.RecordBatch.from_pydict(
             {
                 "doc_id": batch.column(0), "n_bytes": batch.column(1), "payload_bytes": pa.array(map(len, payloads), pa.int64()), "payload_sha256": pa.array(map(sha, payloads), pa.string()),
-                "tail_crc32": pa.array([zlib.crc32(x[-16:]) for x in payloads], pa.int64()), "media_bytes": pa.array(map(len, stored), pa.int64()), "media_sha256": pa.array(map(sha, stored), pa.string()), "feature": pa.array(features(payloads), pa.string()),
+                "tail_crc32": pa.array([zlib.crc32(x[-16:]) for x in payloads], pa.int64()), "media_bytes": pa.array(map(len, stored), pa.int64()), "media_sha256": pa.array(map(sha, stored), pa.string()),
+                "feature": pa.array(law_features(payloads), pa.string()), "pcm": pa.array(pcm, pa.binary()),
             }
         )
 
-    return map_arrow(media.select("doc_id", "n_bytes", "media"), run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string", "media")
+    return map_arrow(media.select("doc_id", "n_bytes", "media"), run, DIGESTS + ", pcm binary", "media")
 
 
-def store_and_read(docs: DataFrame) -> DataFrame:
-    """Write the media column to the shared folder, read it back and return its digests."""
-    return digests(settle(store_text(docs), "media"))
+def store_and_read(docs: DataFrame, target: int = PCM_RATE) -> DataFrame:
+    """Store the media column, read it back, store its resampled PCM, and return digests and features of what was stored."""
+    stored = settle(digests(settle(store_text(docs), "media"), target), "pcm")
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        n = batch.num_columns - 1
+        whole = [f"{pcm_features(samples_of(x)[0])};{f}" for x, f in zip(batch.column(n).to_pylist(), batch.column(n - 1).to_pylist())]
+        return pa.RecordBatch.from_arrays([*batch.columns[: n - 1], pa.array(whole, pa.string())], names=batch.schema.names[:n])
+
+    return map_arrow(stored, run, DIGESTS, "pcm")
