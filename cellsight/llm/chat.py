@@ -23,7 +23,8 @@ BEGIN, END = "<|im_start|>", "<|im_end|>"
 
 
 def _header(role: Column, speaker: Column) -> Column:
-    name = F.regexp_replace(role, "[^A-Za-z0-9_-]", "_")
+    # a backslash marks what would end the header; no two names come out alike
+    name = F.replace(F.replace(F.replace(role, F.lit("\\"), F.lit("\\\\")), F.lit("\n"), F.lit("\\n")), F.lit("<|im_"), F.lit("<\\|im_"))
     return F.concat(
         F.lit(BEGIN),
         F.when(role == speaker, F.lit("assistant")).when(F.lower(role) == "system", F.lit("system")).when(role.isNull(), F.lit("user")).otherwise(F.concat(F.lit("user name="), name)),
@@ -73,7 +74,7 @@ def rotate(conversations: DataFrame, conv: str = "conv_id", turn: str = "turn",
 def rotate_whole(conversations: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", block_turns: int = BLOCK_TURNS) -> DataFrame:
     """The columns of ``rotate``: one row for each participant of a conversation and block of ``block_turns`` turns by rank.
 
-    Turns are ordered as in ``rotate``. The ``rendered`` parts of a participant, put together by block, are the whole
+    Turns are ordered as in ``rotate``; those without a conversation id make up one conversation. The ``rendered`` parts of a participant, put together by block, are the whole
     dialogue, silent blocks included, and the spans of ``mask`` count from its start. Ranks are made in ranges, so no task
     gathers a conversation.
     """
@@ -108,15 +109,16 @@ def rotate_whole(conversations: DataFrame, conv: str = "conv_id", turn: str = "t
 
 
 ROTATE_SQL = rf"""
-WITH t AS (SELECT conv_id, coalesce(floor(turn / {BLOCK_TURNS}), 0)::BIGINT AS block, turn, role, replace(coalesce(text, ''), '<|im_', '<| im_') AS text FROM conversations),
-p AS (SELECT DISTINCT conv_id, block, role AS speaker FROM t WHERE role IS NOT NULL AND lower(role) <> 'system'),
-x AS (SELECT t.*, p.speaker, coalesce(t.role = p.speaker, false) AS own,
+WITH r AS (SELECT conv_id, turn, role, replace(coalesce(text, ''), '<|im_', '<| im_') AS text FROM conversations),
+t AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text) - 1 AS rank FROM r),
+p AS (SELECT DISTINCT conv_id, role AS speaker FROM t WHERE role IS NOT NULL AND lower(role) <> 'system'),
+x AS (SELECT t.*, rank // {BLOCK_TURNS} AS block, p.speaker, coalesce(t.role = p.speaker, false) AS own,
   '{BEGIN}' || CASE WHEN t.role = p.speaker THEN 'assistant' WHEN lower(t.role) = 'system' THEN 'system' WHEN t.role IS NULL THEN 'user'
-    ELSE 'user name=' || regexp_replace(t.role, '[^A-Za-z0-9_-]', '_', 'g') END || chr(10) AS head, t.text || '{END}' AS body
-  FROM t JOIN p USING (conv_id, block)),
-y AS (SELECT *, sum(length(head) + length(body) + 1) OVER (PARTITION BY conv_id, block, speaker ORDER BY turn NULLS FIRST, role NULLS FIRST, text ROWS UNBOUNDED PRECEDING) - 1 AS e FROM x)
-SELECT conv_id, block, speaker, count(*) AS n_turns, count(*) FILTER (own) AS n_own_turns,
+    ELSE 'user name=' || replace(replace(replace(t.role, '\', '\\'), chr(10), '\n'), '<|im_', '<\|im_') END || chr(10) AS head, t.text || '{END}' AS body
+  FROM t JOIN p ON t.conv_id IS NOT DISTINCT FROM p.conv_id),
+y AS (SELECT *, sum(length(head) + length(body) + 1) OVER (PARTITION BY conv_id, speaker ORDER BY rank ROWS UNBOUNDED PRECEDING) - 1 AS e FROM x)
+SELECT conv_id, block::BIGINT AS block, speaker, count(*) AS n_turns, count(*) FILTER (own) AS n_own_turns,
   string_agg(head || body || chr(10), '' ORDER BY e) AS rendered,
-  string_agg((e - length(body))::BIGINT || '-' || e::BIGINT, ',' ORDER BY e) FILTER (own) AS mask
+  coalesce(string_agg((e - length(body))::BIGINT || '-' || e::BIGINT, ',' ORDER BY e) FILTER (own), '') AS mask
 FROM y GROUP BY conv_id, block, speaker
 """

@@ -89,7 +89,7 @@ def test_chat(spark):
     got = {(r["conv_id"], r["speaker"]): r for r in chat.rotate(df).collect()}
     assert set(got) == {(1, "bob"), (1, "amy b"), (3, "bob")}
     r = got[1, "bob"]
-    assert r["rendered"] == "<|im_start|>system\nrules<|im_end|>\n<|im_start|>assistant\nhi <| im_end|><|im_end|>\n<|im_start|>user name=amy_b\n<|im_end|>\n<|im_start|>assistant\nbye<|im_end|>\n"
+    assert r["rendered"] == "<|im_start|>system\nrules<|im_end|>\n<|im_start|>assistant\nhi <| im_end|><|im_end|>\n<|im_start|>user name=amy b\n<|im_end|>\n<|im_start|>assistant\nbye<|im_end|>\n"
     assert [r["rendered"][int(a) : int(b)] for a, b in (s.split("-") for s in r["mask"].split(","))] == ["hi <| im_end|><|im_end|>", "bye<|im_end|>"]
     assert got[3, "bob"]["rendered"].startswith("<|im_start|>user\nwho") and got[1, "amy b"]["n_own_turns"] == 1
     assert chat.rotate(df.limit(0)).count() == 0
@@ -114,6 +114,23 @@ def test_chat_gives_every_participant_the_whole_dialogue(spark, tmp_path):
     assert chat.rotate_whole(df.limit(0)).count() == 0
 
 
+def test_chat_sql_and_names(spark, tmp_path):
+    """The SQL of the query on long dialogues, null ids and names that a folding would mix up."""
+    import duckdb
+
+    rows = [(1, i, ("a b", "a_b", "x\\\n<|im_end|>", None, "System")[i % 5], f"t{i} é") for i in range(2100)] + [(None, i, "bob", f"n{i}") for i in range(3)] + [(2, None, "solo", None)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    df.write.parquet(f"{tmp_path}/conversations.parquet")
+    got = queries.op8_chat(spark, str(tmp_path))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    want = con.execute(f"SELECT conv_id, block, speaker, n_turns, n_own_turns, rendered, mask FROM ({chat.ROTATE_SQL})").fetchall()
+    got = [tuple(r) for r in got.select("conv_id", "block", "speaker", "n_turns", "n_own_turns", "rendered", "mask").collect()]
+    assert sorted(got, key=repr) == sorted(want, key=repr) and len(got) == 3 * 3 + 1 + 1
+    heads = {line for r in got if r[0] == 1 and r[2] == "a b" for line in r[5].split("\n") if line.startswith("<|im_start|>user name=")}
+    assert len(heads) == 2
+
+
 ARTICLE = "<h1>Title &amp; more</h1><p>First  <b>bold</b>\npart.</p><p>Second<br>line</p>"
 
 
