@@ -47,12 +47,12 @@ def dropping_shuffles(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(CLEANUP, before)
 
 
-def settle(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
+def settle(df: DataFrame, name: str, codec: str = "zstd", level: int = 3) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: the lineage is cut and the files outlive executors."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
     with dropping_shuffles(spark):
-        df.write.option("compression", codec).parquet(path)
+        df.write.option("compression", codec).option("parquet.compression.codec.zstd.level", level).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
