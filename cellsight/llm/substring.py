@@ -35,14 +35,16 @@ GRAM = 5
 FAN_OUT = 4
 #: Rounds in which the query feeds the index, each with a range of ids.
 BATCHES = 3
+#: Bytes of a word's hash in the evidence.
+WORD_BYTES = 6
 SECOND_BASE = 0x165667B19E3779F9
 
 
 def _evidence_of(batch: pa.RecordBatch) -> pa.RecordBatch:
-    """The word hashes of every text of at least one window, eight bytes each."""
+    """The word hashes of every text of at least one window, six bytes each."""
     raw, offsets = byte_view(batch.column(1))
     starts, ends, first = word_spans(raw, offsets)
-    words = word_hashes(raw, starts, ends)
+    words = word_hashes(raw, starts, ends).view(np.uint8).reshape(-1, 8)[:, :WORD_BYTES]
     long = np.flatnonzero(np.diff(first) >= WINDOW)
     found = [words[first[i] : first[i + 1]].tobytes() for i in long.tolist()]
     return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(long)), batch.column(2).take(pa.array(long)), pa.array(found, pa.binary())], names=["doc_id", "row", "words"])
@@ -51,7 +53,10 @@ def _evidence_of(batch: pa.RecordBatch) -> pa.RecordBatch:
 def word_view(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All word hashes of a column of evidence, and the number of words before each of its texts."""
     values = column.to_pylist()
-    return np.frombuffer(b"".join(values), np.uint64), np.concatenate([[0], np.cumsum([len(x) // 8 for x in values], dtype=np.int64)]).astype(np.int64)
+    first = np.concatenate([[0], np.cumsum([len(x) // WORD_BYTES for x in values], dtype=np.int64)]).astype(np.int64)
+    words = np.zeros((first[-1], 8), np.uint8)
+    words[:, :WORD_BYTES] = np.frombuffer(b"".join(values), np.uint8).reshape(-1, WORD_BYTES)
+    return words.view(np.uint64).ravel(), first
 
 
 def anchored(words: np.ndarray, first: np.ndarray, size: int = WINDOW, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -199,18 +204,16 @@ class FingerprintIndex:
             past = old.groupBy("anchor").agg(F.min("least").alias("owner"), (F.max("shared") | (F.count("*") > 1)).alias("known"))
             live_path = self._write(new.join(past, "anchor", "left").where("shared or owner is not null").select("anchor", "owner", "known"), "live")
             targets = self._read("anchor long, owner long, known boolean", live_path).where("owner is not null and not known").select("anchor", F.col("owner").alias("doc_id"))
-        asked = postings.join(self._read("anchor long", live_path), "anchor").select("anchor", "doc_id")
-        wanted = (asked.union(targets) if targets is not None else asked).groupBy("doc_id").agg(F.collect_list("anchor").alias("anchors"))
-        wanted_path = self._write(wanted, "wanted")
+        lists = lambda rows: rows.groupBy("doc_id").agg(F.collect_list("anchor").alias("anchors"))
+        live = self._read("anchor long", live_path)
+        found = [self._verify(lists(postings.join(live, "anchor").select("anchor", "doc_id")), [evidence])]
         self._drop(postings_path)
+        if targets is not None:
+            found.append(self._verify(lists(targets), self.evidence))
         self._drop(live_path)
+        low = own.agg(F.min("doc_id")).first()[0]
         self.evidence.append(evidence)
-        words = self._read(self.EVIDENCE, *(self.evidence if targets is not None else [evidence]))
-        lists = self._read("doc_id long, anchors array<long>", wanted_path)
-        found = words.join(lists.hint("shuffle_hash"), "doc_id").select("doc_id", "row", "words", "anchors")
-        windows_path = self._write(map_arrow(found, _windows_of, self.FOUND, "words"), "windows")
-        self._drop(wanted_path)
-        windows = self._read(self.FOUND, windows_path)
+        windows = self._read(self.FOUND, *found)
         firsts = windows.groupBy("fp", "check").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"))
         window_run = self._write(firsts.sortWithinPartitions("fp"), "windows")
         known = self._read(self.WINDOWS + ", most long", window_run)
@@ -219,14 +222,25 @@ class FingerprintIndex:
             past = past.groupBy("fp", "check").agg(F.min("least").alias("past"))
             known = known.join(past, ["fp", "check"], "left").select("fp", "check", F.least("least", "past").alias("least"), "most")
         known = known.where("least < most").drop("most")
-        low = own.agg(F.min("doc_id")).first()[0]
+        known_path = self._write(known, "known")
+        known = self._read(self.WINDOWS, known_path)
         mine = windows.where(F.col("doc_id") >= F.lit(low)) if low is not None else windows
         out_path = self._write(mine.join(known, ["fp", "check"]).where("least < doc_id").select("doc_id", "row", "place"), "repeats")
-        self._drop(windows_path)
+        for p in (*found, known_path):
+            self._drop(p)
         self.runs["anchors"].append((0, run))
         self.runs["windows"].append((0, window_run))
         return self._read(PLACES, out_path)
 
+    def _verify(self, wanted: DataFrame, evidence: list[str]) -> str:
+        """Write the fingerprints and places of all windows of the wanted anchors (``doc_id, anchors``)."""
+        wanted_path = self._write(wanted, "wanted")
+        lists = self._read("doc_id long, anchors array<long>", wanted_path)
+        words = self._read(self.EVIDENCE, *evidence).join(lists.hint("shuffle_hash"), "doc_id").select("doc_id", "row", "words", "anchors")
+        path = self._write(map_arrow(words, _windows_of, self.FOUND, "words"), "windows")
+        self._drop(wanted_path)
+        return path
+
     def compact(self) -> None:
         """Merge runs until no tier has ``fan_out`` of them."""
         for kind, schema in (("anchors", self.ANCHORS), ("windows", self.WINDOWS)):
