@@ -54,7 +54,7 @@ def connected(edges: DataFrame, nodes: DataFrame) -> DataFrame:
         hop = label.join(near, label["id"] == near["a"], "left").select("id", F.least("root", "rb").alias("root"))
         jump = hop.join(hop.select(F.col("id").alias("root"), F.col("root").alias("rr")), "root", "left")
         label = settled(jump.select("id", F.least("root", "rr").alias("root")))
-        total = label.agg(F.sum("root")).first()[0]
+        total = tuple(label.agg(F.bit_xor(F.xxhash64("id", "root")), F.sum(F.hash("id", "root").cast("long"))).first())
         if total == before:
             return label
         before = total

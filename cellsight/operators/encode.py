@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from cellsight.operators.order import numbered
+
 
 def _moments(df: DataFrame, columns: list[str]) -> dict:
     """A row of figures for each column, on the driver."""
@@ -58,7 +59,7 @@ def one_hot(df: DataFrame, column: str, levels: list[str] | None = None, drop_fi
 def label_codes(df: DataFrame, column: str) -> DataFrame:
     """``value, code``: distinct values numbered from 0 in order."""
     values = df.select(F.col(column).cast("string").alias("value")).where("value IS NOT NULL").distinct()
-    return values.select("value", (F.row_number().over(W.orderBy("value")) - 1).alias("code"))
+    return numbered(values, [], ["value"], "code").select("value", F.col("code").cast("int").alias("code"))
 
 
 def label_encode(df: DataFrame, column: str, codes: DataFrame | None = None, name: str | None = None) -> DataFrame:

@@ -8,13 +8,16 @@ from __future__ import annotations
 
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cellsight.functions import numbers as N
 from cellsight.functions import text as T
 from cellsight.operators import cells as C
+from cellsight.operators.encode import label_codes
+from cellsight.operators.order import mid_ranks, numbered
+from cellsight.operators.storage import settled
 
 LARGE_VOCABULARY, KEPT_VOCABULARY = 200, 50
 MI_THRESHOLD, MI_COLUMNS, MI_ROWS = 0.5, 20, 100
@@ -60,9 +63,11 @@ def h1_plausibility(cells: DataFrame, statistics: DataFrame | None = None) -> Da
 
 def capped_vocabulary(cells: DataFrame) -> DataFrame:
     """Vocabulary of each text column; beyond 200 values only the 50 most frequent (first seen first)."""
-    v = C.vocabulary(cells, case_blind_nulls=False)
-    w = W.partitionBy("col_name")
-    ranked = v.withColumn("size", F.count("*").over(w)).withColumn("rank", F.row_number().over(w.orderBy(F.desc("n"), "first_row")))
+    v = settled(C.vocabulary(cells, case_blind_nulls=False))
+    sizes = v.groupBy("col_name").agg(F.count("*").alias("size"))
+    # the planner keeps the first 200 of each column in every task before the shuffle
+    rank = F.row_number().over(W.partitionBy("col_name").orderBy(F.desc("n"), "first_row"))
+    ranked = v.withColumn("rank", rank).where(F.col("rank") <= LARGE_VOCABULARY).join(F.broadcast(sizes), "col_name")
     return ranked.where((F.col("size") <= LARGE_VOCABULARY) | (F.col("rank") <= KEPT_VOCABULARY)).select("col_name", F.col("value").alias("entry"))
 
 
@@ -86,8 +91,8 @@ def h2_string_anomaly(cells: DataFrame, types: DataFrame | None = None) -> DataF
 def frequency_ranks(cells: DataFrame) -> DataFrame:
     """``col_name, value, n, rank, size`` of clean non-null values: the most frequent first, then by value."""
     v = cells.where("mask = 0 AND value IS NOT NULL").groupBy("col_name", "value").agg(F.count("*").alias("n"))
-    w = W.partitionBy("col_name")
-    return v.select("col_name", "value", "n", F.row_number().over(w.orderBy(F.desc("n"), "value")).alias("rank"), F.count("*").over(w).alias("size"))
+    ranked = settled(numbered(v, ["col_name"], [F.desc("n"), F.col("value")], "rank").withColumn("rank", F.col("rank") + 1))
+    return ranked.join(F.broadcast(ranked.groupBy("col_name").agg(F.count("*").alias("size"))), "col_name").select("col_name", "value", "n", "rank", "size")
 
 
 def h3_distribution(cells: DataFrame, statistics: DataFrame | None = None) -> DataFrame:
@@ -140,18 +145,17 @@ def h5_error_pattern(cells: DataFrame, pairs: set[tuple[str, str]]) -> DataFrame
     return by_row.select("row_idx", "flagged", F.explode("flagged").alias("col_name")).select("row_idx", "col_name", F.size("flagged").alias("h5_error_count"), hit.cast("int").alias("h5_codependent_flag"))
 
 
-def _ranked(df: DataFrame, value: str, by: str = "col_name") -> Column:
-    """Mid-rank of a value among the rows of its column."""
-    w = W.partitionBy(by)
-    return F.rank().over(w.orderBy(value)) + (F.count("*").over(W.partitionBy(by, value)) - 1) / 2.0
-
-
 def gain_numeric(pairs: DataFrame) -> DataFrame:
-    """``col_name, gain`` = 0.5 + 0.5 * Spearman correlation of ``x`` and ``y`` (0.5 below three rows or for constants)."""
-    valid = pairs.where("x IS NOT NULL AND y IS NOT NULL")
-    ranked = valid.withColumn("rx", _ranked(valid, "x")).withColumn("ry", _ranked(valid, "y"))
+    """``col_name, gain`` = 0.5 + 0.5 * Spearman correlation of ``x`` and ``y`` (0.5 below three rows or for constants).
+
+    Rows are counted by their pair of values; only distinct values are ranked, in ranges.
+    """
+    counts = settled(pairs.where("x IS NOT NULL AND y IS NOT NULL").groupBy("col_name", "x", "y").agg(F.count("*").alias("c")))
+    rank = lambda v, name: mid_ranks(counts.withColumnRenamed("c", "__c"), "col_name", v, name, "__c")
+    ranked = counts.join(rank("x", "rx"), ["col_name", "x"]).join(rank("y", "ry"), ["col_name", "y"])
+    c, rx, ry = F.col("c").cast("double"), F.col("rx"), F.col("ry")
     s = ranked.groupBy("col_name").agg(
-        F.count("*").alias("n"), F.sum("rx").alias("sx"), F.sum("ry").alias("sy"), F.sum(F.col("rx") * F.col("rx")).alias("sxx"), F.sum(F.col("ry") * F.col("ry")).alias("syy"), F.sum(F.col("rx") * F.col("ry")).alias("sxy")
+        F.sum(c).alias("n"), F.sum(c * rx).alias("sx"), F.sum(c * ry).alias("sy"), F.sum(c * rx * rx).alias("sxx"), F.sum(c * ry * ry).alias("syy"), F.sum(c * rx * ry).alias("sxy")
     )
     spread = F.sqrt((F.col("n") * F.col("sxx") - F.col("sx") * F.col("sx")) * (F.col("n") * F.col("syy") - F.col("sy") * F.col("sy")))
     r = (F.col("n") * F.col("sxy") - F.col("sx") * F.col("sy")) / F.nullif(spread, F.lit(0.0))
@@ -161,9 +165,9 @@ def gain_numeric(pairs: DataFrame) -> DataFrame:
 def gain_categorical(pairs: DataFrame) -> DataFrame:
     """``col_name, value, gain``: 1 for the upper half of values by mean target (at least one; ties by value), else 0."""
     means = pairs.where("value IS NOT NULL AND y IS NOT NULL").groupBy("col_name", "value").agg(F.avg("y").alias("m"))
-    w = W.partitionBy("col_name")
-    rank, size = F.row_number().over(w.orderBy(F.desc("m"), "value")), F.count("*").over(w)
-    return means.select("col_name", "value", (rank <= F.greatest(F.lit(1), F.floor(size / 2))).cast("double").alias("gain"))
+    ranked = settled(numbered(means, ["col_name"], [F.desc("m"), F.col("value")], "rank"))
+    sizes = ranked.groupBy("col_name").agg(F.count("*").alias("size"))
+    return ranked.join(F.broadcast(sizes), "col_name").select("col_name", "value", (F.col("rank") < F.greatest(F.lit(1), F.floor(F.col("size") / 2))).cast("double").alias("gain"))
 
 
 def h7_incentive(cells: DataFrame, target: str | None, types: DataFrame | None = None, mutability: dict[str, float] | None = None) -> DataFrame:
@@ -177,8 +181,7 @@ def h7_incentive(cells: DataFrame, target: str | None, types: DataFrame | None =
         return flagged.select("row_idx", "col_name", F.lit(0.5).alias("h7_gain_direction"), *fixed)
     clean = cells.join(C.clean_rows(cells), "row_idx", "left_semi")
     outcome = clean.where(F.col("col_name") == target).select("row_idx", "value")
-    order = F.dense_rank().over(W.orderBy("value")) - 1
-    codes = outcome.where("value IS NOT NULL").select("value").distinct().select("value", order.cast("double").alias("code"))
+    codes = label_codes(outcome, "value").select("value", F.col("code").cast("double").alias("code"))
     y = outcome.join(codes, "value").select("row_idx", F.coalesce(N.number("value"), "code").alias("y"))
     pairs = clean.where(F.col("col_name") != target).join(y, "row_idx").join(F.broadcast(types.select("col_name", "col_type")), "col_name")
     numeric = gain_numeric(pairs.where("col_type = 'num'").select("col_name", N.number("value").alias("x"), "y"))

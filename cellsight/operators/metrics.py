@@ -5,9 +5,10 @@ from __future__ import annotations
 import math
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from cellsight.operators.order import running_before
+
 
 def ratio(a: Column, b: Column) -> Column:
     """a / b, 0 where b is 0."""
@@ -36,30 +37,33 @@ def weighted_f1(df: DataFrame, truth: str = "y_true", pred: str = "y_pred", by:
 def score_counts(df: DataFrame, truth: str = "y_true", score: str = "score") -> DataFrame:
     """Positives and negatives of every distinct score, with those below it.
 
-    Rows are counted by score before anything is ordered; only distinct scores are.
+    Rows are counted by score before anything is ordered, and the distinct scores are added up in ranges.
     """
     by = df.where(F.col(score).isNotNull()).groupBy(F.col(score).alias("s")).agg(F.count_if(F.col(truth) == 1).alias("pos"), F.count_if(F.col(truth) != 1).alias("neg"))
-    before = W.orderBy("s").rowsBetween(W.unboundedPreceding, -1)
-    return by.select("s", "pos", "neg", F.coalesce(F.sum("neg").over(before), F.lit(0)).alias("neg_below"), F.coalesce(F.sum(F.col("pos") + F.col("neg")).over(before), F.lit(0)).alias("below"))
+    return running_before(by, [], ["s"], ["pos", "neg"]).select("s", "pos", "neg", F.col("neg_before").alias("neg_below"), (F.col("pos_before") + F.col("neg_before")).alias("below"))
 
 
 def roc_auc(df: DataFrame, truth: str = "y_true", score: str = "score") -> DataFrame:
     """``auc, n_pos, n_neg`` with ties at half; null if there is one class only."""
     c = score_counts(df, truth, score)
-    s = c.agg(F.sum(F.col("pos") * (F.col("neg_below") + F.col("neg") / 2)).alias("u"), F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"))
-    return s.select((F.col("u") / F.nullif((F.col("n_pos") * F.col("n_neg")).cast("double"), F.lit(0.0))).alias("auc"), "n_pos", "n_neg")
+    s = c.agg(F.sum(F.col("pos") * (F.col("neg_below") + F.col("neg") / 2.0)).alias("u"), F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"))
+    return s.select((F.col("u") / F.nullif(F.col("n_pos").cast("double") * F.col("n_neg"), F.lit(0.0))).alias("auc"), "n_pos", "n_neg")
 
 
 def mann_whitney(df: DataFrame, group: str, value: str) -> DataFrame:
     """``u, z, p, n1, n2`` for rows with group 1 against the others, two-sided with tie correction and continuity."""
     c = score_counts(df.withColumn("__g", F.when(F.col(group) == 1, 1).otherwise(0)), "__g", value)
-    t = F.col("pos") + F.col("neg")
-    s = c.agg(F.sum(F.col("pos") * (F.col("neg_below") + F.col("neg") / 2)).alias("u"), F.sum("pos").alias("n1"), F.sum("neg").alias("n2"), F.sum((t * t * t - t).cast("double")).alias("ties"))
+    t = (F.col("pos") + F.col("neg")).cast("double")
+    s = c.agg(F.sum(F.col("pos") * (F.col("neg_below") + F.col("neg") / 2)).alias("u"), F.sum("pos").alias("n1"), F.sum("neg").alias("n2"), F.sum(t * t * t - t).alias("ties"))
     n1, n2 = F.col("n1").cast("double"), F.col("n2").cast("double")
     n = n1 + n2
     var = n1 * n2 / 12 * ((n + 1) - F.col("ties") / (n * (n - 1)))
     z = (F.greatest(F.col("u"), n1 * n2 - F.col("u")) - n1 * n2 / 2 - 0.5) / F.sqrt(var)
-    return s.select("u", z.alias("z"), "n1", "n2")
+    # erfc(x / sqrt 2) by the rational form 7.1.26 of Abramowitz and Stegun, within 1.5e-7
+    x = F.abs(z) / math.sqrt(2)
+    k = 1 / (1 + 0.3275911 * x)
+    poly = k * (0.254829592 + k * (-0.284496736 + k * (1.421413741 + k * (-1.453152027 + k * 1.061405429))))
+    return s.select("u", z.alias("z"), F.least(F.lit(1.0), poly * F.exp(-x * x)).alias("p"), "n1", "n2")
 
 
 def normal_tail(z: float) -> float:
@@ -68,10 +72,22 @@ def normal_tail(z: float) -> float:
 
 
 def threshold_sweep(df: DataFrame, thresholds: DataFrame, truth: str = "y_true", score: str = "score") -> DataFrame:
-    """Confusion figures at every threshold (a few rows, broadcast): positive if score >= threshold."""
-    crossed = df.select(truth, score).join(F.broadcast(thresholds.select("threshold")), F.lit(True))
-    pred = F.when(F.col(score) >= F.col("threshold"), 1).otherwise(-1)
-    return confusion(crossed.withColumn("__p", pred), truth, "__p", by=["threshold"])
+    """Confusion figures at every threshold: positive if score >= threshold; a null score is negative.
+
+    Cases are counted by score, and scores and thresholds run through one order; nothing is multiplied.
+    """
+    own = df.groupBy(F.col(score).cast("double").alias("s")).agg(F.count_if(F.col(truth) == 1).alias("pos"), F.count_if(F.col(truth) != 1).alias("neg"))
+    none = F.lit(None).cast("double")
+    zero = F.lit(0).cast("long")
+    # a threshold comes before an equal score, so what is before it is below it
+    asked = thresholds.select(F.col("threshold").cast("double").alias("s"), zero.alias("pos"), zero.alias("neg"), F.lit(0).alias("kind"), "threshold").distinct()
+    both = own.select("s", "pos", "neg", F.lit(1).alias("kind"), none.alias("threshold")).unionByName(asked)
+    below = running_before(both, [], [F.col("s").asc_nulls_first(), F.col("kind")], ["pos", "neg"]).where("kind = 0")
+    total = own.agg(F.coalesce(F.sum("pos"), zero).alias("p"), F.coalesce(F.sum("neg"), zero).alias("n"))
+    fn, tn = F.col("pos_before"), F.col("neg_before")
+    c = below.join(F.broadcast(total), F.lit(True)).select("threshold", (F.col("p") - fn).alias("tp"), (F.col("n") - tn).alias("fp"), fn.alias("fn"), tn.alias("tn"))
+    tp, fp, fn, tn = (F.col(x) for x in ("tp", "fp", "fn", "tn"))
+    return c.select("threshold", "tp", "fp", "fn", "tn", ratio(tp, tp + fp).alias("precision"), ratio(tp, tp + fn).alias("recall"), ratio(2 * tp, 2 * tp + fp + fn).alias("f1"), ratio(tp + tn, tp + fp + fn + tn).alias("accuracy"))
 
 
 def best_threshold(sweep: DataFrame, metric: str = "f1") -> DataFrame:

@@ -8,16 +8,18 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cellsight.functions import numbers as N
 from cellsight.operators import cells as C
+from cellsight.operators.encode import label_codes
 from cellsight.operators.metrics import weighted_f1
 from cellsight.operators.sampling import folds
 from cellsight.operators.storage import settled
 
-MAX_CATEGORIES, MAX_ROWS, MIN_CLEAN = 200, 50_000, 50
+MAX_CATEGORIES, MIN_CLEAN = 200, 50
+#: Clean rows, by hash, that a bank's forests are fitted on unless told otherwise.
+TRAINING_ROWS = 50_000
 BINS = 32
 
 
@@ -82,18 +84,17 @@ def encoded(wide: DataFrame, types: dict[str, str], key: str = "row_idx") -> tup
         if t == "num":
             out = out.withColumn(f"__e_{c}", N.number(F.col(f"`{c}`").cast("string")))
         else:
-            values = wide.select(F.col(f"`{c}`").cast("string").alias("__val")).where("__val IS NOT NULL").distinct()
-            codes = values.select("__val", (F.row_number().over(W.orderBy("__val")) - 1).cast("double").alias(f"__e_{c}"))
-            sizes[c] = values.count()
+            codes = label_codes(wide, f"`{c}`").select(F.col("value").alias("__val"), F.col("code").cast("double").alias(f"__e_{c}"))
+            sizes[c] = codes.count()
             out = out.join(codes, F.col(f"`{c}`").cast("string") == F.col("__val"), "left").drop("__val")
     return out.na.fill(-1.0, [f"__e_{c}" for c, t in types.items() if t == "cat"]), sizes
 
 
 class PredictorBank:
-    """A forest for each column from all others, on clean rows (bounded by ``MAX_ROWS``, by hash)."""
+    """A forest for each column from all others, fitted on at most ``training_rows`` clean rows (by hash; None: all). Every row is predicted."""
 
-    def __init__(self, types: dict[str, str], trees: int = 50, depth: int = 8, seed: int = 42):
-        self.types, self.trees, self.depth, self.seed = types, trees, depth, seed
+    def __init__(self, types: dict[str, str], trees: int = 50, depth: int = 8, seed: int = 42, training_rows: int | None = TRAINING_ROWS):
+        self.types, self.trees, self.depth, self.seed, self.training_rows = types, trees, depth, seed, training_rows
 
     def fit(self, wide: DataFrame, masks: dict[str, str]) -> "PredictorBank":
         coded, self.sizes = encoded(wide, self.types)
@@ -106,7 +107,7 @@ class PredictorBank:
         n = self.coded.count()
         if clean.count() < max(MIN_CLEAN, n // 20):
             clean = self.coded
-        train = settled(clean.orderBy(F.xxhash64("row_idx", F.lit(self.seed))).limit(MAX_ROWS))
+        train = settled(clean.orderBy(F.xxhash64("row_idx", F.lit(self.seed))).limit(self.training_rows) if self.training_rows else clean)
         self.models, self.std = {}, {}
         for c, t in self.types.items():
             others = [f"__e_{o}" for o in self.types if o != c]
