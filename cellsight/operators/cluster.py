@@ -6,6 +6,7 @@ Vectors are ``(id, v array<double>)``. Every clustering returns ``id, cluster``.
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 import pandas as pd
 from pyspark.ml.clustering import GaussianMixture, KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
@@ -44,6 +45,66 @@ def mixture(vectors: DataFrame, k: int = 15, seed: int = 42) -> tuple[DataFrame,
     return model.transform(data).select("id", F.col("prediction").alias("cluster")), free * np.log(max(n, 1)) - 2 * ll, 2 * free - 2 * ll
 
 
+def diagonal_mixture(vectors: DataFrame, k: int = 15, rounds: int = 50, tol: float = 1e-4, floor: float = 1e-6, seed: int = 42) -> tuple[DataFrame, float, float]:
+    """As ``mixture`` with diagonal covariances, for vectors too wide for full ones.
+
+    A round brings ``k`` times the width sums to the driver; variances are at least ``floor`` of the column's own.
+    """
+    data = settled(vectors.select("id", "v"))
+    n = data.count()
+    dims = data.select(F.posexplode("v").alias("pos", "x")).groupBy("pos").agg(F.var_pop("x").alias("var")).orderBy("pos").collect()
+    least = np.array([max(r["var"] * floor, 1e-12) for r in dims])
+    means = np.array(KMeans(k=k, seed=seed, maxIter=20).fit(_ml(data)).clusterCenters())
+    k, d = means.shape
+    variances, weights, before = np.tile(np.array([r["var"] for r in dims]) + least, (k, 1)), np.full(k, 1 / k), None
+
+    def log_parts(x: np.ndarray, weights, means, variances) -> np.ndarray:
+        # the square is multiplied out, so a batch needs no array of rows, parts and columns
+        far = (x * x) @ (1 / variances).T - 2 * x @ (means / variances).T + (means * means / variances).sum(1)
+        return np.log(weights + 1e-300) - 0.5 * (far + np.log(2 * np.pi * variances).sum(1))
+
+    def rows_of(batch) -> np.ndarray:
+        return batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, d)
+
+    def step(weights, means, variances):
+        def sums(batches):
+            s0, s1, s2, ll = np.zeros(k), np.zeros((k, d)), np.zeros((k, d)), 0.0
+            for batch in batches:
+                if batch.num_rows:
+                    x = rows_of(batch)
+                    part = log_parts(x, weights, means, variances)
+                    top = part.max(1, keepdims=True)
+                    share = np.exp(part - top)
+                    total = share.sum(1, keepdims=True)
+                    share /= total
+                    ll += float((np.log(total) + top).sum())
+                    s0, s1, s2 = s0 + share.sum(0), s1 + share.T @ x, s2 + share.T @ (x * x)
+            j, pos = np.divmod(np.arange(k * d), d)
+            yield pa.RecordBatch.from_arrays([pa.array(j), pa.array(pos), pa.array(s0[j]), pa.array(s1.ravel()), pa.array(s2.ravel()), pa.array(np.full(k * d, ll))], names=["j", "pos", "s0", "s1", "s2", "ll"])
+
+        found = data.mapInArrow(sums, "j long, pos long, s0 double, s1 double, s2 double, ll double")
+        return found.groupBy("j", "pos").agg(*[F.sum(c).alias(c) for c in ("s0", "s1", "s2", "ll")]).orderBy("j", "pos").collect()
+
+    for _ in range(rounds):
+        found = np.array([[r["s0"], r["s1"], r["s2"], r["ll"]] for r in step(weights, means, variances)]).reshape(k, d, 4)
+        held = np.maximum(found[:, :, 0], 1e-12)
+        weights, means = found[:, 0, 0] / n, found[:, :, 1] / held
+        variances = np.maximum(found[:, :, 2] / held - means**2, least)
+        ll = found[0, 0, 3]
+        if before is not None and abs(ll - before) <= tol * abs(before):
+            break
+        before = ll
+
+    def label(batches):
+        for batch in batches:
+            if batch.num_rows:
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(log_parts(rows_of(batch), weights, means, variances).argmax(1).astype(np.int32))], names=["id", "cluster"])
+
+    free = k - 1 + 2 * k * d
+    id_type = data.schema["id"].dataType.simpleString()
+    return data.mapInArrow(label, f"id {id_type}, cluster int"), free * np.log(max(n, 1)) - 2 * ll, 2 * free - 2 * ll
+
+
 def connected(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """``id, root``: least id of each node's component by hops and jumps; every round is checkpointed."""
     both = settled(edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).where("a <> b").distinct())

@@ -111,6 +111,18 @@ def learned_suspicion(cells: DataFrame, columns: list[str], trees: int = 20, dep
     return reduce(DataFrame.unionByName, parts)
 
 
+def record_labels(cells: DataFrame, value: str = "intent", key: str = "row_idx") -> DataFrame:
+    """``majority_intent, any_intent, n_cells`` of every record with a decided cell: the more frequent sign (ties: +1), and +1 if any cell has it."""
+    plus, minus = F.count_if(F.col(value) == 1), F.count_if(F.col(value) == -1)
+    c = cells.groupBy(key).agg(plus.alias("__p"), minus.alias("__m")).where("__p + __m > 0")
+    return c.select(key, F.when(F.col("__p") >= F.col("__m"), 1).otherwise(-1).alias("majority_intent"), F.when(F.col("__p") > 0, 1).otherwise(-1).alias("any_intent"), (F.col("__p") + F.col("__m")).alias("n_cells"))
+
+
+def first_records(cells: DataFrame, n: int, key: str = "row_idx") -> DataFrame:
+    """Cells of the records numbered below ``n``."""
+    return cells.where(F.col(key) < n)
+
+
 def key_sets(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     """``name, n``: sizes of union, intersection and differences of two tables' keys."""
     left, right = a.select(key).distinct(), b.select(key).distinct()

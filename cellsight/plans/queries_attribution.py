@@ -145,12 +145,6 @@ def h8_sensitivity(spark, sf_dir):
     return H.h8_sensitivity(order_cells(spark, sf_dir), ["o_orderstatus", "o_totalprice"])
 
 
-@query()
-def feature_assembly(spark, sf_dir):
-    """The heuristic features of every flagged cell in their fixed order (H4 and H6 as fitted by the model queries stand at 0 here)."""
-    return H.complete(H.assemble(order_cells(spark, sf_dir), "o_orderstatus", PAIRS), list(H.FEATURES))
-
-
 _ALL = f"""WITH {CELLS}, s AS (SELECT avg(x) AS m, stddev_samp(x) AS sd, min(x) AS lo, max(x) AS hi FROM cells WHERE x IS NOT NULL),
 q AS (SELECT col_name, lower(trim(value)) AS k, count(*) AS n FROM cells WHERE value IS NOT NULL GROUP BY 1, 2),
 k AS (SELECT *, n / (sum(n) OVER (PARTITION BY col_name))::DOUBLE AS share, row_number() OVER (PARTITION BY col_name ORDER BY n DESC, k) - 1 AS rk, count(*) OVER (PARTITION BY col_name) AS u FROM q)"""

@@ -44,8 +44,7 @@ def kmeans_cells(spark, sf_dir):
 
 @query
 def gmm_cells(spark, sf_dir):
-    v = vectors(spark, sf_dir).select("id", F.slice("v", 1, 4).alias("v"))
-    return cluster.mixture(v, 5)[0]
+    return cluster.diagonal_mixture(vectors(spark, sf_dir))[0]
 
 
 @query
@@ -84,13 +83,13 @@ def knn_classifier(spark, sf_dir):
 @query
 def label_propagation(spark, sf_dir):
     v = vectors(spark, sf_dir)
-    return cluster.spread_labels(v, _seeds(v), rounds=8)
+    return cluster.spread_labels(v, _seeds(v))
 
 
 @query
 def label_spread(spark, sf_dir):
     v = vectors(spark, sf_dir)
-    return cluster.spread_labels(v, _seeds(v), alpha=0.2, rounds=8)
+    return cluster.spread_labels(v, _seeds(v), alpha=0.2)
 
 
 @query
@@ -98,6 +97,13 @@ def h4_coherence(spark, sf_dir):
     return M.h4_coherence(_bank(spark, sf_dir), C.errors(order_cells(spark, sf_dir)))
 
 
+@query
+def feature_assembly(spark, sf_dir):
+    """The twelve heuristic features of every flagged cell in their fixed order, fitted ones included."""
+    table, names = scenario.feature_table(X.orders(spark, sf_dir), ORDER_MASKS, "B", target="o_orderstatus", pairs=PAIRS, bank=_bank(spark, sf_dir), sensitive=["o_orderstatus", "o_totalprice"])
+    return table.select("row_idx", "col_name", *names)
+
+
 @query
 def h6_importance(spark, sf_dir):
     cells = order_cells(spark, sf_dir)
@@ -107,7 +113,7 @@ def h6_importance(spark, sf_dir):
 @query
 def rf_intent(spark, sf_dir):
     """Metrics of scenario BC with one hundredth of the cells as seeds."""
-    table, names = scenario.feature_table(X.orders(spark, sf_dir), ORDER_MASKS, "BC", rules=RULES, target="o_orderstatus", pairs=PAIRS)
+    table, names = scenario.feature_table(X.orders(spark, sf_dir), ORDER_MASKS, "BC", rules=RULES, target="o_orderstatus", pairs=PAIRS, bank=_bank(spark, sf_dir))
     return scenario.run_scenario(table, names, trees=20, depth=6)[1]
 
 

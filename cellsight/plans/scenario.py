@@ -21,7 +21,7 @@ ABLATIONS = {"all": (), **{f"without_h{i}": (f"h{i}_",) for i in (1, 2, 3, 4, 5,
 SCENARIOS = {"B": ("heuristic",), "B+": ("heuristic", "statistics"), "C": ("rules",), "BC": ("heuristic", "rules"), "B+C": ("heuristic", "statistics", "rules")}
 
 
-def feature_table(wide: DataFrame, masks: dict[str, str], scenario: str = "B", clean: DataFrame | None = None, rules: list | None = None, target: str | None = None, pairs: set | None = None, bank: M.PredictorBank | None = None) -> tuple[DataFrame, list[str]]:
+def feature_table(wide: DataFrame, masks: dict[str, str], scenario: str = "B", clean: DataFrame | None = None, rules: list | None = None, target: str | None = None, pairs: set | None = None, bank: M.PredictorBank | None = None, sensitive: list[str] | None = None) -> tuple[DataFrame, list[str]]:
     """Features of the scenario's groups, joined on the cell, with its intent. Statistics need the clean table, rules their list."""
     groups = SCENARIOS[scenario]
     C.require("statistics" not in groups or clean is not None, f"{scenario} needs the clean table")
@@ -34,7 +34,7 @@ def feature_table(wide: DataFrame, masks: dict[str, str], scenario: str = "B", c
         extra = [M.h4_coherence(bank, C.errors(cells))] if bank else []
         importance = M.h6_importance(cells, target, types)
         extra.append(C.errors(cells).select("row_idx", "col_name").join(F.broadcast(importance), "col_name", "left"))
-        parts.append(H.complete(H.assemble(cells, target, pairs, extra=extra), list(H.FEATURES)))
+        parts.append(H.complete(H.assemble(cells, target, pairs, sensitive, extra), list(H.FEATURES)))
         names += H.FEATURES
     if "statistics" in groups:
         s = R.change_statistics(C.paired_cells(C.unpivot(clean, columns), cells), columns)
