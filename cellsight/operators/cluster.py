@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from cellsight.operators.detect import neighbours
 from cellsight.operators.storage import settled
 
-#: Rows that a clustering on one machine takes (it needs all distances); others go to the nearest of its clusters.
+#: Points whose distances the driver holds all at once when it merges a hierarchy; larger tables are divided first.
 DENSE_ROWS = 4000
 ROUNDS = 60
 
@@ -165,14 +165,15 @@ def dbscan(vectors: DataFrame, eps: float | None = None, min_samples: int = 5) -
     return every.join(numbers, "root", "left").select("id", F.coalesce("cluster", F.lit(-1)).alias("cluster"))
 
 
-def _merge_tree(x: np.ndarray, k: int, linkage: str) -> np.ndarray:
-    """Labels after merging the closest clusters down to k (Ward or average linkage)."""
+def _merge_tree(x: np.ndarray, k: int, linkage: str, weight: np.ndarray | None = None) -> np.ndarray:
+    """Labels after merging the closest clusters down to k (Ward or average linkage). A row may stand for ``weight`` vectors."""
     n = len(x)
-    d = np.square(x[:, None, :] - x[None]).sum(2)
-    if linkage == "average":
-        d = np.sqrt(d)
+    size = np.ones(n) if weight is None else weight.astype(float)
+    norm = np.square(x).sum(1)
+    d = np.maximum(norm[:, None] + norm[None] - 2 * x @ x.T, 0.0)
+    d = np.sqrt(d) if linkage == "average" else d * (2 * size[:, None] * size[None] / (size[:, None] + size[None]))
     np.fill_diagonal(d, np.inf)
-    size, alive, label = np.ones(n), np.ones(n, bool), np.arange(n)
+    alive, label = np.ones(n, bool), np.arange(n)
     near = d.argmin(1)
     best = d[np.arange(n), near]
     for _ in range(max(0, n - k)):
@@ -199,23 +200,26 @@ def _merge_tree(x: np.ndarray, k: int, linkage: str) -> np.ndarray:
     return np.unique(label, return_inverse=True)[1]
 
 
-def agglomerative(vectors: DataFrame, k: int = 15, linkage: str = "ward") -> DataFrame:
-    """Hierarchical clusters of a bounded sample (``DENSE_ROWS`` by hash; all if fewer); the rest joins the nearest centre."""
-    sample = vectors.orderBy(F.xxhash64("id"), "id").limit(DENSE_ROWS).toPandas()
-    if sample.empty:
-        return vectors.select("id", F.lit(0).alias("cluster"))
-    x = np.vstack(sample["v"].to_numpy())
-    labels = _merge_tree(x.astype(float), k, linkage)
-    centres = np.vstack([x[labels == c].mean(0) for c in range(labels.max() + 1)])
-    known = dict(zip(sample["id"].tolist(), labels.tolist()))
+def agglomerative(vectors: DataFrame, k: int = 15, linkage: str = "ward", leaves: int = DENSE_ROWS, seed: int = 42) -> DataFrame:
+    """Hierarchical clusters of all vectors: up to ``leaves`` of them are merged one by one.
 
-    def assign(batches):
-        for pdf in batches:
-            v = np.vstack(pdf["v"].to_numpy()) if len(pdf) else np.zeros((0, centres.shape[1]))
-            near = np.square(v[:, None, :] - centres[None]).sum(2).argmin(1)
-            yield pd.DataFrame({"id": pdf["id"], "cluster": [known.get(i, int(c)) for i, c in zip(pdf["id"], near)]})
-
-    return vectors.select("id", "v").mapInPandas(assign, "id long, cluster int")
+    A larger table is first divided, all rows taking part, into ``leaves`` small K-Means clusters (their far-apart seeds catch
+    small groups); the weighted centres of these are merged and every row goes with its own. The driver holds leaves squared distances.
+    """
+    data = settled(vectors.select("id", "v"))
+    n = data.count()
+    if n <= leaves:
+        parts = data.withColumn("leaf", F.col("id"))
+    else:
+        parts = settled(KMeans(k=leaves, seed=seed, maxIter=5).fit(_ml(data)).transform(_ml(data)).select("id", F.col("prediction").alias("leaf")).join(data, "id"))
+    width = F.posexplode("v").alias("pos", "x")
+    sums = parts.select("leaf", width).groupBy("leaf", "pos").agg(F.avg("x").alias("x"), F.count("*").alias("n"))
+    found = sums.groupBy("leaf").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda e: e["x"]).alias("x"), F.max("n").alias("n")).orderBy("leaf").collect()
+    if not found:
+        return data.select("id", F.lit(0).alias("cluster"))
+    labels = _merge_tree(np.array([r["x"] for r in found]), k, linkage, np.array([r["n"] for r in found]))
+    table = vectors.sparkSession.createDataFrame([(r["leaf"], int(c)) for r, c in zip(found, labels)], f"leaf {dict(parts.dtypes)['leaf']}, cluster int")
+    return parts.join(F.broadcast(table), "leaf").select("id", "cluster")  # at most ``leaves`` rows
 
 
 def density_hierarchy(vectors: DataFrame, min_size: int = 15, fallback_k: int = 15) -> DataFrame:
@@ -235,6 +239,21 @@ def density_hierarchy(vectors: DataFrame, min_size: int = 15, fallback_k: int =
     return best if best is not None and score[1] else kmeans(vectors, fallback_k, 1)
 
 
+def density_outliers(vectors: DataFrame, clusters: DataFrame, k: int = 6, contamination: float = 0.05) -> DataFrame:
+    """``id, score, is_outlier`` of density clusters: 1 - the least distance to a k-th neighbour in the cluster over the vector's own.
+
+    Noise is measured against the least of all. Scores from the (1 - contamination) percentile on are outliers.
+    """
+    far = neighbours(vectors, vectors, k).groupBy(F.col("q").alias("id")).agg(F.max("d").alias("d"))
+    j = settled(far.join(clusters, "id"))
+    least = j.where("cluster >= 0").groupBy("cluster").agg(F.min("d").alias("least"))
+    whole = j.agg(F.min("d").alias("whole"))  # one row
+    own = F.coalesce("least", "whole")
+    scored = j.join(least, "cluster", "left").join(F.broadcast(whole), F.lit(True)).select("id", F.when(F.col("d") > 0, 1 - own / F.col("d")).otherwise(0.0).alias("score"))
+    cut = scored.agg(F.percentile("score", F.lit(1 - contamination)).alias("cut"))
+    return scored.join(F.broadcast(cut), F.lit(True)).select("id", "score", (F.col("score") >= F.col("cut")).cast("int").alias("is_outlier"))
+
+
 def silhouette(vectors: DataFrame, clusters: DataFrame, sample: int = 5000) -> float:
     """Squared-Euclidean silhouette of a bounded sample without noise (the measure has no meaning for one cluster: 0)."""
     data = _ml(vectors).join(clusters.where("cluster >= 0"), "id").orderBy(F.xxhash64("id"), "id").limit(sample)

@@ -109,12 +109,12 @@ def uniform(df: DataFrame, rate: float, order: Column | None = None, key: str =
     return df.orderBy(order if order is not None else draw_key(key), key).limit(max(round(n * rate), 2))
 
 
-def mixed_pool(df: DataFrame, target: int, cluster: str = "cluster", label: str = "intent", key: str = "row_idx") -> DataFrame:
+def mixed_pool(df: DataFrame, target: int, cluster: str = "cluster", label: str = "intent", key: str = "row_idx", order: Column | None = None) -> DataFrame:
     """From a pool with labels: each cluster's share split evenly between intended and other rows."""
     shares = capped(sizes_of(df, cluster), target)
     half = {k: -(-v // 2) for k, v in shares.items()}
-    one = draw(df.where(F.col(label) == 1), half, cluster, key=key)
-    other = draw(df.where(F.col(label) != 1), {k: shares[k] - half[k] for k in shares if shares[k] > half[k]}, cluster, key=key)
+    one = draw(df.where(F.col(label) == 1), half, cluster, order, key)
+    other = draw(df.where(F.col(label) != 1), {k: shares[k] - half[k] for k in shares if shares[k] > half[k]}, cluster, order, key)
     return one.unionByName(other)
 
 
@@ -135,10 +135,11 @@ def stratified(df: DataFrame, strata: list[str], per: int, order: Column | None
     return df.withColumn("__r", rank).where(F.col("__r") <= per).drop("__r")
 
 
-def validation_sample(df: DataFrame, labelled: Column, size: int, key: str = "row_idx") -> DataFrame:
-    """All labelled rows and others up to ``size``."""
-    own = df.where(labelled)
-    return own.unionByName(df.where(~labelled).orderBy(draw_key(key), key).limit(max(0, size - own.count())))
+def validation_sample(df: DataFrame, labelled: Column, size: int, key: str = "row_idx", order: Column | None = None) -> DataFrame:
+    """All labelled rows and others up to ``size``; a row of unknown label counts as one without."""
+    known = F.coalesce(labelled, F.lit(False))
+    own = df.where(known)
+    return own.unionByName(df.where(~known).orderBy(order if order is not None else draw_key(key), key).limit(max(0, size - own.count())))
 
 
 def guesses(df: DataFrame, kind: str = "random", share: float = 0.5, seed: int = 42, key: str = "row_idx") -> DataFrame:

@@ -168,9 +168,19 @@ def fingerprint_string(spark, sf_dir):
     return with_nulls(fingerprint.strings(order_cells(spark, sf_dir)), "str_has_digits", "str_has_special").select("row_idx", "col_name", "str_is_obfuscation", *r6("str_typo_score", "str_len_anomaly"), "str_has_digits", "str_has_special")
 
 
-@query()
+_STAMPS = ", ".join(f"(c.col_name = '{c}')::INT AS pat_col_{c}" for c in ORDER_COLUMNS)
+
+
+@query(f"""WITH {CELLS}, q AS (SELECT quantile_cont(x, 0.05) AS p5, quantile_cont(x, 0.95) AS p95, min(x) AS lo, max(x) AS hi FROM cells WHERE x IS NOT NULL), g AS (SELECT row_idx, count(*) AS k FROM cells WHERE mask <> 0 GROUP BY 1),
+p AS (SELECT c.row_idx, c.col_name, (x BETWEEN p5 AND p95)::INT::DOUBLE AS plaus_in_range, (x BETWEEN lo AND hi)::INT::DOUBLE AS plaus_in_minmax, CASE WHEN value IS NOT NULL THEN 1.0 END::DOUBLE AS plaus_in_vocab, CASE WHEN value IS NOT NULL THEN 0.0 END::DOUBLE AS plaus_min_edit_dist,
+  k AS pat_n_errors_in_row, (k > 1)::INT AS pat_multi_error, {_STAMPS} FROM cells c JOIN g ON c.row_idx = g.row_idx CROSS JOIN q WHERE mask <> 0)
+SELECT * FROM p JOIN ({ORACLES["fingerprint_distribution"]}) USING (row_idx, col_name) JOIN ({ORACLES["fingerprint_string"]}) USING (row_idx, col_name)""")
 def fingerprint_all(spark, sf_dir):
-    return fingerprint.fingerprint(order_cells(spark, sf_dir), ORDER_COLUMNS)
+    """Cells are in the vocabulary they make, so text is always known here."""
+    own = ("plaus_in_range", "plaus_in_minmax", "plaus_in_vocab", "plaus_min_edit_dist", "dist_is_majority", "dist_freq_rank", "str_has_digits", "str_has_special")
+    f = with_nulls(fingerprint.fingerprint(order_cells(spark, sf_dir), ORDER_COLUMNS), *own)
+    rounded = [c for c in f.columns if c.startswith("dist_") and c not in own] + ["str_typo_score", "str_len_anomaly"]
+    return f.select(*[c for c in f.columns if c not in rounded], *r6(*rounded))
 
 
 # clean and dirty line items ---------------------------------------------------------

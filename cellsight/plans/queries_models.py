@@ -1,4 +1,4 @@
-"""Queries of fitted and iterative operators; they have no SQL form."""
+"""Queries of fitted and iterative operators; few of them have an SQL form."""
 
 from __future__ import annotations
 
@@ -16,9 +16,10 @@ from cellsight.plans import fixtures as X
 from cellsight.plans import scenario
 from cellsight.plans.fixtures import ORDER_COLUMNS, ORDER_MASKS
 from cellsight.plans.queries_attribution import PAIRS, RULES, order_cells
-from cellsight.plans.queries_tables import vectors
+from cellsight.plans.queries_tables import _L2, _NEAR, _VEC, vectors
 
 QUERIES: dict = {}
+ORACLES: dict[str, str] = {}
 TYPES = {"o_orderpriority": "cat", "o_orderstatus": "cat", "o_totalprice": "num"}
 #: Columns of line items for record detectors.
 MEASURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
@@ -29,12 +30,25 @@ def query(f):
     return f
 
 
+def query_as(sql: str):
+    def add(f):
+        ORACLES[f.__name__] = sql
+        return query(f)
+
+    return add
+
+
 def _bank(spark, sf_dir, trees: int = 10, depth: int = 5) -> M.PredictorBank:
     return M.PredictorBank(TYPES, trees, depth).fit(X.orders(spark, sf_dir), ORDER_MASKS)
 
 
+#: Labelled vectors and all distances.
+_LABELLED = f"{_VEC}, {_NEAR.format(name='n', dist=_L2, where='')}, seeds AS (SELECT id, CASE WHEN label % 2 = 0 THEN 1 ELSE -1 END AS intent FROM v WHERE (id * 7919 + 13) % 10 = 0)"
+
+
 def _seeds(v: DataFrame) -> DataFrame:
-    return v.where(F.pmod(F.xxhash64("id"), F.lit(10)) == 0).select("id", F.when(F.col("label") % 2 == 0, 1).otherwise(-1).alias("intent"))
+    """A tenth of the vectors are labelled, as a fixture of few labels."""
+    return v.where((F.col("id") * 7919 + 13) % 10 == 0).select("id", F.when(F.col("label") % 2 == 0, 1).otherwise(-1).alias("intent"))
 
 
 @query
@@ -74,22 +88,37 @@ def cluster_vote(spark, sf_dir):
     return cluster.vote_labels(cluster.kmeans(v, 8, 1), _seeds(v))
 
 
-@query
+@query_as(f"""WITH {_LABELLED}, k AS (SELECT q, d, intent, row_number() OVER (PARTITION BY q ORDER BY d, b) AS i FROM n JOIN seeds ON b = seeds.id)
+SELECT q AS id, coalesce(max(intent) FILTER (d = 0), CASE WHEN sum(intent / d) FILTER (d > 0) >= 0 THEN 1 ELSE -1 END)::INT AS y_pred FROM k WHERE i <= 7 GROUP BY q""")
 def knn_classifier(spark, sf_dir):
     v = vectors(spark, sf_dir)
     return cluster.knn_labels(v, _seeds(v))
 
 
-@query
+def _spread(step: str) -> str:
+    return f"""WITH RECURSIVE {_LABELLED}, k AS (SELECT q, b FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY d, b) AS i FROM n) WHERE i <= 8 AND q <> b), g AS (SELECT q, b FROM k UNION SELECT b, q FROM k),
+st AS (SELECT v.id, intent::DOUBLE AS y FROM v LEFT JOIN seeds ON v.id = seeds.id),
+it AS (SELECT id, y, coalesce(y, 0)::DOUBLE AS s, 1.0::DOUBLE AS moved, 0 AS r FROM st
+  UNION ALL SELECT id, y, t, max(abs(t - s)) OVER (), r + 1 FROM (SELECT it.id, it.y, it.s, it.r, {step} AS t FROM it LEFT JOIN (SELECT g.q, avg(o.s) AS m FROM g JOIN it o ON g.b = o.id GROUP BY g.q) z ON z.q = it.id WHERE it.moved >= 0.001 AND it.r < 30))
+SELECT id, CASE WHEN s >= 0 THEN 1 ELSE -1 END::INT AS y_pred, round(s, 6) AS score FROM it WHERE r = (SELECT max(r) FROM it)"""
+
+
+@query_as(_spread("coalesce(it.y, z.m, 0)"))
 def label_propagation(spark, sf_dir):
     v = vectors(spark, sf_dir)
-    return cluster.spread_labels(v, _seeds(v))
+    return cluster.spread_labels(v, _seeds(v)).withColumn("score", F.round("score", 6))
 
 
-@query
+@query_as(_spread("0.2 * coalesce(z.m, 0) + 0.8 * coalesce(it.y, 0)"))
 def label_spread(spark, sf_dir):
     v = vectors(spark, sf_dir)
-    return cluster.spread_labels(v, _seeds(v), alpha=0.2)
+    return cluster.spread_labels(v, _seeds(v), alpha=0.2).withColumn("score", F.round("score", 6))
+
+
+@query
+def density_outliers(spark, sf_dir):
+    v = vectors(spark, sf_dir)
+    return cluster.density_outliers(v, cluster.density_hierarchy(v, 10))
 
 
 @query
@@ -117,6 +146,23 @@ def rf_intent(spark, sf_dir):
     return scenario.run_scenario(table, names, trees=20, depth=6)[1]
 
 
+def _scenario(spark, sf_dir, name: str, clustering: str) -> DataFrame:
+    table, names = scenario.feature_table(X.orders(spark, sf_dir), ORDER_MASKS, name, rules=RULES, target="o_orderstatus", pairs=PAIRS, bank=_bank(spark, sf_dir))
+    return scenario.run_scenario(table, names, trees=20, depth=6, clustering=clustering)[1]
+
+
+@query
+def scenario_b_clustered(spark, sf_dir):
+    """Scenario B with seeds by density clusters of the features."""
+    return _scenario(spark, sf_dir, "B", "dbscan")
+
+
+@query
+def scenario_bc_clustered(spark, sf_dir):
+    """Scenario BC with seeds by K-Means clusters of the features."""
+    return _scenario(spark, sf_dir, "BC", "kmeans")
+
+
 @query
 def rf_cross_validation(spark, sf_dir):
     table, names = scenario.feature_table(X.orders(spark, sf_dir), ORDER_MASKS, "C", rules=RULES)

@@ -11,6 +11,7 @@ from cellsight.operators import encode, records, rules
 from cellsight.operators import heuristics as H
 from cellsight.operators import metrics as M
 from cellsight.operators import reference_values as R
+from cellsight.operators import suspicion as SU
 from cellsight.plans import fixtures as X
 from cellsight.plans.fixtures import CELLS, FX_FLAGS, FX_ORDERS, FX_PRED, ORDER_COLUMNS, ORDER_MASKS
 from cellsight.plans.queries_attribution import ORACLES as ATTRIBUTION
@@ -137,3 +138,30 @@ def missing_columns(spark, sf_dir):
     """Feature columns that a table lacks are 0; nulls take the fill value."""
     flagged = C.errors(order_cells(spark, sf_dir)).select("row_idx", "col_name", F.lit(None).cast("double").alias("h2_min_edit_distance"))
     return H.complete(flagged, ["h1_plausible", "h2_min_edit_distance"], -999.0)
+
+
+_CUSTOMERS = "SELECT c_custkey AS row_idx, CASE WHEN c_custkey * 7 % 11 = 0 THEN c_acctbal * 3 + 1000 ELSE c_acctbal END AS balance, c_nationkey::DOUBLE AS nation, (c_custkey * 7 % 11 = 0)::INT AS mask FROM customer"
+_SIGMOID = "1 / (1 + exp(-({})))"
+_SURE = "(least(1.0, abs({b} - 4500) / 10000) * 0.8 + {n} / 25 * 0.2)"
+_DROP_B, _DROP_N = (f"greatest(0.0, {_SURE.format(b='balance', n='nation')} - {_SURE.format(b=b, n=n)})" for b, n in ((4500.0, "nation"), ("balance", 12.0)))
+
+
+@query(f"""WITH t AS ({_CUSTOMERS}), c AS (SELECT * FROM t WHERE mask = 0), s AS (SELECT avg(balance) AS mb, stddev_samp(balance) AS sb, avg(nation) AS mn, stddev_samp(nation) AS sn FROM c), e AS (SELECT * FROM t CROSS JOIN s WHERE mask <> 0),
+p AS (SELECT e.row_idx AS q, c.balance, c.nation, row_number() OVER (PARTITION BY e.row_idx ORDER BY sqrt(pow((e.balance - mb) / sb - (c.balance - mb) / sb, 2) + pow((e.nation - mn) / sn - (c.nation - mn) / sn, 2)), c.row_idx) AS i FROM e CROSS JOIN c),
+l AS (SELECT q, avg(balance) AS lb, stddev_pop(balance) AS vb, avg(nation) AS ln, stddev_pop(nation) AS vn FROM p WHERE i <= 10 GROUP BY q),
+d AS (SELECT *, {_DROP_B} AS db, {_DROP_N} AS dn FROM e JOIN l ON e.row_idx = q),
+u AS (SELECT row_idx, 'balance' AS col_name, coalesce({_SIGMOID.format("abs(balance - lb) / nullif(vb, 0) - 2")}, 0) AS local, coalesce(db / nullif(greatest(db, dn), 0), 0) AS counterfactual, {_SIGMOID.format("abs(balance - mb) / sb - 3")} AS deviation FROM d
+  UNION ALL SELECT row_idx, 'nation', coalesce({_SIGMOID.format("abs(nation - ln) / nullif(vn, 0) - 2")}, 0), coalesce(dn / nullif(greatest(db, dn), 0), 0), {_SIGMOID.format("abs(nation - mn) / sn - 3")} FROM d)
+SELECT row_idx, col_name, round(local, 5) AS local, round(counterfactual, 5) AS counterfactual, round(0.35 * counterfactual + 0.3 * local + 0.15 * deviation, 5) AS suspicion FROM u""")
+def suspicion_weighted(spark, sf_dir):
+    """Neighbourhood, counterfactual and deviation of changed customers; nothing plays the validator."""
+    k = F.col("c_custkey") * 7 % 11 == 0
+    t = X.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("row_idx"), F.when(k, F.col("c_acctbal") * 3 + 1000).otherwise(F.col("c_acctbal")).alias("balance"), F.col("c_nationkey").cast("double").alias("nation"), k.cast("int").alias("mask"))
+    columns, dirty, clean = ["balance", "nation"], t.where("mask <> 0"), t.where("mask = 0")
+    sure = lambda c: F.least(F.lit(1.0), F.abs(c["balance"] - 4500) / 10000) * 0.8 + c["nation"] / 25 * 0.2
+    cells = C.unpivot(t, columns, masks=dict.fromkeys(columns, "mask"))
+    deviation = SU.deviation_scores(cells).join(C.errors(cells).select("row_idx", "col_name"), ["row_idx", "col_name"])
+    local, counter = SU.local_scores(dirty, clean, columns), SU.counterfactual_scores(dirty, columns, {"balance": 4500.0, "nation": 12.0}, sure)
+    whole = SU.combine({"counterfactual": counter, "local": local, "deviation": deviation})
+    both = whole.join(local, ["row_idx", "col_name"]).join(counter, ["row_idx", "col_name"])
+    return both.select("row_idx", "col_name", *[F.round(c, 5).alias(c) for c in ("local", "counterfactual", "suspicion")])

@@ -247,15 +247,26 @@ def sample_prop_floor5(spark, sf_dir):
     return _sampled(S.proportional(_events(spark, sf_dir), 0.01, S.with_floor, order=F.col("k")))
 
 
-@query()
+_OWN_SIZES = "b AS (SELECT cluster, n, greatest(1, round_even(n / total::DOUBLE * target, 0))::BIGINT AS m FROM s CROSS JOIN t CROSS JOIN v WHERE cluster <> -1), o AS (SELECT sum(m)::BIGINT - (SELECT target FROM t)::BIGINT AS over FROM b)"
+#: Allocations shrink from the highest level down: one unit of each level of each cluster above the first.
+_LOWERED = "w AS (SELECT cluster, row_number() OVER (ORDER BY u DESC, cluster::VARCHAR) AS i FROM (SELECT cluster, unnest(range(2, m + 1)) AS u FROM {0})), l AS (SELECT w.cluster, count(*) AS less FROM w CROSS JOIN {1} WHERE i <= over GROUP BY 1)"
+
+
+@query(_allocated(f"""{_OWN_SIZES}, {_LOWERED.format("b", "o")},
+a AS (SELECT b.cluster, m - coalesce(less, 0) + CASE WHEN over < 0 AND row_number() OVER (ORDER BY n DESC, b.cluster::VARCHAR) = 1 THEN -over ELSE 0 END AS m FROM b CROSS JOIN o LEFT JOIN l ON b.cluster = l.cluster)"""))
 def sample_prop_trimmed(spark, sf_dir):
     return _sampled(S.proportional(_events(spark, sf_dir), 0.01, S.trimmed, order=F.col("k")))
 
 
-@query()
+@query(f"""WITH {_EV}, s AS (SELECT cluster, count(*) AS n FROM e WHERE cluster <> -1 GROUP BY 1), b AS (SELECT cluster, n, least(10, greatest(1, round_even(n / (sum(n) OVER ())::DOUBLE * 40, 0)))::BIGINT AS m FROM s),
+o AS (SELECT sum(m)::BIGINT - 40 AS over FROM b), {_LOWERED.format("b", "o")},
+g AS (SELECT *, row_number() OVER (ORDER BY n DESC, cluster::VARCHAR) AS place FROM b), x AS (SELECT cluster, row_number() OVER (ORDER BY u, place) AS i FROM (SELECT cluster, place, unnest(range(least(10, n) - m)) AS u FROM g)),
+y AS (SELECT cluster, count(*) AS more FROM x CROSS JOIN o WHERE i <= -over GROUP BY 1), a AS (SELECT b.cluster, m - coalesce(less, 0) + coalesce(more, 0) AS m FROM b LEFT JOIN l ON b.cluster = l.cluster LEFT JOIN y ON b.cluster = y.cluster),
+r AS (SELECT event_id, cluster, intent, row_number() OVER (PARTITION BY cluster, intent ORDER BY k, event_id) AS i FROM (SELECT *, CASE WHEN event_id % 3 = 0 THEN 1 ELSE -1 END AS intent FROM e))
+SELECT event_id, r.cluster, intent FROM r JOIN a ON r.cluster = a.cluster WHERE i <= CASE WHEN intent = 1 THEN (m + 1) // 2 ELSE m // 2 END""")
 def sample_mixed_pool(spark, sf_dir):
     e = _events(spark, sf_dir).withColumn("intent", F.when(F.col("row_idx") % 3 == 0, 1).otherwise(-1))
-    return S.mixed_pool(e, 40).select(F.col("row_idx").alias("event_id"), "cluster", "intent")
+    return S.mixed_pool(e, 40, order=F.col("k")).select(F.col("row_idx").alias("event_id"), "cluster", "intent")
 
 
 @query("SELECT doc_id, quality, ((row_number() OVER (PARTITION BY quality ORDER BY (doc_id * 7919 + 13) % 100003, doc_id) - 1) % 5)::INT AS fold FROM labels")
@@ -273,9 +284,9 @@ def stratified_records(spark, sf_dir):
     return S.stratified(X.table(spark, sf_dir, "orders"), ["o_orderpriority", "o_orderstatus"], 10, (F.col("o_orderkey") * 7919 + 13) % 100003, "o_orderkey").select("o_orderkey", "o_orderpriority", "o_orderstatus")
 
 
-@query()
+@query("SELECT * EXCLUDE (i, own) FROM (SELECT *, row_number() OVER (PARTITION BY toxic = 1 ORDER BY (doc_id * 7919 + 13) % 100003, doc_id) AS i, (SELECT count(*) FROM labels WHERE toxic = 1) AS own FROM labels) WHERE toxic = 1 OR i <= 200 - own")
 def validation_sample(spark, sf_dir):
-    return S.validation_sample(X.table(spark, sf_dir, "labels"), F.col("toxic") == 1, 200, "doc_id")
+    return S.validation_sample(X.table(spark, sf_dir, "labels"), F.col("toxic") == 1, 200, "doc_id", (F.col("doc_id") * 7919 + 13) % 100003)
 
 
 @query(f"SELECT doc_id, y_true, 1 AS all_intended, -1 AS all_accident, CASE WHEN (doc_id * 7919 + 13) % 1000 < 300 THEN 1 ELSE -1 END AS biased FROM ({FX_PRED})")
@@ -337,19 +348,24 @@ def knn_self(spark, sf_dir):
     return detect.neighbours(v, v, 5).select("q", "b", F.round("d", 5).alias("d"))
 
 
-_LOF = f"""{_VEC}, {_NEAR.format(name='n', dist=_L1, where=' WHERE a.id <> b.id')}, k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY d, b) AS i FROM n) WHERE i <= {{k}}),
-r AS (SELECT q, max(d) AS kd FROM k GROUP BY 1), l AS (SELECT k.q, 1 / (avg(greatest(k.d, r.kd)) + 1e-10) AS lrd FROM k JOIN r ON k.b = r.q GROUP BY 1)
-SELECT k.q AS id, round(avg(b.lrd) / any_value(a.lrd), 5) AS lof FROM k JOIN l b ON k.b = b.q JOIN l a ON k.q = a.q GROUP BY k.q"""
+_PAIR_L1 = _NEAR.format(name="n", dist=_L1, where=" WHERE a.id <> b.id")
+
+
+def _lof(k: int) -> str:
+    return f"""k{k} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY d, b) AS i FROM n) WHERE i <= {k}), r{k} AS (SELECT q, max(d) AS kd FROM k{k} GROUP BY 1),
+l{k} AS (SELECT k.q, 1 / (avg(greatest(k.d, r.kd)) + 1e-10) AS lrd FROM k{k} k JOIN r{k} r ON k.b = r.q GROUP BY 1),
+f{k} AS (SELECT k.q AS id, avg(b.lrd) / any_value(a.lrd) AS lof FROM k{k} k JOIN l{k} b ON k.b = b.q JOIN l{k} a ON k.q = a.q GROUP BY k.q)"""
 
 
-@query("WITH " + _LOF.replace("{k}", "20"))
+@query(f"WITH {_VEC}, {_PAIR_L1}, {_lof(20)} SELECT id, round(lof, 5) AS lof FROM f20")
 def lof_scores(spark, sf_dir):
     return detect.local_outlier_factor(vectors(spark, sf_dir), 20).select("id", F.round("lof", 5).alias("lof"))
 
 
-@query()
+@query(f"""WITH {_VEC}, {_PAIR_L1}, {_lof(10)}, {_lof(20)}, {_lof(30)}, a AS (SELECT *, (lof > (SELECT quantile_cont(lof, 0.95) FROM f10))::INT AS f FROM f10 UNION ALL SELECT *, (lof > (SELECT quantile_cont(lof, 0.95) FROM f20))::INT FROM f20
+UNION ALL SELECT *, (lof > (SELECT quantile_cont(lof, 0.95) FROM f30))::INT FROM f30) SELECT id, round(avg(lof), 5) AS lof_mean, sum(f)::INT AS votes, (2 * sum(f) > 3)::INT AS is_outlier FROM a GROUP BY id""")
 def multi_k_lof(spark, sf_dir):
-    return detect.multi_k_lof(vectors(spark, sf_dir), [10, 20, 30])
+    return detect.multi_k_lof(vectors(spark, sf_dir), [10, 20, 30]).select("id", F.round("lof_mean", 5).alias("lof_mean"), "votes", "is_outlier")
 
 
 _FLAGS3 = "f AS (SELECT event_id, (value > 20)::INT AS a, (event_id % 9 = 0)::INT AS b, (event_type = 'error')::INT AS c FROM events)"

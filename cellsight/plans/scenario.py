@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,6 +14,8 @@ from cellsight.operators import models as M
 from cellsight.operators import reference_values as R
 from cellsight.operators import rules as RU
 from cellsight.operators import sampling as S
+from cellsight.operators.cluster import CLUSTERINGS
+from cellsight.operators.encode import Scaler
 from cellsight.operators.metrics import weighted_f1
 from cellsight.operators.storage import settled
 from cellsight.sources.io import Scorer
@@ -50,10 +54,24 @@ def feature_table(wide: DataFrame, masks: dict[str, str], scenario: str = "B", c
     return C.attach_labels(out, cells).withColumns({n: F.col(n).cast("double") for n in names}), names
 
 
-def run_scenario(features: DataFrame, names: list[str], rate: float = 0.01, trees: int = 50, depth: int = 8) -> tuple[DataFrame, DataFrame]:
-    """Predictions of the cells that are no seeds, and their metrics."""
+def clustered_seeds(keyed: DataFrame, names: list[str], clustering: str, rate: float, rule: Callable[[dict, int], dict] = S.without_floor) -> DataFrame:
+    """Seed cells by cluster: standardised features (nulls 0) are clustered and every cluster but noise gives its share.
+
+    A clustering that finds noise only leaves uniform seeds.
+    """
+    filled = keyed.select("cell", *[F.coalesce(n, F.lit(0.0)).alias(n) for n in names])
+    scaled = Scaler("standard").fit(filled, names).transform(filled)
+    vectors = settled(scaled.select(F.xxhash64("cell").alias("id"), F.array(*names).alias("v")))
+    found = settled(CLUSTERINGS[clustering](vectors))
+    own = keyed.withColumn("__id", F.xxhash64("cell")).join(found.select(F.col("id").alias("__id"), "cluster"), "__id").drop("__id")
+    seeds = S.proportional(own, rate, rule, key="cell").drop("cluster")
+    return S.uniform(keyed, rate, key="cell") if seeds.isEmpty() else seeds
+
+
+def run_scenario(features: DataFrame, names: list[str], rate: float = 0.01, trees: int = 50, depth: int = 8, clustering: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Predictions of the cells that are no seeds, and their metrics. Seeds are uniform, or drawn by the clusters of a name in ``CLUSTERINGS``."""
     keyed = settled(features.withColumn("cell", F.concat_ws(":", "row_idx", "col_name")))
-    seeds = settled(S.uniform(keyed, rate, key="cell"))
+    seeds = settled(clustered_seeds(keyed, names, clustering, rate) if clustering else S.uniform(keyed, rate, key="cell"))
     model = M.IntentClassifier(names, trees=trees, depth=depth).fit(seeds)
     rest = keyed.join(seeds.select("cell"), "cell", "left_anti")
     out = settled(model.transform(rest).select("row_idx", "col_name", F.col("intent").alias("y_true"), "y_pred", "proba"))
