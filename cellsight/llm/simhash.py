@@ -169,14 +169,19 @@ def links(distinct: DataFrame, bits: int = 3, hot: int = HOT_GROUP) -> DataFrame
             yield from done(*held)
 
     spread_out = distinct.select("fp").where("fp is not null").mapInArrow(spread, "key long, fp long, home boolean")
-    crowded = settle(spread_out.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > hot).select("key", F.ceil(F.col("n") / hot).cast("int").alias("parts")), "crowded")
+    n, at_home = F.count("*"), F.count_if("home")
+    tiles = lambda x: F.ceil(F.greatest(x, F.lit(1)) / hot).cast("int")
+    crowded = settle(spread_out.groupBy("key").agg(n.alias("n"), tiles(at_home).alias("rows"), tiles(n).alias("columns")).where(F.col("n") > hot).drop("n"), "crowded")
     if crowded.isEmpty():
         dealt = spread_out.withColumn("part", F.lit(0))
     else:
-        joined = spread_out.join(crowded, "key", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
-        # a home member is at home in one part and a visitor in the others; visitors go to every part
-        own = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
-        dealt = joined.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("home", F.col("home") & (F.col("part") == own)).drop("parts")
+        joined = spread_out.join(crowded, "key", "left").withColumns({"rows": F.coalesce("rows", F.lit(1)), "columns": F.coalesce("columns", F.lit(1))})
+        # tiles of home members by tiles of all: a home member is at home along its row of tiles and a visitor elsewhere in its column
+        row, column = F.pmod(F.xxhash64("fp"), F.col("rows")).cast("int"), F.pmod(F.xxhash64("fp", F.lit(1)), F.col("columns")).cast("int")
+        tile = lambda i, j, home: F.struct((i * F.col("columns") + j).alias("part"), F.lit(home).alias("home"))
+        along = F.when(F.col("home"), F.transform(F.sequence(F.lit(0), F.col("columns") - 1), lambda j: tile(row, j, True))).otherwise(F.array().cast("array<struct<part:int,home:boolean>>"))
+        other = F.transform(F.filter(F.sequence(F.lit(0), F.col("rows") - 1), lambda i: ~F.col("home") | (i != row)), lambda i: tile(i, column, False))
+        dealt = joined.select("key", "fp", F.inline(F.concat(along, other)))
     grouped = dealt.select("key", "part", "fp", "home").repartition("key", "part").sortWithinPartitions("key", "part")
     return grouped.mapInArrow(compare, "a long, b long")
 
