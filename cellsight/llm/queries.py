@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cellsight.llm import audio, bpe, chat, codes, html, lines, packing, quality, repair, simhash, substring, token_files
+from cellsight.llm import audio, bpe, chat, codes, exact, html, lines, packing, quality, repair, simhash, substring, token_files
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -64,6 +64,10 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.assess(table(spark, sf_dir, "documents"))
 
 
+def op11_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact.deduplicate(table(spark, sf_dir, "documents"))
+
+
 def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.repair(table(spark, sf_dir, "conversations"))
 
@@ -72,5 +76,5 @@ def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codes.codes_and_errors(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op2_substring": op2_substring, "op3_lines": op3_lines, "op4_html": op4_html, "op5_simhash": op5_simhash, "op6_token_files": op6_token_files, "op7_packing": op7_packing, "op8_chat": op8_chat, "op9_audio": op9_audio, "op10_quality": op10_quality, "op12_repair": op12_repair, "op13_vector_codes": op13_vector_codes}
-ORACLES: dict[str, str] = {"op2_substring": OP2_SQL, "op3_lines": lines.DIGESTS_SQL, "op8_chat": chat.ROTATE_SQL}
+QUERIES = {"op1_bpe": op1_bpe, "op2_substring": op2_substring, "op3_lines": op3_lines, "op4_html": op4_html, "op5_simhash": op5_simhash, "op6_token_files": op6_token_files, "op7_packing": op7_packing, "op8_chat": op8_chat, "op9_audio": op9_audio, "op10_quality": op10_quality, "op11_exact": op11_exact, "op12_repair": op12_repair, "op13_vector_codes": op13_vector_codes}
+ORACLES: dict[str, str] = {"op2_substring": OP2_SQL, "op3_lines": lines.DIGESTS_SQL, "op8_chat": chat.ROTATE_SQL, "op11_exact": exact.DEDUPLICATE_SQL}
