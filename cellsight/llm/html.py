@@ -4,7 +4,8 @@ The markup is cut into blocks at block-level tags; scripts, styles and comments
 of the markup give none. The first pass adds up the evidence of every block:
 density of common words, length, share of link text, whether it stands in the
 page's article, and whether an element around it names itself as furniture of
-the page. A block is good, bad, or left open; headings and short blocks without
+the page (an element that holds most of the page's prose is not believed). A
+block is good, bad, or left open; headings and short blocks without
 evidence against them are always left open. The second pass gives an open block
 the label of the nearest decided neighbour in the same part of the page (a
 heading: of the next one), of the part itself if nothing in it is decided.
@@ -33,13 +34,18 @@ IN_MAIN, BESIDE_MAIN, HINTED, NAMED = 1.0, -1.0, -1.5, -4.0
 GOOD_FROM, BAD_FROM = 1.5, -1.0
 #: An article with less than this share of the page's text outside furniture is a teaser and no evidence.
 MAIN_SHARE = 0.3
+#: An element that names itself as furniture is not believed if it holds this share of the page's prose and what stands
+#: outside such elements is at most this share of its own; one that holds the article needs the first share only.
+HOLDS_SHARE, OUTSIDE_SHARE = 0.6, 0.1
+#: Common words say nothing on a page with less than this share of its prose in blocks that have some: its language is not listed.
+LISTED_SHARE = 0.2
 #: Names of tags and roles of the HTML standard.
 BLOCK_TAGS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li "
     "main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul".split()
 )
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW_TAGS = frozenset("script style noscript template textarea select iframe svg math object canvas audio video title noframes noembed button datalist map".split())
+RAW_TAGS = frozenset("script style noscript template textarea select iframe object canvas audio video title noframes noembed button datalist map annotation annotation-xml desc metadata".split())
 FURNITURE_TAGS = frozenset("nav footer aside form menu dialog search".split())
 FURNITURE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar status".split())
 #: Heuristic: words of classes and ids that name furniture, and words that only hint at it.
@@ -48,6 +54,9 @@ FURNITURE_WORDS = frozenset(
     "modal nav navbar navigation navi newsletter notice notices notification pager pagination paywall popup promo promotion promoted related reply replies respond responses share sharing sidebar sidebars "
     "signup sitemap sponsor sponsored sponsors subscribe subscription teaser teasers toolbar topbar".split()
 )
+#: What these name is never taken for the page's text, however long it is.
+APART_TAGS = frozenset("nav footer dialog search".split())
+APART_WORDS = frozenset("comment comments commentlist respond responses reply replies footer disqus copyright".split())
 HINT_WORDS = frozenset("disclaimer header menus overlay skip social tags warning widget widgets".split())
 MAIN_TAGS = frozenset(("article", "main"))
 HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
@@ -80,25 +89,37 @@ class Block(NamedTuple):
     outer: bool
 
 
-def kind_of(tag: str, attributes: str, in_main: bool) -> int:
-    """What an element says of itself: furniture of the page, a hint at it, or nothing."""
+class Zone(NamedTuple):
+    """An element that names itself as furniture or hints at it; ``within`` is the number of the one around it, or -1."""
+
+    kind: int
+    within: int
+    outer: bool
+    #: It is of a kind that is never the page's text.
+    apart: bool
+
+
+def kind_of(tag: str, attributes: str, in_main: bool) -> tuple[int, bool]:
+    """What an element says of itself: furniture of the page, a hint at it, or nothing; and whether it is never the page's text."""
     if tag in FURNITURE_TAGS or tag == "header" and not in_main:
-        return FURNITURE
+        return FURNITURE, tag in APART_TAGS or any(APART_WORDS & {w.lower() for w in NAME_PARTS.findall(m[0])} for m in ATTRIBUTE.finditer(attributes))
     if not attributes or tag in ("html", "body") or tag in MAIN_TAGS and "omment" not in attributes:
-        return NOTHING
+        return NOTHING, False
     found = NOTHING
     for m in ATTRIBUTE.finditer(attributes):
         name = m[1].lower()
         value = m[2] if m[2] is not None else m[3] if m[3] is not None else m[4] or ""
-        if name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "role" and value.strip().lower() in FURNITURE_ROLES or name == "style" and HIDDEN.search(value):
-            return FURNITURE
+        if name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and HIDDEN.search(value):
+            return FURNITURE, True
+        if name == "role" and value.strip().lower() in FURNITURE_ROLES:
+            return FURNITURE, value.strip().lower() != "form"
         if name in ("class", "id", "aria-label", "itemtype"):
             words = {w.lower() for w in NAME_PARTS.findall(value)}
             if words & FURNITURE_WORDS:
-                return FURNITURE
+                return FURNITURE, bool(words & APART_WORDS)
             if words & HINT_WORDS:
                 found = HINT
-    return found
+    return found, False
 
 
 def tags_of(html: str) -> Iterator[tuple[int, int, str, bool, str]]:
@@ -145,32 +166,23 @@ def tags_of(html: str) -> Iterator[tuple[int, int, str, bool, str]]:
         at = end + 1
 
 
-class Zone:
-    """The outermost open element that names itself as furniture (or hints at it)."""
-
-    def __init__(self):
-        self.tag, self.depth, self.main, self.outer = "", 0, 0, False
-
-    def begin(self, tag: str, main: int, outer: bool) -> None:
-        if not self.depth:
-            self.tag, self.depth, self.main, self.outer = tag, 1, main, outer
-
-    def see(self, tag: str, ending: bool) -> None:
-        """End with the element, or where another tag ends a paragraph or list item by itself."""
-        if tag == self.tag:
-            self.depth = self.depth - 1 if ending else 0 if tag in ("p", "li") else self.depth + 1
-        elif self.tag == "p" and tag in BLOCK_TAGS or self.tag == "li" and ending and tag in ("ul", "ol"):
-            self.depth = 0
-
+def read(html: str) -> tuple[list[Block], list[Zone], set[int]]:
+    """Every block of the page in order, ``zone`` being the number of the zone around it (-1 for none); the zones; those that hold an article.
 
-def blocks_of(html: str) -> list[Block]:
-    """Every block of the page in order, those of furniture too."""
+    An inline element of furniture gives a block of its own, and the block that it interrupts goes on after it. Work is
+    linear: a tag looks at the innermost open zone of its name only.
+    """
     blocks: list[Block] = []
+    zones: list[Zone] = []
+    holding: set[int] = set()
     parts: list[str] = []
-    linked = links = main = part = 0
+    linked = links = main = part = last_part = nesting = 0
     tag_of, at = "body", 0
-    named, hinted = Zone(), Zone()
     endless: set[str] = set()
+    opened: dict[str, int] = {}
+    #: Open zones: number, tag, how many of that tag are open with it, open articles, open blocks, and what it interrupts.
+    stack: list[tuple] = []
+    of_tag: dict[str, list[int]] = {}
 
     def text(chunk: str) -> None:
         nonlocal linked
@@ -184,11 +196,39 @@ def blocks_of(html: str) -> list[Block]:
         nonlocal linked
         whole = SPACES.sub(" ", "".join(parts)).strip()
         if whole:
-            zone = FURNITURE if named.depth else HINT if hinted.depth else NOTHING
-            blocks.append(Block(whole, linked / max(len(whole) - whole.count(" "), 1), tag_of, main > 0, zone, part, bool(named.depth and named.outer)))
+            zone = stack[-1][0] if stack else -1
+            blocks.append(Block(whole, linked / max(len(whole) - whole.count(" "), 1), tag_of, main > 0, zone, part, False))
         parts.clear()
         linked = 0
 
+    def new_part() -> None:
+        nonlocal part, last_part
+        part = last_part = last_part + 1
+
+    def begin_zone(tag: str, kind: int, apart: bool, block: bool) -> None:
+        nonlocal parts, linked
+        held = None
+        if not block and parts:  # it interrupts a block
+            held = parts, linked, tag_of, part
+            parts, linked = [], 0
+        else:
+            close()
+        of_tag.setdefault(tag, []).append(len(stack))
+        zones.append(Zone(kind, stack[-1][0] if stack else -1, not main and tag not in FURNITURE_TAGS and tag != "header", apart))
+        stack.append((len(zones) - 1, tag, opened.get(tag, 0), main, nesting, held, block))
+        new_part()
+
+    def end_zones(down_to: int) -> None:
+        """Zones from place ``down_to`` of the stack on end; interrupted blocks go on."""
+        nonlocal parts, linked, tag_of, part
+        while len(stack) > down_to:
+            close()
+            _, tag, *_, held, _ = stack.pop()
+            of_tag[tag].pop()
+            new_part()
+            if held:
+                parts, linked, tag_of, part = held
+
     for begin, end, tag, ending, attributes in tags_of(html):
         if begin < at:  # inside a raw element
             continue
@@ -207,41 +247,92 @@ def blocks_of(html: str) -> list[Block]:
                     endless.add(tag)
             continue
         block = tag in BLOCK_TAGS
+        empty = tag in VOID_TAGS or attributes.endswith("/") and not block
+        if ending:
+            opened[tag] = max(0, opened.get(tag, 0) - 1)
+            if block:
+                nesting = max(0, nesting - 1)
+        if of_tag.get(tag):  # the innermost zone of this name ends with its element, or where another begins that can't stand in it
+            place = of_tag[tag][-1]
+            if ending and opened[tag] < stack[place][2] or not ending and tag in ("p", "li") and stack[place][2] == opened.get(tag, 0):
+                end_zones(place)
+                if not ending:
+                    opened[tag] = max(0, opened[tag] - 1)
+        if block and stack:
+            top = stack[-1]
+            if top[1] == "p" or top[1] == "li" and ending and tag in ("ul", "ol") or ending and not top[6] and nesting < top[4]:
+                end_zones(len(stack) - 1)  # a paragraph or list item that another tag ends; an inline element whose block ends
         if block:
+            if stack and stack[-1][5] and not ending and tag in ("p", "li", *HEADINGS):
+                end_zones(len(stack) - 1)  # an inline element left open in a paragraph
             close()
             links, tag_of = 0, "body" if ending else tag
         elif tag == "br":
             parts.append(" ")
         elif tag == "a":
             links = 0 if ending else 1
-        for zone in (named, hinted):
-            if zone.depth:
-                was = "".join(parts)
-                zone.see(tag, ending)
-                if not zone.depth:
-                    part += 1
-                    if not block and was:  # an inline element of furniture ends inside a block
-                        zone.depth = 1
-                        close()
-                        zone.depth = 0
         if tag in MAIN_TAGS:
             main = max(0, main + (-1 if ending else 1))
-            part += 1
-            for zone in (named, hinted):
-                if ending and zone.depth and zone.main > main:  # left open in an article that ends
-                    zone.depth = 0
-        if not ending and tag not in VOID_TAGS and not (attributes.endswith("/") and not block):
-            kind = kind_of(tag, attributes, main > 0)
-            zone = named if kind == FURNITURE else hinted
-            if kind and not zone.depth:
-                if not block:
-                    close()
-                part += 1
-                zone.begin(tag, main, not main and tag not in FURNITURE_TAGS and tag != "header")
+            if ending and stack and stack[-1][3] > main:  # left open in an article that ends
+                place = len(stack) - 1
+                while place and stack[place - 1][3] > main:
+                    place -= 1
+                end_zones(place)
+            elif not ending and stack:
+                holding.add(stack[-1][0])
+            new_part()
+        if not ending and not empty:
+            opened[tag] = opened.get(tag, 0) + 1
+            nesting += block
+            kind, apart = kind_of(tag, attributes, main > 0)
+            if kind:
+                begin_zone(tag, kind, apart, block)
     if at < len(html):
         text(html[at:])
+    end_zones(0)
     close()
-    return blocks
+    for number in range(len(zones) - 1, -1, -1):  # what an inner zone holds, the outer one holds too
+        if number in holding and zones[number].within >= 0:
+            holding.add(zones[number].within)
+    return blocks, zones, holding
+
+
+def believed(blocks: list[Block], zones: list[Zone], holding: set[int]) -> list[int]:
+    """The kind of every zone, that of the zones around it included: furniture only if it doesn't hold the page's text.
+
+    From the outermost on, a zone that holds most of the prose is nothing special if almost none stands outside such zones
+    or if it holds the article. Of what is then nothing special, the prose counts as outside.
+    """
+    own = [0] * (len(zones) + 1)  # the last is for what stands in no zone
+    for b in blocks:
+        if len(b.text) >= SHORT_CHARS and b.links <= MAX_LINKS:
+            own[b.zone] += len(b.text)
+    whole, total, outside = own[:], sum(own), own[-1]
+    for number in range(len(zones) - 1, -1, -1):
+        if zones[number].within >= 0:
+            whole[zones[number].within] += whole[number]
+    out: list[int] = []
+    for number, zone in enumerate(zones):
+        around = out[zone.within] if zone.within >= 0 else NOTHING
+        kind = zone.kind
+        most = whole[number] > 0 and whole[number] >= HOLDS_SHARE * total
+        if kind == FURNITURE and around != FURNITURE and not zone.apart and most and (number in holding or outside <= OUTSIDE_SHARE * whole[number]):
+            kind = NOTHING
+        out.append(max(kind, around))
+        if out[-1] != FURNITURE:
+            outside += own[number]
+    return out
+
+
+def blocks_of(html: str) -> list[Block]:
+    """Every block of the page in order, those of furniture too, with what its zones say of it."""
+    blocks, zones, holding = read(html)
+    kinds = believed(blocks, zones, holding)
+    outer: list[bool] = []  # whether the outermost furniture around is named outside the article
+    for number, zone in enumerate(zones):
+        inherited = zone.within >= 0 and kinds[zone.within] == FURNITURE
+        outer.append(outer[zone.within] if inherited else kinds[number] == FURNITURE and zone.outer)
+    return [b._replace(zone=kinds[b.zone], outer=outer[b.zone]) if b.zone >= 0 else b._replace(zone=NOTHING) for b in blocks]
 
 
 def density(text: str) -> float:
@@ -257,12 +348,17 @@ def main_is_evidence(blocks: list[Block]) -> bool:
     return inside > 0 and inside >= MAIN_SHARE * sum(n for n, _ in free)
 
 
-def evidence(block: Block, has_main: bool) -> float:
-    """The sum of what speaks for a block (above zero) and against it."""
+def is_listed(blocks: list[Block], common: list[float]) -> bool:
+    """Whether a fair share of the page's prose has common words of a listed language, so that they can decide."""
+    prose = [(len(b.text), c) for b, c in zip(blocks, common) if b.zone != FURNITURE and b.links <= MAX_LINKS and len(b.text) >= SHORT_CHARS]
+    return sum(n for n, c in prose if c >= GOOD_DENSITY) > LISTED_SHARE * sum(n for n, _ in prose)
+
+
+def evidence(block: Block, common: float, has_main: bool, listed: bool) -> float:
+    """The sum of what speaks for a block (above zero) and against it; ``common``: its density. In a language that is not listed, length and links decide."""
     score = 0.0
     if len(block.text) >= SHORT_CHARS:  # the words of a short block say little
-        common = density(block.text)
-        score += LONG + (DENSE if common >= GOOD_DENSITY else POOR if common < POOR_DENSITY else 0.0)
+        score += LONG + (DENSE if common >= GOOD_DENSITY or not listed else POOR if common < POOR_DENSITY else 0.0)
     if block.links > MAX_LINKS:
         score += LINKED_LIST if block.tag in LIST_TAGS else LINKED
     if has_main:
@@ -272,15 +368,19 @@ def evidence(block: Block, has_main: bool) -> float:
 
 def first_pass(blocks: list[Block]) -> list[int]:
     """GOOD, BAD or OPEN by the sum of evidence; headings and short blocks are never good by themselves."""
-    has_main, out = main_is_evidence(blocks), []
-    for b in blocks:
-        score = evidence(b, has_main)
+    has_main = main_is_evidence(blocks)
+    common = [density(b.text) for b in blocks]
+
+    def label(b: Block, c: float, listed: bool) -> int:
+        score = evidence(b, c, has_main, listed)
         if score <= BAD_FROM and not (b.tag in HEADINGS and b.zone == NOTHING):
-            out.append(BAD)
-        elif score >= GOOD_FROM and b.tag not in HEADINGS and len(b.text) >= SHORT_CHARS:
-            out.append(GOOD)
-        else:
-            out.append(OPEN)
+            return BAD
+        return GOOD if score >= GOOD_FROM and b.tag not in HEADINGS and len(b.text) >= SHORT_CHARS else OPEN
+
+    listed = is_listed(blocks, common)
+    out = [label(b, c, listed) for b, c in zip(blocks, common)]
+    if GOOD not in out:  # common words left nothing: length and links decide
+        out = [label(b, c, False) for b, c in zip(blocks, common)]
     return out
 
 

@@ -12,6 +12,9 @@ from cellsight.llm import html
 PROSE = "The man of the house is in the town and it was for the day that he had to be on the road to the sea."
 NAMES = "Breakwater Overcliff Marrowbone Thistledown Cinderford Palimpsest Quarterdeck Undertow Larkspur Vellum"
 
+CHINESE = "春天来了，山上的雪开始融化，河水慢慢涨起来。村里的人们走出家门，在田里种下今年的第一批种子，孩子们在路边追着风筝跑，老人坐在树下说着往年的事情，一直到太阳落山才回家吃饭。"
+ITALIAN = "Quando arrivarono sulla collina videro finalmente il mare, grigio sotto nuvole basse, mentre qualche barca tornava lentamente verso riva."
+
 
 def page_of(parts):
     return "".join(parts)
@@ -37,6 +40,24 @@ def page_of(parts):
         # an advert that is never closed ends with the article
         (f"<article><p>{PROSE}</p><div class=ad>Buy</article><footer>foot</footer>", [PROSE]),
         (f"<main><p>{PROSE}</p><p style='display: none'>{PROSE} h</p><span class=ad>Buy</span><p>{PROSE} z</p></main>", [PROSE, PROSE + " z"]),
+        # an inline element of furniture goes, the paragraph that it interrupts goes on as one block
+        (f"<article><p>{PROSE} <span class='notice'>new</span> the rest of this paragraph</p></article>", [PROSE + " the rest of this paragraph"]),
+        (f"<article><p>{PROSE} <a class='share' href=x>Share <b>it</b></a> with <i>all</i> of you</p><p>{PROSE} b</p></article>", [PROSE + " with all of you", PROSE + " b"]),
+        (f"<article><p>{PROSE} <span class=ad>one <span class=ad>two</span> three</span> end</p></article>", [PROSE + " end"]),
+        # a page in one form, and wrappers whose classes have a word of furniture in them
+        (f"<body><form action=x><div><h1>Head</h1><p>{PROSE}</p><p>{PROSE} a</p><input name=q></div></form></body>", ["Head", PROSE, PROSE + " a"]),
+        (f"<form><article><p>{PROSE}</p></article><div class=sidebar>{PROSE} s</div></form>", [PROSE]),
+        *[(f"<div {a}><p>{PROSE}</p><p>{PROSE} a</p><p>{PROSE} b</p></div>", [PROSE, PROSE + " a", PROSE + " b"]) for a in ("class='content no-sidebar'", "class=layout-with-sidebar", "class=post-promo-wide", "id=consent-wrapper")],
+        (f"<div class=layout-with-sidebar><div><p>{PROSE}</p><p>{PROSE} a</p><p>{PROSE} b</p></div><div class=sidebar><p>{PROSE} s</p></div></div>", [PROSE, PROSE + " a", PROSE + " b"]),
+        # a long notice beside a short text, long comments and a long footer stay out
+        (f"<div><p>{PROSE}</p></div><div class='cookie-notice'><p>{PROSE} c</p><p>{PROSE} d</p><p>{PROSE} e</p></div>", [PROSE]),
+        (f"<article><p>{PROSE}</p></article><div class=comments>" + f"<p>{PROSE} d</p>" * 20 + "</div>", [PROSE]),
+        (f"<div><p>{PROSE}</p></div><footer>" + f"<p>{PROSE} f</p>" * 20 + "</footer>", [PROSE]),
+        # languages without a list of common words, without an article
+        (f"<div><ul><li><a href=1>首页</a></li><li><a href=2>新闻</a></li></ul><p>{CHINESE}</p><p>{CHINESE}二</p></div>", [CHINESE, CHINESE + "二"]),
+        (f"<div><p>{ITALIAN}</p><p>{ITALIAN} a</p></div><div><a href=1>Notizie</a></div>", [ITALIAN, ITALIAN + " a"]),
+        # formulas are text, scripts in them are not
+        (f"<article><p>{PROSE} <math><mi>x</mi><mo>=</mo><mn>1</mn><annotation>x=1</annotation></math> holds</p></article>", [PROSE + " x=1 holds"]),
     ],
 )
 def test_rules(page, want):
@@ -78,7 +99,7 @@ def random_page(rng):
     parts = []
     for _ in range(rng.randint(1, 25)):
         body = rng.choice([PROSE, NAMES, "Short.", "<a href=1>Link text of it</a>", "", "x &amp; y"])
-        parts.append(rng.choice(["<p>%s</p>", "<h2>%s</h2>", "<div class=ad>%s</div>", "<article>%s", "</article>%s", "<li>%s", "<nav>%s</nav>", "<div class=warning>%s</div>", "<footer>%s", "</footer>%s", "<main><p>%s</p></main>", "%s<br>"]) % body)
+        parts.append(rng.choice(["<p>%s</p>", "<h2>%s</h2>", "<div class=ad>%s</div>", "<article>%s", "</article>%s", "<li>%s", "<nav>%s</nav>", "<div class=warning>%s</div>", "<footer>%s", "</footer>%s", "<main><p>%s</p></main>", "%s<br>", "<form><p>%s", "</form>%s", "<p>a <span class=share>%s</span> b</p>", "<div class=with-sidebar><p>%s", "</div>%s"]) % body)
     return page_of(parts)
 
 
@@ -117,8 +138,39 @@ def test_whole_table_and_what_the_passes_decide(spark):
     assert sum(agree) / len(agree) > 0.6  # pages of junk without common words are lost whole
 
 
-@pytest.mark.parametrize("piece", ['<a "', "<button>", "<a '>\"", '<a ">" ', "<!--", "<textarea>x", '<div class="ad"', "</", "<!", "<b class=ad>", "<div><p class=ad>x", "<a b='>", "&amp", "<a =\"x"])
-def test_a_megabyte_of_hostile_markup(piece):
+@pytest.mark.parametrize("piece", ['<a "', "<button>", "<a '>\"", '<a ">" ', "<!--", "<textarea>x", '<div class="ad"', "</", "<!", "<b class=ad>", "<div><p class=ad>x", "<span class=ad>x", "x<i class=ad>y</i>", "<div class=ad><p>x</div>", "<form><div class=sidebar>x", "<li class=ad><a>x", "<a b='>", "&amp", "<a =\"x"])
+@pytest.mark.parametrize("before", ["", "<div class=overlay>", "<p><span class=ad>", "<article>"])
+def test_a_megabyte_of_hostile_markup(before, piece):
     began = time.process_time()
-    html.extract(piece * ((1 << 20) // len(piece)))
-    assert time.process_time() - began < 4
+    html.extract(before + piece * ((1 << 20) // len(piece)))
+    assert time.process_time() - began < 8
+
+
+def slow_kinds(blocks, zones, holding):
+    """By definition: every zone's prose is summed anew from the blocks in it and in the zones within."""
+    prose = [len(b.text) if len(b.text) >= html.SHORT_CHARS and b.links <= html.MAX_LINKS else 0 for b in blocks]
+
+    def chain(z):
+        while z >= 0:
+            yield z
+            z = zones[z].within
+
+    kinds = {}
+    for z, zone in enumerate(zones):
+        around = kinds.get(zone.within, html.NOTHING)
+        inside = sum(n for n, b in zip(prose, blocks) if z in chain(b.zone))
+        outside = sum(n for n, b in zip(prose, blocks) if b.zone < 0 or b.zone < z and kinds[b.zone] != html.FURNITURE)
+        text = inside and inside >= html.HOLDS_SHARE * sum(prose) and (z in holding or outside <= html.OUTSIDE_SHARE * inside)
+        kind = html.NOTHING if zone.kind == html.FURNITURE and around != html.FURNITURE and not zone.apart and text else zone.kind
+        kinds[z] = max(kind, around)
+    return [kinds[z] for z in range(len(zones))]
+
+
+def test_furniture_that_holds_the_text_by_definition():
+    rng = random.Random(8)
+    seen = 0
+    for _ in range(400):
+        blocks, zones, holding = html.read(random_page(rng))
+        assert html.believed(blocks, zones, holding) == slow_kinds(blocks, zones, holding)
+        seen += any(k == html.NOTHING and z.kind == html.FURNITURE for k, z in zip(html.believed(blocks, zones, holding), zones))
+    assert seen > 5
