@@ -109,7 +109,8 @@ def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", hashed
     entries = digests(docs, key, text, hashed)
     index = build(docs, entries, key, text, hashed=hashed, **limits)
     last = entries.groupBy("key", "sha").agg(F.max(F.struct(F.col("id").isNotNull(), "id", "row")).alias("last"))
-    groups = index.pages.where("compared").join(last, ["key", "sha"]).select("key", "sha", "keep_id", "group_size", F.col("last.row").alias("stays"))
+    # settled, so that nothing but the join reads the shuffled rows and a hot key can be split
+    groups = settle(index.pages.where("compared").join(last, ["key", "sha"]).select("key", "sha", "keep_id", "group_size", F.col("last.row").alias("stays")), "groups")
     found = entries.join(groups, ["key", "sha"])
     return found.select(F.col("id").alias("doc_id"), "keep_id", "group_size", (F.col("row") == F.col("stays")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
 
