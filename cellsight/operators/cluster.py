@@ -15,7 +15,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from cellsight.operators.detect import neighbours
+from cellsight.operators import nearest
+from cellsight.operators.nearest import neighbours
+from cellsight.operators.order import numbered
 from cellsight.operators.storage import settled
 
 #: Points whose distances the driver holds all at once when it merges a hierarchy; larger tables are divided first.
@@ -128,40 +130,22 @@ def distance_quantile(vectors: DataFrame, k: int = 5, q: float = 0.9, floor: flo
     return max(floor, float(d.agg(F.percentile("d", F.lit(q))).first()[0] or 0))
 
 
-def within(vectors: DataFrame, eps: float, block: int = 2048) -> DataFrame:
-    """``a, b``: pairs of different ids at most eps apart, both ways; blocks meet blocks as in :func:`neighbours`."""
-    n = max(1, vectors.count())
-    parts = max(1, -(-n // block))
-    lanes = F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
-    own = vectors.select("id", "v", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int").alias("p"))
-    left, right = own.withColumnRenamed("p", "x").withColumn("y", lanes), own.withColumnRenamed("p", "y").withColumn("x", lanes)
-
-    def pair(s: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
-        if s.empty or t.empty:
-            return pd.DataFrame({"a": [], "b": []}).astype("int64")
-        x, y = np.vstack(s["v"].to_numpy()), np.vstack(t["v"].to_numpy())
-        a, b = [], []
-        step = max(1, (1 << 22) // max(1, y.size))
-        for i in range(0, len(x), step):
-            p, q = np.nonzero(np.sqrt(np.square(x[i : i + step, None, :] - y[None]).sum(2)) <= eps)
-            a.append(s["id"].to_numpy()[i + p])
-            b.append(t["id"].to_numpy()[q])
-        out = pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b)})
-        return out[out["a"] != out["b"]]
-
-    return left.groupBy("x", "y").cogroup(right.groupBy("x", "y")).applyInPandas(pair, "a long, b long")
-
-
 def dbscan(vectors: DataFrame, eps: float | None = None, min_samples: int = 5) -> DataFrame:
-    """Density clusters numbered by their least core id; noise is -1; a border point joins the least of its clusters."""
+    """Density clusters numbered by their least core id; noise is -1; a border point joins the least of its clusters.
+
+    No pair within ``eps`` leaves a task: vectors are counted, core vectors joined by forests, and border vectors given a minimum.
+    """
     eps = distance_quantile(vectors, min_samples) if eps is None else eps
-    pairs = settled(within(vectors, eps))
-    core = settled(pairs.groupBy("a").count().where(F.col("count") + 1 >= min_samples).select(F.col("a").alias("id")))
-    inner = pairs.join(core.withColumnRenamed("id", "a"), "a").join(core.withColumnRenamed("id", "b"), "b").select("a", "b")
-    roots = connected(inner, core)
-    border = pairs.join(roots.select(F.col("id").alias("b"), "root"), "b").groupBy("a").agg(F.min("root").alias("near"))
-    every = vectors.select("id").join(roots, "id", "left").join(border.withColumnRenamed("a", "id"), "id", "left").select("id", F.coalesce("root", "near").alias("root"))
-    numbers = roots.select("root").distinct().select("root", (F.row_number().over(W.orderBy("root")) - 1).alias("cluster"))
+    cells = nearest.Cells(vectors)
+    inside = settled(nearest.count_within(cells.members, cells, eps).select("id", (F.col("n") >= min_samples).alias("core")))
+    core = settled(vectors.select("id", "v").join(inside.where("core").select("id"), "id"))
+    if core.isEmpty():
+        return vectors.select("id", F.lit(-1).alias("cluster"))
+    roots = connected(nearest.links_within(nearest.Cells(core), eps), core.select("id"))
+    homes = nearest.Cells(core.join(roots, "id"), extra=("root",))
+    border = nearest.least_within(settled(vectors.select("id", "v").join(inside.where("NOT core").select("id"), "id")), homes, eps, "root")
+    every = vectors.select("id").join(roots, "id", "left").join(border, "id", "left").select("id", F.coalesce("root", "least").alias("root"))
+    numbers = numbered(roots.select("root").distinct().withColumn("whole", F.lit(0)), ["whole"], ["root"], "cluster").select("root", F.col("cluster").cast("int").alias("cluster"))
     return every.join(numbers, "root", "left").select("id", F.coalesce("cluster", F.lit(-1)).alias("cluster"))
 
 
