@@ -7,7 +7,6 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import pandas as pd
 from pyspark.ml.clustering import GaussianMixture, KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.functions import array_to_vector
@@ -16,12 +15,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cellsight.operators import nearest
+from cellsight.operators.hierarchy import density_clusters
+from cellsight.operators.linkage import agglomerative
 from cellsight.operators.nearest import neighbours
 from cellsight.operators.order import numbered
-from cellsight.operators.storage import settled
+from cellsight.operators.storage import settled, stored
 
-#: Points whose distances the driver holds all at once when it merges a hierarchy; larger tables are divided first.
-DENSE_ROWS = 4000
 ROUNDS = 60
 
 
@@ -108,15 +107,15 @@ def diagonal_mixture(vectors: DataFrame, k: int = 15, rounds: int = 50, tol: flo
 
 
 def connected(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """``id, root``: least id of each node's component by hops and jumps; every round is checkpointed."""
-    both = settled(edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).where("a <> b").distinct())
-    label = settled(nodes.select("id", F.col("id").alias("root")))
+    """``id, root``: least id of each node's component by hops and jumps; every round is stored."""
+    both = stored(edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).where("a <> b").distinct())
+    label = stored(nodes.select("id", F.col("id").alias("root")))
     before = None
     for _ in range(ROUNDS):
         near = both.join(label.select(F.col("id").alias("b"), F.col("root").alias("rb")), "b").groupBy("a").agg(F.min("rb").alias("rb"))
         hop = label.join(near, label["id"] == near["a"], "left").select("id", F.least("root", "rb").alias("root"))
         jump = hop.join(hop.select(F.col("id").alias("root"), F.col("root").alias("rr")), "root", "left")
-        label = settled(jump.select("id", F.least("root", "rr").alias("root")))
+        label = stored(jump.select("id", F.least("root", "rr").alias("root")))
         total = tuple(label.agg(F.bit_xor(F.xxhash64("id", "root")), F.sum(F.hash("id", "root").cast("long"))).first())
         if total == before:
             return label
@@ -149,93 +148,11 @@ def dbscan(vectors: DataFrame, eps: float | None = None, min_samples: int = 5) -
     return every.join(numbers, "root", "left").select("id", F.coalesce("cluster", F.lit(-1)).alias("cluster"))
 
 
-def _merge_tree(x: np.ndarray, k: int, linkage: str, weight: np.ndarray | None = None) -> np.ndarray:
-    """Labels after merging the closest clusters down to k (Ward or average linkage). A row may stand for ``weight`` vectors."""
-    n = len(x)
-    size = np.ones(n) if weight is None else weight.astype(float)
-    norm = np.square(x).sum(1)
-    d = np.maximum(norm[:, None] + norm[None] - 2 * x @ x.T, 0.0)
-    d = np.sqrt(d) if linkage == "average" else d * (2 * size[:, None] * size[None] / (size[:, None] + size[None]))
-    np.fill_diagonal(d, np.inf)
-    alive, label = np.ones(n, bool), np.arange(n)
-    near = d.argmin(1)
-    best = d[np.arange(n), near]
-    for _ in range(max(0, n - k)):
-        i = int(np.argmin(np.where(alive, best, np.inf)))
-        j = int(near[i])
-        a, b, s = size[i], size[j], size
-        if linkage == "ward":
-            merged = ((a + s) * d[i] + (b + s) * d[j] - s * d[i, j]) / (a + b + s)
-        else:
-            merged = (a * d[i] + b * d[j]) / (a + b)
-        merged[~alive] = np.inf
-        merged[[i, j]] = np.inf
-        d[i] = d[:, i] = merged
-        d[j] = d[:, j] = np.inf
-        size[i] += size[j]
-        alive[j] = False
-        best[j] = np.inf
-        label[label == j] = i
-        stale = np.flatnonzero(alive & ((near == i) | (near == j) | (np.arange(n) == i)))
-        near[stale] = d[stale].argmin(1)
-        closer = alive & (d[:, i] < best)
-        near[closer] = i
-        best[alive] = d[np.flatnonzero(alive), near[alive]]
-    return np.unique(label, return_inverse=True)[1]
-
-
-def agglomerative(vectors: DataFrame, k: int = 15, linkage: str = "ward", leaves: int = DENSE_ROWS, seed: int = 42) -> DataFrame:
-    """Hierarchical clusters of all vectors: up to ``leaves`` of them are merged one by one.
-
-    A larger table is first divided, all rows taking part, into ``leaves`` small K-Means clusters (their far-apart seeds catch
-    small groups); the weighted centres of these are merged and every row goes with its own. The driver holds leaves squared distances.
-    """
-    data = settled(vectors.select("id", "v"))
-    n = data.count()
-    if n <= leaves:
-        parts = data.withColumn("leaf", F.col("id"))
-    else:
-        parts = settled(KMeans(k=leaves, seed=seed, maxIter=5).fit(_ml(data)).transform(_ml(data)).select("id", F.col("prediction").alias("leaf")).join(data, "id"))
-    width = F.posexplode("v").alias("pos", "x")
-    sums = parts.select("leaf", width).groupBy("leaf", "pos").agg(F.avg("x").alias("x"), F.count("*").alias("n"))
-    found = sums.groupBy("leaf").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda e: e["x"]).alias("x"), F.max("n").alias("n")).orderBy("leaf").collect()
-    if not found:
-        return data.select("id", F.lit(0).alias("cluster"))
-    labels = _merge_tree(np.array([r["x"] for r in found]), k, linkage, np.array([r["n"] for r in found]))
-    table = vectors.sparkSession.createDataFrame([(r["leaf"], int(c)) for r, c in zip(found, labels)], f"leaf {dict(parts.dtypes)['leaf']}, cluster int")
-    return parts.join(F.broadcast(table), "leaf").select("id", "cluster")  # at most ``leaves`` rows
-
-
-def density_hierarchy(vectors: DataFrame, min_size: int = 15, fallback_k: int = 15) -> DataFrame:
-    """Density clusters at the scale of mutual reachability that gives most points to clusters of at least ``min_size``.
-
-    A flat cut of the density hierarchy: the quantiles of neighbour distances are tried as scales; K-Means if all is noise.
-    """
-    near = settled(neighbours(vectors, vectors, 6).groupBy("q").agg(F.max("d").alias("d")))
-    scales = near.agg(F.percentile("d", F.array(*[F.lit(p) for p in (0.3, 0.5, 0.7, 0.9)])).alias("q")).first()["q"] or []
-    best, score = None, (0, 0)
-    for eps in scales:
-        found = settled(dbscan(vectors, max(float(eps), 1e-6)))
-        big = found.where("cluster >= 0").groupBy("cluster").count().where(F.col("count") >= min_size)
-        r = big.agg(F.count("*").alias("k"), F.coalesce(F.sum("count"), F.lit(0)).alias("n")).first()
-        if (r["k"] > 1, r["n"]) > score:
-            best, score = found.join(big.select("cluster", F.lit(1).alias("ok")), "cluster", "left").select("id", F.when(F.col("ok") == 1, F.col("cluster")).otherwise(-1).alias("cluster")), (r["k"] > 1, r["n"])
-    return best if best is not None and score[1] else kmeans(vectors, fallback_k, 1)
-
-
-def density_outliers(vectors: DataFrame, clusters: DataFrame, k: int = 6, contamination: float = 0.05) -> DataFrame:
-    """``id, score, is_outlier`` of density clusters: 1 - the least distance to a k-th neighbour in the cluster over the vector's own.
-
-    Noise is measured against the least of all. Scores from the (1 - contamination) percentile on are outliers.
-    """
-    far = neighbours(vectors, vectors, k).groupBy(F.col("q").alias("id")).agg(F.max("d").alias("d"))
-    j = settled(far.join(clusters, "id"))
-    least = j.where("cluster >= 0").groupBy("cluster").agg(F.min("d").alias("least"))
-    whole = j.agg(F.min("d").alias("whole"))  # one row
-    own = F.coalesce("least", "whole")
-    scored = j.join(least, "cluster", "left").join(F.broadcast(whole), F.lit(True)).select("id", F.when(F.col("d") > 0, 1 - own / F.col("d")).otherwise(0.0).alias("score"))
+def density_outliers(vectors: DataFrame, min_size: int = 30, min_samples: int | None = None, contamination: float = 0.02, alpha: float = 1.0, metric: str = "euclidean", method: str = "eom") -> DataFrame:
+    """``id, cluster, score, is_outlier``: outlier scores of the density hierarchy; those from the (1 - contamination) percentile on are outliers."""
+    scored = stored(density_clusters(vectors, min_size, min_samples, alpha, metric, method))
     cut = scored.agg(F.percentile("score", F.lit(1 - contamination)).alias("cut"))
-    return scored.join(F.broadcast(cut), F.lit(True)).select("id", "score", (F.col("score") >= F.col("cut")).cast("int").alias("is_outlier"))
+    return scored.join(F.broadcast(cut), F.lit(True)).select("id", "cluster", "score", (F.col("score") >= F.col("cut")).cast("int").alias("is_outlier"))
 
 
 def silhouette(vectors: DataFrame, clusters: DataFrame, sample: int = 5000) -> float:
@@ -246,7 +163,10 @@ def silhouette(vectors: DataFrame, clusters: DataFrame, sample: int = 5000) -> f
     return ClusteringEvaluator(predictionCol="cluster", featuresCol="features").evaluate(data)
 
 
-CLUSTERINGS = {"kmeans": kmeans, "dbscan": dbscan, "ward": agglomerative, "mixture": lambda v, k=15: mixture(v, k)[0], "hdbscan": density_hierarchy}
+CLUSTERINGS = {
+    "kmeans": kmeans, "dbscan": dbscan, "ward": agglomerative, "average": lambda v, k=15: agglomerative(v, k, "average"), "mixture": lambda v, k=15: mixture(v, k)[0],
+    "hdbscan": lambda v, min_size=50, min_samples=5: density_clusters(v, min_size, min_samples).select("id", "cluster"),
+}
 
 
 def cluster_majority(labelled: DataFrame, cluster: str = "cluster", label: str = "intent") -> DataFrame:

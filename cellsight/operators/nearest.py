@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from cellsight.operators.storage import settled
+from cellsight.operators.storage import stored
 
 MAX_CELLS, BLOCK = 1024, 4096
 #: Bounds are loosened by this share, so that rounding loses nothing.
@@ -94,7 +94,7 @@ class Cells:
         sample = [r["v"] for r in data.orderBy(F.xxhash64("id"), "id").select("v").limit(4 * k).collect()]  # bounded by MAX_CELLS
         self.shape = shape = Shape(_spread(np.array(sample), k, metric) if sample else np.zeros((0, 0)), metric)
         types = "".join(f", {c} {data.schema[c].dataType.simpleString()}" for c in extra)
-        self.members = settled(data.mapInArrow(Shape(shape.pivots, metric).at_home, f"id long, v array<double>{types}, cell int, r double"))
+        self.members = stored(data.mapInArrow(Shape(shape.pivots, metric).at_home, f"id long, v array<double>{types}, cell int, r double"))
         for s in self.members.groupBy("cell").agg(F.count("*").alias("n"), F.min("r").alias("lo"), F.max("r").alias("hi")).collect():  # a row for each cell
             shape.count[s["cell"]], shape.lo[s["cell"]], shape.hi[s["cell"]] = s["n"], s["lo"], s["hi"]
 
@@ -189,7 +189,7 @@ def neighbours(queries: DataFrame, base: DataFrame | Cells, k: int, metric: str
                 reach = np.take_along_axis(high, order, 1)[np.arange(len(high)), enough]
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(reach)], names=["id", "v", "reach"])
 
-    start = settled(asked.mapInArrow(loose, "id long, v array<double>, reach double"))
+    start = stored(asked.mapInArrow(loose, "id long, v array<double>, reach double"))
 
     def best(a: pd.DataFrame, b: pd.DataFrame, dp: np.ndarray) -> pd.DataFrame:
         b = b.sort_values(["r", "id"], ignore_index=True)
@@ -206,7 +206,7 @@ def neighbours(queries: DataFrame, base: DataFrame | Cells, k: int, metric: str
         none = np.zeros(0)
         return pd.DataFrame({"q": np.concatenate([none.astype("int64"), *q]), "b": np.concatenate([none.astype("int64"), *found]), "d": np.concatenate([none, *far])})
 
-    first = settled(cells.meet(start, lambda x, _: shape.home(x), best, "q long, b long, d double"))
+    first = stored(cells.meet(start, lambda x, _: shape.home(x), best, "q long, b long, d double"))
     tight = first.groupBy("q").agg(F.count("*").alias("n"), F.max("d").alias("far"))
     # a home cell in chunks gives k for each; the largest of them is still a bound
     second = start.join(tight, start["id"] == tight["q"], "left").select("id", "v", F.when(F.col("n") >= min(k, n), F.least("reach", "far")).otherwise(F.col("reach")).alias("reach"))
@@ -215,7 +215,7 @@ def neighbours(queries: DataFrame, base: DataFrame | Cells, k: int, metric: str
         _, low, _ = shape.bounds(x)
         return (low <= columns["reach"][:, None] * (1 + SLACK) + SLACK) & ~shape.home(x)
 
-    rest = cells.meet(settled(second), others, best, "q long, b long, d double")
+    rest = cells.meet(stored(second), others, best, "q long, b long, d double")
     rank = F.row_number().over(W.partitionBy("q").orderBy("d", "b"))
     return first.union(rest).withColumn("rank", rank).where(F.col("rank") <= k)
 

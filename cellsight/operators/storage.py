@@ -3,20 +3,37 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """``df`` checkpointed in the shared folder of ``spark.checkpoint.dir``; a local session without one (a test) gets its own."""
+def _root(df: DataFrame) -> str:
+    """The shared folder of ``spark.checkpoint.dir``; a local session without one (a test) gets its own."""
     spark = df.sparkSession
-    context = spark.sparkContext
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="checkpoints-")
+        spark.conf.set("spark.checkpoint.dir", root)
+    return root.rstrip("/")
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` checkpointed in the shared folder."""
+    context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        root = spark.conf.get("spark.checkpoint.dir", None)
-        if not root:
-            if not context.master.startswith("local"):
-                raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-            root = "file://" + tempfile.mkdtemp(prefix="checkpoints-")
-            spark.conf.set("spark.checkpoint.dir", root)
-        context.setCheckpointDir(root)
+        context.setCheckpointDir(_root(df))
     return df.checkpoint()
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder and read back.
+
+    For loops: a checkpoint keeps the planner's estimate of what it replaces, which joins multiply round by round, so that small
+    tables soon look too large to broadcast; a file has its own size.
+    """
+    path = f"{_root(df)}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -73,7 +73,8 @@ def agglomerative_cells(spark, sf_dir):
 
 @query
 def hdbscan_cells(spark, sf_dir):
-    return cluster.density_hierarchy(vectors(spark, sf_dir), 10)
+    """Hierarchical density clusters and outlier scores, clusters of five and more."""
+    return cluster.density_clusters(vectors(spark, sf_dir), 5, 5).withColumn("score", F.round("score", 6))
 
 
 @query
@@ -117,8 +118,8 @@ def label_spread(spark, sf_dir):
 
 @query
 def density_outliers(spark, sf_dir):
-    v = vectors(spark, sf_dir)
-    return cluster.density_outliers(v, cluster.density_hierarchy(v, 10))
+    """The detector at its production parameters."""
+    return cluster.density_outliers(vectors(spark, sf_dir)).withColumn("score", F.round("score", 6))
 
 
 @query

@@ -184,30 +184,18 @@ def test_stream_scores_like_a_table(spark, tmp_path):
 
 
 def test_agglomerative_takes_part_of_every_vector(spark):
-    """With few leaves all rows still take part: a small far group of its own is found, also among many vectors."""
+    """A small far group of its own is found, merged in rounds and in one task."""
     draw = random.Random(4)
     centres = [(0.0, 0.0)] * 300 + [(60.0, 0.0)] * 300 + [(0.0, 90.0)] * 3
     rows = [(i, [x + draw.random(), y + draw.random()]) for i, (x, y) in enumerate(centres)]
     v = spark.createDataFrame(rows, "id long, v array<double>")
-    for leaves in (40, 4000):
-        found = {r["id"]: r["cluster"] for r in cluster.agglomerative(v, 3, leaves=leaves).collect()}
+    for small in (300, 4000):
+        found = {r["id"]: r["cluster"] for r in cluster.agglomerative(v, 3, small=small).collect()}
         groups = [{found[i] for i in range(a, b)} for a, b in ((0, 300), (300, 600), (600, 603))]
         assert [len(g) for g in groups] == [1, 1, 1] and len(set.union(*groups)) == 3
     assert cluster.agglomerative(v.limit(0), 3).count() == 0
 
 
-def test_density_outliers_against_slow_version(spark):
-    draw = random.Random(5)
-    rows = [(i, [draw.gauss(0, 1), draw.gauss(0, 1)], 0) for i in range(30)] + [(i, [draw.gauss(20, 3), draw.gauss(0, 3)], 1) for i in range(30, 50)] + [(50, [9.0, 9.0], -1), (51, [-9.0, 30.0], -1)]
-    t = spark.createDataFrame(rows, "id long, v array<double>, cluster int")
-    far = {i: sorted(sum((a - b) ** 2 for a, b in zip(v, w)) ** 0.5 for _, w, _ in rows)[3] for i, v, _ in rows}
-    least = {c: min(far[i] for i, _, k in rows if k == c or c < 0) for c in (0, 1, -1)}
-    got = {r["id"]: r for r in cluster.density_outliers(t.select("id", "v"), t.select("id", "cluster"), 4).collect()}
-    for i, _, c in rows:
-        assert abs(got[i]["score"] - (1 - least[c] / far[i])) < 1e-9
-    assert {i for i in got if got[i]["is_outlier"]} >= {51} and sum(r["is_outlier"] for r in got.values()) <= 4
-
-
 def test_unknown_labels_stay_in_the_validation_pool(spark):
     t = spark.createDataFrame([(1, 1), (2, None), (3, 0)], "row_idx long, y int")
     assert {r[0] for r in S.validation_sample(t, F.col("y") == 1, 3).collect()} == {1, 2, 3}
