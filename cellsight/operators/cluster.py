@@ -18,7 +18,7 @@ from cellsight.operators import nearest
 from cellsight.operators.hierarchy import density_clusters
 from cellsight.operators.linkage import agglomerative
 from cellsight.operators.nearest import neighbours
-from cellsight.operators.order import numbered
+from cellsight.operators.order import numbered, quantile
 from cellsight.operators.storage import settled, stored
 
 ROUNDS = 60
@@ -126,7 +126,7 @@ def connected(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 def distance_quantile(vectors: DataFrame, k: int = 5, q: float = 0.9, floor: float = 1e-6) -> float:
     """The q-quantile of distances to the k-th neighbour, the vector itself included."""
     d = neighbours(vectors, vectors, k).groupBy("q").agg(F.max("d").alias("d"))
-    return max(floor, float(d.agg(F.percentile("d", F.lit(q))).first()[0] or 0))
+    return max(floor, quantile(d, "d", q) or 0.0)
 
 
 def dbscan(vectors: DataFrame, eps: float | None = None, min_samples: int = 5) -> DataFrame:
@@ -151,8 +151,8 @@ def dbscan(vectors: DataFrame, eps: float | None = None, min_samples: int = 5) -
 def density_outliers(vectors: DataFrame, min_size: int = 30, min_samples: int | None = None, contamination: float = 0.02, alpha: float = 1.0, metric: str = "euclidean", method: str = "eom") -> DataFrame:
     """``id, cluster, score, is_outlier``: outlier scores of the density hierarchy; those from the (1 - contamination) percentile on are outliers."""
     scored = stored(density_clusters(vectors, min_size, min_samples, alpha, metric, method))
-    cut = scored.agg(F.percentile("score", F.lit(1 - contamination)).alias("cut"))
-    return scored.join(F.broadcast(cut), F.lit(True)).select("id", "cluster", "score", (F.col("score") >= F.col("cut")).cast("int").alias("is_outlier"))
+    cut = F.lit(quantile(scored, "score", 1 - contamination)).cast("double")
+    return scored.select("id", "cluster", "score", (F.col("score") >= cut).cast("int").alias("is_outlier"))
 
 
 def silhouette(vectors: DataFrame, clusters: DataFrame, sample: int = 5000) -> float:

@@ -7,16 +7,15 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cellsight.operators.order import numbered
+from cellsight.operators.order import column_quantiles, numbered
 
 
 def _moments(df: DataFrame, columns: list[str]) -> dict:
     """A row of figures for each column, on the driver."""
-    q = lambda c: F.percentile(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
     aggs = []
     for c in columns:
-        aggs += [F.avg(c).alias(f"m_{c}"), F.stddev_pop(c).alias(f"s_{c}"), F.min(c).cast("double").alias(f"a_{c}"), F.max(c).cast("double").alias(f"z_{c}"), q(c).alias(f"q_{c}")]
-    return df.agg(*aggs).first().asDict()
+        aggs += [F.avg(c).alias(f"m_{c}"), F.stddev_pop(c).alias(f"s_{c}"), F.min(c).cast("double").alias(f"a_{c}"), F.max(c).cast("double").alias(f"z_{c}")]
+    return df.agg(*aggs).first().asDict() | {f"q_{c}": q for c, q in column_quantiles(df, columns, [0.25, 0.5, 0.75]).items()}
 
 
 class Scaler:
@@ -71,8 +70,8 @@ def label_encode(df: DataFrame, column: str, codes: DataFrame | None = None, nam
 
 def impute(df: DataFrame, numeric: list[str], text: list[str]) -> DataFrame:
     """Medians and modes (least on ties) in place of nulls."""
-    aggs = [F.percentile(c, F.lit(0.5)).alias(c) for c in numeric] + [F.mode(c, deterministic=True).alias(c) for c in text]
-    fill = {k: v for k, v in df.agg(*aggs).first().asDict().items() if v is not None}
+    modes = df.agg(F.lit(0).alias("__none"), *[F.mode(c, deterministic=True).alias(c) for c in text]).first().asDict()
+    fill = {k: v for k, v in ({c: q[0] for c, q in column_quantiles(df, numeric, [0.5]).items()} | modes).items() if v is not None and k != "__none"}
     return df.withColumns({c: F.coalesce(F.col(c), F.lit(fill[c])) for c in fill})
 
 

@@ -10,6 +10,7 @@ from cellsight.functions import numbers as N
 from cellsight.functions import text as T
 from cellsight.operators import cells as C
 from cellsight.operators.heuristics import column_statistics
+from cellsight.operators.order import medians
 
 
 def vocabulary(cells: DataFrame) -> DataFrame:
@@ -57,7 +58,7 @@ def distribution(cells: DataFrame, statistics: DataFrame | None = None) -> DataF
 def strings(cells: DataFrame, types: DataFrame | None = None) -> DataFrame:
     """Obfuscation, typo pattern, length against the median of the vocabulary, digits and special characters."""
     types = types if types is not None else C.detect_types(cells).select("col_name", "col_type")
-    median = vocabulary(cells).groupBy("col_name").agg(F.percentile(F.char_length("entry"), F.lit(0.5)).alias("median_length"))
+    median = medians(vocabulary(cells).withColumn("length", F.char_length("entry")), ["col_name"], {"length": "median_length"})
     j = C.errors(cells).join(F.broadcast(types), "col_name").join(F.broadcast(median), "col_name", "left")
     v, cat = F.trim(F.coalesce("value", F.lit(""))), F.col("col_type") == "cat"
     return j.select(

@@ -16,7 +16,7 @@ from cellsight.functions import numbers as N
 from cellsight.functions import text as T
 from cellsight.operators import cells as C
 from cellsight.operators.encode import label_codes
-from cellsight.operators.order import mid_ranks, numbered
+from cellsight.operators.order import mid_ranks, numbered, quantiles
 from cellsight.operators.storage import settled
 
 LARGE_VOCABULARY, KEPT_VOCABULARY = 200, 50
@@ -30,17 +30,17 @@ FEATURES = (
 
 
 def column_statistics(cells: DataFrame, clean_only: bool = True, types: dict[str, str] | None = None) -> DataFrame:
-    """One row for each column: type, quantiles, moments and extremes of its numbers, all in one aggregation.
+    """One row for each column: type, quantiles, moments and extremes of its numbers.
 
-    Quantiles are exact (a map of distinct values for each column and task); ``percentile_approx`` takes their place where that map is too large.
+    Quantiles are exact and come from ranges of the values, see :func:`quantiles`.
     """
     kinds = C.detect_types(cells, overrides=types).select("col_name", "col_type")
     x = N.number("value")
     clean = cells.where("mask = 0") if clean_only else cells
-    q = F.percentile(x, F.array(*[F.lit(p) for p in (0.05, 0.25, 0.5, 0.75, 0.95)]))
+    q = quantiles(clean.select("col_name", x.alias("x")), ["col_name"], "x", [0.05, 0.25, 0.5, 0.75, 0.95])  # a row for each column
     s = clean.groupBy("col_name").agg(
-        q.alias("q"), F.avg(x).alias("mean"), F.stddev_pop(x).alias("std_pop"), F.stddev_samp(x).alias("std_samp"), F.min(x).alias("low"), F.max(x).alias("high"), F.count("value").alias("n"), F.count(x).alias("n_num")
-    )
+        F.avg(x).alias("mean"), F.stddev_pop(x).alias("std_pop"), F.stddev_samp(x).alias("std_samp"), F.min(x).alias("low"), F.max(x).alias("high"), F.count("value").alias("n"), F.count(x).alias("n_num")
+    ).join(F.broadcast(q), "col_name", "left")
     named = s.select("col_name", *[F.col("q")[i].alias(p) for i, p in enumerate(("p5", "p25", "p50", "p75", "p95"))], "mean", "std_pop", "std_samp", "low", "high", "n", "n_num")
     return kinds.join(named, "col_name", "left")
 

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cellsight.operators.order import running_before
+from cellsight.operators.order import quantiles, running_before
 
 
 def ratio(a: Column, b: Column) -> Column:
@@ -97,7 +97,7 @@ def best_threshold(sweep: DataFrame, metric: str = "f1") -> DataFrame:
 def percentile_thresholds(df: DataFrame, score: str = "score", n: int = 50) -> DataFrame:
     """``threshold``: scores at n percentiles from 1 to 99."""
     ps = [0.01 + 0.98 * i / (n - 1) for i in range(n)]
-    return df.agg(F.percentile(score, F.array(*[F.lit(p) for p in ps])).alias("q")).select(F.explode("q").alias("threshold"))
+    return quantiles(df, [], score, ps).select(F.explode("q").alias("threshold"))
 
 
 def calibration(df: DataFrame, truth: str = "y_true", prob: str = "prob", bins: int = 10) -> DataFrame:
@@ -131,13 +131,16 @@ def hit_rate(df: DataFrame, truth: str, guess: str, by: str = "col_name") -> Dat
 
 
 def group_summary(df: DataFrame, group: str, value: str) -> DataFrame:
-    return df.groupBy(group).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.percentile(value, F.lit(0.5)).alias("median"), F.stddev_pop(value).alias("std"))
+    """``n, mean, median, std`` (population) of each group."""
+    a = df.groupBy(F.col(group).alias("__g")).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"))
+    q = quantiles(df.select(group, value), [group], value, [0.5])
+    return a.join(q, F.col("__g").eqNullSafe(F.col(group)), "left").select(F.col("__g").alias(group), "n", "mean", F.col("q")[0].alias("median"), "std")
 
 
 def score_distribution(df: DataFrame, group: str, score: str) -> DataFrame:
-    q = F.percentile(score, F.array(*[F.lit(p) for p in (0.25, 0.5, 0.75)]))
-    a = df.groupBy(group).agg(F.min(score).alias("low"), q.alias("q"), F.max(score).alias("high"), F.avg(score).alias("mean"), F.stddev_pop(score).alias("std"))
-    return a.select(group, "low", *[F.col("q")[i].alias(n) for i, n in enumerate(("q1", "median", "q3"))], "high", "mean", "std")
+    a = df.groupBy(F.col(group).alias("__g")).agg(F.min(score).alias("low"), F.max(score).alias("high"), F.avg(score).alias("mean"), F.stddev_pop(score).alias("std"))
+    q = quantiles(df.select(group, score), [group], score, [0.25, 0.5, 0.75])
+    return a.join(q, F.col("__g").eqNullSafe(F.col(group)), "left").select(F.col("__g").alias(group), "low", *[F.col("q")[i].alias(n) for i, n in enumerate(("q1", "median", "q3"))], "high", "mean", "std")
 
 
 def suspicion_summary(df: DataFrame, score: str = "suspicion", tau: float = 0.5) -> DataFrame:
@@ -153,7 +156,10 @@ def agreement(df: DataFrame, old: str = "old", new: str = "new", imputed: str =
     """Share of cells whose direction of change from the imputed value is that from the true one, and mean and median magnitude ratio."""
     d_true, d_imp = F.col(new) - F.col(old), F.col(new) - F.col(imputed)
     r = F.abs(d_imp) / F.nullif(F.abs(d_true), F.lit(0.0))
-    return df.groupBy(*by).agg(F.avg((F.signum(d_true) == F.signum(d_imp)).cast("double")).alias("direction_match"), F.avg(r).alias("ratio_mean"), F.percentile(r, F.lit(0.5)).alias("ratio_median"), F.count("*").alias("n"))
+    rows = df.select(F.struct(*by, F.lit(0).alias("__all")).alias("__g"), (F.signum(d_true) == F.signum(d_imp)).cast("double").alias("same"), r.cast("double").alias("r"))
+    a = rows.groupBy("__g").agg(F.avg("same").alias("direction_match"), F.avg("r").alias("ratio_mean"), F.count("*").alias("n"))
+    joined = a.join(quantiles(rows, ["__g"], "r", [0.5]), "__g", "left")
+    return joined.select(*[F.col(f"__g.{c}").alias(c) for c in by], "direction_match", "ratio_mean", F.col("q")[0].alias("ratio_median"), "n")
 
 
 def mean_std(df: DataFrame, by: list[str], value: str) -> DataFrame:

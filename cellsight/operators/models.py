@@ -14,6 +14,7 @@ from cellsight.functions import numbers as N
 from cellsight.operators import cells as C
 from cellsight.operators.encode import label_codes
 from cellsight.operators.metrics import weighted_f1
+from cellsight.operators.order import column_quantiles
 from cellsight.operators.sampling import folds
 from cellsight.operators.storage import settled
 
@@ -100,8 +101,7 @@ class PredictorBank:
         coded, self.sizes = encoded(wide, self.types)
         names = [f"__e_{c}" for c in self.types]
         dirty = sum((F.abs(F.col(m)) for m in masks.values()), F.lit(0))
-        medians = coded.agg(*[F.percentile(n, F.lit(0.5)).alias(n) for n in names]).first().asDict()
-        self.fill = {k: float(v if v is not None else 0.0) for k, v in medians.items()}
+        self.fill = {n: float(q[0] if q[0] is not None else 0.0) for n, q in column_quantiles(coded, names, [0.5]).items()}
         self.coded = settled(coded.na.fill(self.fill).withColumn("__dirty", (dirty > 0).cast("int")))
         clean = self.coded.where("__dirty = 0")
         n = self.coded.count()
@@ -141,13 +141,15 @@ class PredictorBank:
 
 def h4_coherence(bank: PredictorBank, flagged: DataFrame) -> DataFrame:
     """``h4_coherence_score``: probability of the value, or 1 - min(1, |residual| / (3 sd)) for numbers; 0.5 without a model, 1 for a constant column."""
+    flagged = settled(flagged.select("row_idx", "col_name"))
+    rows = settled(bank.coded.join(flagged.select("row_idx").distinct(), "row_idx", "left_semi"))  # only these are predicted
     parts = []
     for c, t in bank.types.items():
-        own = flagged.where(F.col("col_name") == c).select("row_idx", "col_name")
+        own = flagged.where(F.col("col_name") == c)
         if c not in bank.models:
             parts.append(own.withColumn("h4_coherence_score", F.lit(0.5)))
             continue
-        p = bank.predict(c)
+        p = bank.predict(c, rows.join(own.select("row_idx"), "row_idx", "left_semi"))
         sd = bank.std[c]
         s = F.col("probability") if t == "cat" else F.lit(1.0) if sd == 0 else N.clip(1 - F.abs(F.col("observed") - F.col("expected")) / F.lit(3 * sd), 0.0, 1.0)
         parts.append(own.join(p.select("row_idx", s.alias("h4_coherence_score")), "row_idx"))
@@ -187,15 +189,16 @@ def impute_cells(bank: PredictorBank, flagged: DataFrame, rounds: int = 5, tol:
     Each round predicts every flagged cell from the row with the last round's values in place; rows end when no value moves by
     more than ``tol`` of itself. Every round is checkpointed.
     """
-    current = bank.coded
     k = ["row_idx", "col_name"]
     flagged = settled(flagged.where(F.col("col_name").isin(list(bank.models))).select(*k))
+    rows = current = settled(bank.coded.join(flagged.select("row_idx").distinct(), "row_idx", "left_semi"))  # only these are predicted
     last = None
     for r in range(1, rounds + 1):
         parts = []
         for c in bank.models:
-            p = bank.predict(c, current)
-            parts.append(flagged.where(F.col("col_name") == c).join(p.select("row_idx", F.col("expected").alias("imputed"), "sigma"), "row_idx"))
+            own = flagged.where(F.col("col_name") == c)
+            p = bank.predict(c, current.join(own.select("row_idx"), "row_idx", "left_semi"))
+            parts.append(own.join(p.select("row_idx", F.col("expected").alias("imputed"), "sigma"), "row_idx"))
         now = parts[0].select(*k, "imputed", "sigma")
         for x in parts[1:]:
             now = now.unionByName(x.select(*k, "imputed", "sigma"))
@@ -211,7 +214,7 @@ def impute_cells(bank: PredictorBank, flagged: DataFrame, rounds: int = 5, tol:
             now = now.drop("moved")
         last = now
         filled = now.groupBy("row_idx").pivot("col_name", list(bank.models)).agg(F.first("imputed"))
-        base = bank.coded.join(filled.select("row_idx", *[F.col(f"`{c}`").alias(f"__i_{c}") for c in bank.models]), "row_idx", "left")
+        base = rows.join(filled.select("row_idx", *[F.col(f"`{c}`").alias(f"__i_{c}") for c in bank.models]), "row_idx", "left")
         current = settled(base.withColumns({f"__e_{c}": F.coalesce(F.col(f"__i_{c}"), F.col(f"__e_{c}")) for c in bank.models}).drop(*[f"__i_{c}" for c in bank.models]))
     return last.withColumn("confidence", N.confidence("sigma"))
 

@@ -34,3 +34,51 @@ def mid_ranks(rows: DataFrame, by: str, value: str, name: str, count: str) -> Da
     counts = rows.groupBy(by, value).agg(F.sum(count).alias("__n"))
     ranked = running_before(counts, [by], [value], ["__n"])
     return ranked.select(by, value, (F.col("__n_before") + (F.col("__n") + 1) / 2).cast("double").alias(name))
+
+
+def quantiles(rows: DataFrame, by: list[str], value: str, shares: list[float], name: str = "q") -> DataFrame:
+    """``by, name``: exact quantiles of ``value`` in each group, an array in the order of ``shares``, interpolated as ``percentile`` does.
+
+    Values are counted first, then ranges of the distinct ones are added up, and only the values that hold a rank go on: no task
+    sees a group's values whole. Nulls don't count; a group of nothing else gives no row. Null groups are a group.
+    """
+    key = F.struct(*by) if by else F.struct(F.lit(0).alias("all"))
+    counts = rows.where(F.col(value).isNotNull()).groupBy(key.alias("__g"), F.col(value).cast("double").alias("__v")).agg(F.count("*").alias("__n"))
+    placed = running_before(counts, ["__g"], ["__v"], ["__n"])
+    totals = placed.groupBy("__g").agg(F.sum("__n").alias("__total"))
+    asked = totals.select("__g", "__total", F.posexplode(F.array(*[F.lit(float(s)) for s in shares])).alias("__i", "__s")).withColumn("__at", (F.col("__total") - 1) * F.col("__s"))
+    asked = asked.groupBy("__g").agg(F.collect_list(F.struct("__i", "__at")).alias("__asked"))
+    end = F.col("__n_before") + F.col("__n")
+    holds = lambda at: (at >= F.col("__n_before")) & (at < end)
+    hit = placed.join(asked, "__g").select("__g", "__v", F.explode(F.filter("__asked", lambda a: holds(F.floor(a["__at"])) | holds(F.ceil(a["__at"])))).alias("__a"), "__n_before", "__n")
+    low, high = F.floor(F.col("__a.__at")), F.ceil(F.col("__a.__at"))
+    ends = hit.groupBy("__g", "__a").agg(F.max(F.when(holds(low), F.col("__v"))).alias("lo"), F.max(F.when(holds(high), F.col("__v"))).alias("hi"))
+    at = F.col("__a.__at")
+    x = F.when((low == high) | (F.col("lo") == F.col("hi")), F.col("lo")).otherwise((high - at) * F.col("lo") + (at - low) * F.col("hi"))
+    found = ends.select("__g", F.struct(F.col("__a.__i").alias("i"), x.alias("x")).alias("__x")).groupBy("__g").agg(F.transform(F.array_sort(F.collect_list("__x")), lambda e: e["x"]).alias(name))
+    return found.select(*[F.col(f"__g.{c}").alias(c) for c in by], name)
+
+
+def column_quantiles(df: DataFrame, columns: list[str], shares: list[float]) -> dict[str, list[float | None]]:
+    """Exact quantiles of several columns of a table, on the driver: a few figures for each column of the schema."""
+    if not columns:
+        return {}
+    long = df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("col_name"), F.col(f"`{c}`").cast("double").alias("x")) for c in columns])))
+    found = {r["col_name"]: list(r["q"]) for r in quantiles(long, ["col_name"], "x", shares).collect()}
+    return {c: found.get(c, [None] * len(shares)) for c in columns}
+
+
+def medians(df: DataFrame, by: list[str], columns: dict[str, str]) -> DataFrame:
+    """``by`` and the exact median of each column under its new name, for every group of ``df`` (null groups are one)."""
+    key = F.struct(*[F.col(b) for b in by])
+    long = df.select(key.alias("__k"), F.inline(F.array(*[F.struct(F.lit(c).alias("__c"), F.col(f"`{c}`").cast("double").alias("__x")) for c in columns])))
+    q = quantiles(long, ["__k", "__c"], "__x", [0.5])
+    wide = q.groupBy("__k").agg(*[F.max(F.when(F.col("__c") == c, F.col("q")[0])).alias(name) for c, name in columns.items()])
+    groups = df.select(key.alias("__k")).distinct()
+    return groups.join(wide, "__k", "left").select(*[F.col(f"__k.{b}").alias(b) for b in by], *columns.values())
+
+
+def quantile(rows: DataFrame, value: str, share: float) -> float | None:
+    """One quantile of a whole column; None without values."""
+    r = quantiles(rows, [], value, [share]).first()
+    return None if r is None else r["q"][0]

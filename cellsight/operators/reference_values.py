@@ -2,17 +2,26 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cellsight.functions import numbers as N
 from cellsight.functions import text as T
+from cellsight.operators.order import column_quantiles, medians
 
 
-def typical(value: str, kind: str) -> Column:
-    """Median of numbers, mode of text (least on ties)."""
-    return F.percentile(value, F.lit(0.5)) if kind == "num" else F.mode(value, deterministic=True)
+def typical(df: DataFrame, by: list[str], columns: dict[str, str], name: Callable[[str], str]) -> DataFrame:
+    """``by`` and, for each column, the median of its numbers or the mode of its text (least on ties)."""
+    num = {c: name(c) for c, kind in columns.items() if kind == "num"}
+    text = [F.mode(c, deterministic=True).alias(name(c)) for c, kind in columns.items() if kind != "num"]
+    key = F.struct(*[F.col(b) for b in by], F.lit(0).alias("__all"))
+    out = df.groupBy(key.alias("__k")).agg(F.lit(0).alias("__none"), *text)
+    if num:
+        out = out.join(medians(df.withColumn("__k", key), ["__k"], num), "__k", "left")
+    return out.select(*[F.col(f"__k.{b}").alias(b) for b in by], *[name(c) for c in columns])
 
 
 def pseudo_clean(df: DataFrame, keys: tuple[str, str], columns: dict[str, str]) -> DataFrame:
@@ -24,7 +33,7 @@ def pseudo_clean(df: DataFrame, keys: tuple[str, str], columns: dict[str, str])
     out = df
     levels = [[g1, g2], [g1], [g2], []]
     for i, by in enumerate(levels):
-        agg = df.groupBy(*by).agg(*[typical(c, k).alias(f"__{i}_{c}") for c, k in columns.items()])
+        agg = typical(df, by, columns, lambda c, i=i: f"__{i}_{c}")
         if by:
             named = agg.select(*[F.col(b).alias(f"__k{i}_{b}") for b in by], *[f"__{i}_{c}" for c in columns])
             on = [F.col(b).eqNullSafe(F.col(f"__k{i}_{b}")) for b in by]
@@ -38,12 +47,12 @@ def pseudo_clean(df: DataFrame, keys: tuple[str, str], columns: dict[str, str])
 
 def median_broadcast(df: DataFrame, where: Column, columns: list[str]) -> DataFrame:
     """Every row with the medians of the rows that pass ``where`` as ``<column>_typical``."""
-    med = df.where(where).agg(*[F.percentile(c, F.lit(0.5)).alias(f"{c}_typical") for c in columns])
-    return df.join(F.broadcast(med), F.lit(True))
+    found = column_quantiles(df.where(where), columns, [0.5])
+    return df.withColumns({f"{c}_typical": F.lit(q[0]).cast("double") for c, q in found.items()})
 
 
 def group_median(df: DataFrame, group: str, column: str, name: str = "group_median") -> DataFrame:
-    med = df.groupBy(group).agg(F.percentile(column, F.lit(0.5)).alias(name))
+    med = medians(df, [group], {column: name})
     return df.join(med, group, "left")
 
 

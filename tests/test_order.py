@@ -79,3 +79,18 @@ def test_diagonal_mixture(spark):
     for r in found.collect():
         parts.setdefault(r["id"] % 4, set()).add(r["cluster"])
     assert all(len(p) == 1 for p in parts.values()) and np.isfinite(bic) and aic < bic
+
+
+def test_quantiles_equal_percentile(spark):
+    draw = random.Random(9)
+    rows = [(draw.choice(["a", "b", None]), draw.choice([None, float("nan") if draw.random() < 0.1 else 1.0, draw.random() * 100, float(draw.randint(0, 4))])) for _ in range(500)] + [("one", 3.0), ("none", None)]
+    df = spark.createDataFrame(rows, "g string, x double")
+    shares = [0.0, 0.05, 0.25, 0.5, 0.77, 1.0]
+    exact = F.percentile("x", F.array(*[F.lit(s) for s in shares]))
+    want = {r["g"]: r["q"] for r in df.groupBy("g").agg(exact.alias("q")).collect() if r["q"] is not None}
+    got = {r["g"]: r["q"] for r in order.quantiles(df, ["g"], "x", shares).collect()}
+    assert str(got) == str({g: want[g] for g in got}) and set(got) == set(want)
+    assert str(order.quantiles(df, [], "x", shares).first()["q"]) == str(df.agg(exact).first()[0])
+    assert order.quantile(df.limit(0), "x", 0.5) is None
+    m = {r["g"]: r["m"] for r in order.medians(df, ["g"], {"x": "m"}).collect()}
+    assert m.keys() == {"a", "b", None, "one", "none"} and m["none"] is None and m["one"] == 3.0
