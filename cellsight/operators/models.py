@@ -14,7 +14,8 @@ from cellsight.functions import numbers as N
 from cellsight.operators import cells as C
 from cellsight.operators.encode import label_codes
 from cellsight.operators.metrics import weighted_f1
-from cellsight.operators.order import column_quantiles
+from cellsight.operators.information import of_numbers, with_class
+from cellsight.operators.order import column_quantiles, numbered, quantiles
 from cellsight.operators.sampling import folds
 from cellsight.operators.storage import settled
 
@@ -159,28 +160,41 @@ def h4_coherence(bank: PredictorBank, flagged: DataFrame) -> DataFrame:
     return out
 
 
-def h6_importance(cells: DataFrame, target: str | None, types: DataFrame, bins: int = 10) -> DataFrame:
-    """``col_name, h6_column_importance``: mutual information with the target, numbers in quantile bins, over the greatest.
+def h6_importance(cells: DataFrame, target: str | None, types: DataFrame) -> DataFrame:
+    """``col_name, h6_column_importance``: nearest-neighbour mutual information with the target over the greatest.
 
-    The binned estimate stands in for the nearest-neighbour one. Without a target a column takes its greatest information with
-    any other. Fewer than ten clean rows give 0.
+    Columns are numbers: their values (the median for what doesn't parse), or codes of the values of text in order. A target of
+    text is a class, one of numbers a number. Without a target a column takes its greatest information with any other. Fewer
+    than ten clean rows give 0.
     """
-    from cellsight.operators.heuristics import mutual_information_pairs
-
     kinds = {r["col_name"]: r["col_type"] for r in types.collect()}
-    clean = cells.join(C.clean_rows(cells), "row_idx", "left_semi")
-    num = [c for c, t in kinds.items() if t == "num"]
-    q = clean.where(F.col("col_name").isin(num)).groupBy("col_name").agg(F.percentile(N.number("value"), F.array(*[F.lit(i / bins) for i in range(1, bins)])).alias("q"))
-    joined = cells.join(F.broadcast(q), "col_name", "left")
-    binned = joined.withColumn("value", F.when(F.col("q").isNotNull(), F.size(F.filter("q", lambda e: e < N.number("value"))).cast("string")).otherwise(F.col("value"))).drop("q")
-    pairs = settled(mutual_information_pairs(binned, list(kinds)))
-    both = pairs.select(F.col("a").alias("col_name"), F.col("b").alias("peer"), "mi").union(pairs.select("b", "a", "mi"))
-    scores = (both.where(F.col("peer") == target) if target else both).groupBy("col_name").agg(F.max(F.greatest("mi", F.lit(0.0))).alias("mi"))
-    top = scores.agg(F.max("mi").alias("top"))
-    enough = C.clean_rows(cells).limit(10).count() >= 10
-    norm = F.coalesce(F.col("mi") / F.nullif(F.col("top"), F.lit(0.0)), F.lit(0.0)) if enough else F.lit(0.0)
-    out = scores.join(F.broadcast(top), F.lit(True)).select("col_name", norm.alias("h6_column_importance"))
-    return out.union(cells.sparkSession.createDataFrame([(target, 1.0)], "col_name string, h6_column_importance double")) if target else out
+    clean = settled(cells.join(C.clean_rows(cells), "row_idx", "left_semi").where(F.col("col_name").isin(list(kinds))).select("row_idx", "col_name", F.coalesce("value", F.lit("")).alias("value")))
+    spark = cells.sparkSession
+    targets = [target] if target else list(kinds)
+    found: dict[str, float] = {c: 0.0 for c in kinds if c != target}
+    if clean.select("row_idx").distinct().limit(10).count() >= 10:
+        num = [c for c, t in kinds.items() if t == "num"]
+        values = clean.where(F.col("col_name").isin(num)).withColumn("x", N.number("value"))
+        middle = quantiles(values, ["col_name"], "x", [0.5]).select("col_name", F.col("q")[0].alias("middle"))
+        numbers = values.join(F.broadcast(middle), "col_name", "left").select("row_idx", "col_name", F.coalesce("x", "middle", F.lit(0.0)).alias("x"))
+        text = clean.where(~F.col("col_name").isin(num))
+        codes = numbered(text.select("col_name", "value").distinct(), ["col_name"], ["value"], "code")
+        coded = text.join(codes, ["col_name", "value"]).select("row_idx", "col_name", F.col("code").cast("double").alias("x"))
+        data = settled(numbers.union(coded))
+        for t in targets:
+            own = data.where(F.col("col_name") == t).select("row_idx", F.col("x").alias("y"))
+            peers = data.where(F.col("col_name") != t).join(own, "row_idx")
+            if kinds[t] == "num":
+                got = {c: of_numbers(peers.where(F.col("col_name") == c).select("x", "y")) for c in kinds if c != t}
+            else:
+                got = {r["pair"]: r["mi"] for r in with_class(peers.select(F.col("col_name").alias("pair"), F.col("y").alias("label"), "x")).collect()}  # a row for each column
+            if target:
+                found |= got
+            else:
+                found[t] = max(got.values(), default=0.0)
+    top = max(found.values(), default=0.0)
+    rows = [(c, v / top if top > 0 else 0.0) for c, v in found.items()] + ([(target, 1.0)] if target else [])
+    return spark.createDataFrame(rows, "col_name string, h6_column_importance double")
 
 
 def impute_cells(bank: PredictorBank, flagged: DataFrame, rounds: int = 5, tol: float = 1e-3) -> DataFrame:

@@ -28,6 +28,8 @@ SLACK = 1e-9
 def distances(x: np.ndarray, y: np.ndarray, metric: str = "euclidean") -> np.ndarray:
     """All distances between the rows of two matrices, by differences."""
     d = x[:, None, :] - y[None, :, :]
+    if metric == "chebyshev":
+        return np.abs(d).max(2)
     return np.abs(d).sum(2) if metric == "manhattan" else np.sqrt(np.square(d).sum(2))
 
 
@@ -133,7 +135,7 @@ class Cells:
                 x = matrix(batch.column(1))
                 q, cell = np.nonzero(visits(batch))
                 gap = x[q] - pivots[cell]
-                d = np.abs(gap).sum(1) if metric == "manhattan" else np.sqrt(np.square(gap).sum(1))
+                d = np.abs(gap).max(1) if metric == "chebyshev" else np.abs(gap).sum(1) if metric == "manhattan" else np.sqrt(np.square(gap).sum(1))
                 lane = batch.column(0).to_numpy()[q] % lanes[cell]
                 each = chunks[cell]
                 row = np.repeat(np.arange(len(q)), each)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from cellsight.operators import cells as C
 from cellsight.operators import cluster, detect, records
 from cellsight.operators import heuristics as H
+from cellsight.operators import information as I
 from cellsight.operators import models as M
 from cellsight.operators.storage import settled
 from cellsight.plans import fixtures as X
@@ -140,6 +141,38 @@ def h6_importance(spark, sf_dir):
     return M.h6_importance(cells, "o_orderstatus", C.detect_types(cells))
 
 
+_PSI = I.DIGAMMA_SQL.format
+
+
+@query_as(f"""WITH l AS (SELECT 'o_orderstatus' AS pair, o_orderstatus AS label, o_totalprice::DOUBLE AS x FROM orders UNION ALL SELECT 'o_orderpriority', o_orderpriority, o_totalprice::DOUBLE FROM orders),
+a AS (SELECT *, count(*) OVER (PARTITION BY pair, label) AS size, row_number() OVER (PARTITION BY pair, label ORDER BY x) AS i FROM l),
+b AS (SELECT *, lag(x, 1) OVER w AS p1, lag(x, 2) OVER w AS p2, lag(x, 3) OVER w AS p3, lead(x, 1) OVER w AS n1, lead(x, 2) OVER w AS n2, lead(x, 3) OVER w AS n3 FROM a WHERE size > 3 WINDOW w AS (PARTITION BY pair, label ORDER BY i)),
+r AS (SELECT *, list_min(list_filter([n3 - x, CASE WHEN x - p1 > n2 - x THEN x - p1 ELSE n2 - x END, CASE WHEN x - p2 > n1 - x THEN x - p2 ELSE n1 - x END, x - p3], lambda e: e IS NOT NULL)) AS radius FROM b),
+q AS (SELECT row_number() OVER () AS row, pair, label, x, size, radius, x - radius * (1 - 1e-9) AS lo, x + radius * (1 - 1e-9) AS hi FROM r),
+v AS (SELECT pair, x, count(*) AS n FROM q GROUP BY ALL),
+m AS (SELECT q.row, any_value(q.pair) AS pair, any_value(q.size) AS size, any_value(q.radius) AS radius, any_value(q.label) AS label, any_value(q.x) AS x, sum(v.n)::DOUBLE AS inside FROM q JOIN v ON q.pair = v.pair AND v.x >= q.lo AND v.x <= q.hi GROUP BY q.row),
+s AS (SELECT pair, label, x, count(*)::DOUBLE AS same FROM q GROUP BY ALL),
+e AS (SELECT m.*, CASE WHEN radius > 0 THEN 3.0 ELSE same END AS own FROM m JOIN s USING (pair, label, x))
+SELECT pair, round(greatest(0.0, {_PSI("count(*)")} + avg({_PSI("own")} - {_PSI("size")} - {_PSI("inside")})), 6) AS mi FROM e GROUP BY pair""")
+def nearest_information(spark, sf_dir):
+    """What the price of an order tells about its status and priority, from nearest neighbours."""
+    o = X.table(spark, sf_dir, "orders")
+    pair = lambda c: o.select(F.lit(c).alias("pair"), F.col(c).alias("label"), F.col("o_totalprice").cast("double").alias("x"))
+    return I.with_class(pair("o_orderstatus").union(pair("o_orderpriority"))).select("pair", F.round("mi", 6).alias("mi"))
+
+
+@query_as(f"""WITH p AS (SELECT p_retailprice / (SELECT stddev_pop(p_retailprice) FROM part) AS x, p_size / (SELECT stddev_pop(p_size) FROM part) AS y, row_number() OVER () AS i FROM part),
+d AS (SELECT a.i, greatest(abs(a.x - b.x), abs(a.y - b.y)) AS d, abs(a.x - b.x) AS dx, abs(a.y - b.y) AS dy FROM p a CROSS JOIN p b),
+r AS (SELECT i, d AS radius FROM (SELECT i, d, row_number() OVER (PARTITION BY i ORDER BY d) AS k FROM d) WHERE k = 4),
+m AS (SELECT d.i, any_value(radius) AS radius, count(*) FILTER (dx <= radius * (1 - 1e-9))::DOUBLE AS nx, count(*) FILTER (dy <= radius * (1 - 1e-9))::DOUBLE AS ny, count(*) FILTER (d = 0)::DOUBLE AS same FROM d JOIN r USING (i) GROUP BY d.i),
+e AS (SELECT *, CASE WHEN radius > 0 THEN 3.0 ELSE same END AS own FROM m)
+SELECT round(greatest(0.0, {_PSI("count(*)")} + avg({_PSI("own")} - {_PSI("nx")} - {_PSI("ny")})), 6) AS mi FROM e""")
+def nearest_information_numbers(spark, sf_dir):
+    """Of the price and the size of parts."""
+    p = X.table(spark, sf_dir, "part").select(F.col("p_retailprice").alias("x"), F.col("p_size").alias("y"))
+    return spark.createDataFrame([(round(I.of_numbers(p), 6),)], "mi double")
+
+
 @query
 def rf_intent(spark, sf_dir):
     """Metrics of scenario BC with one hundredth of the cells as seeds."""
