@@ -204,7 +204,7 @@ def h8_sensitivity(cells: DataFrame, sensitive: list[str] | None = None, types:
 
 def assemble(cells: DataFrame, target: str | None = None, pairs: set | None = None, sensitive: list[str] | None = None, extra: list[DataFrame] = ()) -> DataFrame:
     """All heuristic columns of every flagged cell, joined on (row_idx, col_name); ``extra`` adds H4 and H6 where they are fitted."""
-    statistics = column_statistics(cells)
+    statistics = settled(column_statistics(cells))
     types = statistics.select("col_name", "col_type")
     columns = [r[0] for r in types.select("col_name").collect()]
     parts = [

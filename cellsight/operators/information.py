@@ -35,11 +35,15 @@ def digamma(x: Column) -> Column:
 DIGAMMA_SQL = "(ln({0} + 6.0) - 1 / (2 * ({0} + 6.0)) - 1 / (12 * ({0} + 6.0) ** 2) + 1 / (120 * ({0} + 6.0) ** 4) - 1 / (252 * ({0} + 6.0) ** 6) - 1.0 / {0} - 1 / ({0} + 1.0) - 1 / ({0} + 2.0) - 1 / ({0} + 3.0) - 1 / ({0} + 4.0) - 1 / ({0} + 5.0))"
 
 
-def count_inside(rows: DataFrame, by: list[str], value: str, radius: str, name: str) -> DataFrame:
-    """``rows`` (with a unique ``row``) and how many rows of the group lie within the open radius of each along ``value``, itself included."""
+def count_inside(rows: DataFrame, by: list[str], value: str, radius: str, name: str, counts: DataFrame | None = None) -> DataFrame:
+    """``rows`` (with a unique ``row``) and how many rows of the group lie within the open radius of each along ``value``, itself included.
+
+    ``counts``: what is counted, as ``by, value, n``, if not the rows themselves.
+    """
     ends = [(-1, F.col(value) - F.col(radius) * INSIDE), (1, F.col(value) + F.col(radius) * INSIDE)]
     zero, one = F.lit(0).cast("long"), F.lit(1).cast("long")
-    points = rows.groupBy(*by, F.col(value).alias("__x")).agg(F.count("*").alias("__n")).withColumn("__side", F.lit(0)).withColumn("row", F.lit(None).cast("long"))
+    whole = rows.groupBy(*by, value).agg(F.count("*").alias("n")) if counts is None else counts
+    points = whole.select(*by, F.col(value).alias("__x"), F.col("n").alias("__n")).withColumn("__side", F.lit(0)).withColumn("row", F.lit(None).cast("long"))
     for side, at in ends:
         points = points.unionByName(rows.select(*by, at.alias("__x"), zero.alias("__n"), F.lit(side).alias("__side"), "row"))
     placed = running_before(points, by, ["__x", "__side"], ["__n"]).where("row IS NOT NULL")
@@ -52,30 +56,31 @@ def with_class(rows: DataFrame, k: int = NEIGHBOURS, block: int = BLOCK) -> Data
 
     Rows without a class or number don't count, nor do classes of one row. Pairs without rows are left out.
     """
-    some = rows.where("label IS NOT NULL AND x IS NOT NULL").select("pair", "label", F.col("x").cast("double").alias("x"), F.monotonically_increasing_id().alias("tie"))
-    placed = stored(numbered(some, ["pair", "label"], ["x", "tie"], "rank"))
-    sizes = placed.groupBy("pair", "label").agg(F.count("*").alias("size")).where("size > 1")
-    joined = placed.join(sizes, ["pair", "label"])
+    counts = rows.where("label IS NOT NULL AND x IS NOT NULL").groupBy("pair", "label", F.col("x").cast("double").alias("x")).agg(F.count("*").alias("n"))
+    counts = stored(counts)
+    sizes = counts.groupBy("pair", "label").agg(F.sum("n").alias("size")).where("size > 1")
+    joined = stored(counts.join(sizes, ["pair", "label"]).withColumn("k", F.least(F.lit(k), F.col("size") - 1)))
+    totals = joined.groupBy("pair", "x").agg(F.sum("n").alias("inside"))
+    # a number that has k more of its kind in the class has radius 0; of the others k + 1 copies are all that neighbours can need
+    tied = joined.where("n > k").join(totals, ["pair", "x"]).select("pair", "n", "size", F.col("n").alias("own"), "inside")
+    copies = joined.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.least(F.col("n"), F.lit(k + 1)))))
+    placed = numbered(copies, ["pair", "label"], ["x", "copy"], "rank")
     rank = F.col("rank")
     homes = F.array_distinct(F.array(F.floor(rank / block), F.floor(F.greatest(rank - k, F.lit(0)) / block), F.floor((rank + k) / block)))
-    near = joined.withColumn("block", F.explode(homes))
+    near = placed.withColumn("block", F.explode(homes))
     w = W.partitionBy("pair", "label", "block").orderBy("rank")
     far = F.lit(None).cast("double")
-    reach = F.least(F.lit(k), F.col("size") - 1)
-    for o in range(k + 1):  # the k-th neighbour is the far end of the tightest run of k + 1 around the row
-        left = F.col("x") - F.col("x") if o == 0 else F.col("x") - F.lag("x", o).over(w)
-        for m in range(1, k + 1):
-            if o <= m:
-                right = F.lit(0.0) if o == m else F.lead("x", m - o).over(w) - F.col("x")
-                wide = F.when(left.isNotNull() & right.isNotNull(), F.greatest(left, right))
-                far = F.least(far, F.when(reach == m, wide))
-    radius = near.withColumn("radius", far).where(F.col("block") == F.floor(rank / block))
-    rows_ = stored(radius.select("pair", "label", "x", "size", reach.alias("k"), "radius", F.monotonically_increasing_id().alias("row")))
-    same = rows_.where("radius = 0").groupBy("pair", "label", "x").agg(F.count("*").alias("same"))
-    counted = count_inside(rows_, ["pair"], "x", "radius", "inside").join(same, ["pair", "label", "x"], "left")
-    own = F.when(F.col("radius") > 0, F.col("k")).otherwise(F.col("same"))
-    each = digamma(own) - digamma(F.col("size")) - digamma(F.col("inside"))
-    return counted.groupBy("pair").agg(F.greatest(F.lit(0.0), digamma(F.count("*")) + F.avg(each)).alias("mi"))
+    for m in range(1, k + 1):  # the m-th neighbour is the far end of the tightest run of m + 1 around the row
+        for o in range(m + 1):
+            left = F.col("x") - (F.lag("x", o).over(w) if o else F.col("x"))
+            right = (F.lead("x", m - o).over(w) if o < m else F.col("x")) - F.col("x")
+            far = F.least(far, F.when((F.col("k") == m) & left.isNotNull() & right.isNotNull(), F.greatest(left, right)))
+    radius = near.withColumn("radius", far).where((F.col("block") == F.floor(rank / block)) & (F.col("copy") == 1) & (F.col("n") <= F.col("k")))
+    rows_ = stored(radius.select("pair", "x", "n", "size", "k", "radius", F.monotonically_increasing_id().alias("row")))
+    loose = count_inside(rows_, ["pair"], "x", "radius", "inside", totals.select("pair", "x", F.col("inside").alias("n")))
+    every = tied.union(loose.select("pair", "n", "size", F.col("k").alias("own"), "inside"))
+    term = digamma(F.col("own")) - digamma(F.col("size")) - digamma(F.col("inside"))
+    return every.groupBy("pair").agg(F.greatest(F.lit(0.0), digamma(F.sum("n")) + F.sum(F.col("n") * term) / F.sum("n")).alias("mi"))
 
 
 def of_numbers(rows: DataFrame, k: int = NEIGHBOURS) -> float:

@@ -6,17 +6,25 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from cellsight.operators.storage import settled
+from cellsight.operators.storage import stored
+
+#: Rows that one task may order.
+DIRECT = 1 << 18
 
 
 def running_before(rows: DataFrame, by: list[str], order: list[Column | str], sums: list[str]) -> DataFrame:
     """``rows`` with ``<name>_before`` for each name in ``sums``: its sum over the rows of the same group that come earlier.
 
-    Rows are dealt into ranges of (group, order); the table is checkpointed, as the cuts come from a sample. Only the totals of
-    each range and group, at most ranges plus groups, are added up in one place. Group columns must not be null.
+    Rows are stored and dealt into ranges of (group, order), stored again, as the cuts come from a sample. Only the totals of
+    each range and group, at most ranges plus groups, are added up in one place. At most ``DIRECT`` rows are ordered without
+    ranges, to the same sums: no group has more. Group columns must not be null.
     """
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = settled(rows.repartitionByRange(n, *by, *order).withColumn("__part", F.spark_partition_id()))
+    rows = stored(rows)
+    if rows.count() <= DIRECT:
+        w = W.partitionBy(*by).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+        return rows.select(*rows.columns, *[F.coalesce(F.sum(s).over(w), F.lit(0)).alias(f"{s}_before") for s in sums])
+    ranged = stored(rows.repartitionByRange(n, *by, *order).withColumn("__part", F.spark_partition_id()))
     earlier = W.partitionBy(*by).orderBy("__part").rowsBetween(W.unboundedPreceding, -1)
     totals = ranged.groupBy(*by, "__part").agg(*[F.sum(s).alias(f"__t_{s}") for s in sums])
     before = totals.select(*by, "__part", *[F.coalesce(F.sum(f"__t_{s}").over(earlier), F.lit(0)).alias(f"__b_{s}") for s in sums])

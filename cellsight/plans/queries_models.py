@@ -147,7 +147,7 @@ _PSI = I.DIGAMMA_SQL.format
 @query_as(f"""WITH l AS (SELECT 'o_orderstatus' AS pair, o_orderstatus AS label, o_totalprice::DOUBLE AS x FROM orders UNION ALL SELECT 'o_orderpriority', o_orderpriority, o_totalprice::DOUBLE FROM orders),
 a AS (SELECT *, count(*) OVER (PARTITION BY pair, label) AS size, row_number() OVER (PARTITION BY pair, label ORDER BY x) AS i FROM l),
 b AS (SELECT *, lag(x, 1) OVER w AS p1, lag(x, 2) OVER w AS p2, lag(x, 3) OVER w AS p3, lead(x, 1) OVER w AS n1, lead(x, 2) OVER w AS n2, lead(x, 3) OVER w AS n3 FROM a WHERE size > 3 WINDOW w AS (PARTITION BY pair, label ORDER BY i)),
-r AS (SELECT *, list_min(list_filter([n3 - x, CASE WHEN x - p1 > n2 - x THEN x - p1 ELSE n2 - x END, CASE WHEN x - p2 > n1 - x THEN x - p2 ELSE n1 - x END, x - p3], lambda e: e IS NOT NULL)) AS radius FROM b),
+r AS (SELECT *, list_min(list_filter([n3 - x, CASE WHEN p1 + n2 IS NOT NULL THEN greatest(x - p1, n2 - x) END, CASE WHEN p2 + n1 IS NOT NULL THEN greatest(x - p2, n1 - x) END, x - p3], lambda e: e IS NOT NULL)) AS radius FROM b),
 q AS (SELECT row_number() OVER () AS row, pair, label, x, size, radius, x - radius * (1 - 1e-9) AS lo, x + radius * (1 - 1e-9) AS hi FROM r),
 v AS (SELECT pair, x, count(*) AS n FROM q GROUP BY ALL),
 m AS (SELECT q.row, any_value(q.pair) AS pair, any_value(q.size) AS size, any_value(q.radius) AS radius, any_value(q.label) AS label, any_value(q.x) AS x, sum(v.n)::DOUBLE AS inside FROM q JOIN v ON q.pair = v.pair AND v.x >= q.lo AND v.x <= q.hi GROUP BY q.row),

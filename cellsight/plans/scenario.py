@@ -17,7 +17,7 @@ from cellsight.operators import sampling as S
 from cellsight.operators.cluster import CLUSTERINGS
 from cellsight.operators.encode import Scaler
 from cellsight.operators.metrics import weighted_f1
-from cellsight.operators.storage import settled
+from cellsight.operators.storage import settled, stored
 from cellsight.sources.io import Scorer
 
 #: Feature groups left out one at a time.
@@ -31,10 +31,10 @@ def feature_table(wide: DataFrame, masks: dict[str, str], scenario: str = "B", c
     C.require("statistics" not in groups or clean is not None, f"{scenario} needs the clean table")
     C.require("rules" not in groups or rules is not None, f"{scenario} needs rules")
     columns = list(masks)
-    cells = C.unpivot(wide, columns, masks=masks)
+    cells = stored(C.unpivot(wide, columns, masks=masks))  # read by every feature, with its filters and columns
     parts, names = [], []
     if "heuristic" in groups:
-        types = C.detect_types(cells).select("col_name", "col_type")
+        types = settled(C.detect_types(cells).select("col_name", "col_type"))
         extra = [M.h4_coherence(bank, C.errors(cells))] if bank else []
         importance = M.h6_importance(cells, target, types)
         extra.append(C.errors(cells).select("row_idx", "col_name").join(F.broadcast(importance), "col_name", "left"))

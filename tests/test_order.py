@@ -12,6 +12,12 @@ from cellsight.operators import metrics as M
 from cellsight.operators import order
 
 
+@pytest.fixture(autouse=True, params=[0, 1 << 18])
+def direct(request, monkeypatch):
+    """Everything by ranges, and everything in one go."""
+    monkeypatch.setattr(order, "DIRECT", request.param)
+
+
 def test_running_sums_and_numbers(spark):
     rng = random.Random(0)
     rows = [(rng.choice("abc"), k, rng.randint(0, 9)) for k in rng.sample(range(1000), 300)]
