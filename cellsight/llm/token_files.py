@@ -237,7 +237,10 @@ def write_files(docs: DataFrame, root: str, path: str | None = None, end_id: int
             yield flush()
 
     frame = docs.select(docs[id_column].cast("long").alias("doc_id"), docs[text_column].cast("string").alias("text"))
-    ordered = frame.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    # rows that share an id, or have none, go by text and can still be dealt to several tasks
+    keyed = frame.withColumns({"same": F.xxhash64("text"), "tie": F.monotonically_increasing_id()})
+    order = [F.col("doc_id").asc_nulls_first(), "same", "tie"]
+    ordered = keyed.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text")
     return settle(ordered.mapInArrow(run, "part long, file_no long, name string, n_docs long, n_ids long"), "manifest")
 
 
