@@ -112,11 +112,13 @@ def h5_error_pattern(spark, sf_dir):
     return H.h5_error_pattern(order_cells(spark, sf_dir), H.codependent_pairs(ORDER_COLUMNS, PAIRS))
 
 
-@query(f"""WITH f AS ({FX_ORDERS}), p AS (SELECT o_orderpriority AS x, o_orderstatus AS y FROM f WHERE m_p = 0 AND m_s = 0 AND m_t = 0), t AS (SELECT count(*) AS t FROM p),
-j AS (SELECT x, y, count(*) AS n FROM p GROUP BY 1, 2), a AS (SELECT x, count(*) AS nx FROM p GROUP BY 1), b AS (SELECT y, count(*) AS ny FROM p GROUP BY 1)
-SELECT 'o_orderpriority' AS a, 'o_orderstatus' AS b, round(sum(n / t::DOUBLE * ln(n * t / (nx * ny)::DOUBLE)), 6) AS mi FROM j JOIN a USING (x) JOIN b USING (y) CROSS JOIN t""")
+@query(f"""WITH f AS ({FX_ORDERS}), k AS (SELECT * FROM f WHERE m_p = 0 AND m_s = 0 AND m_t = 0),
+p AS (SELECT 'o_orderpriority' AS a, 'o_orderstatus' AS b, o_orderpriority AS x, o_orderstatus AS y FROM k UNION ALL SELECT 'o_orderpriority', 'o_totalprice', o_orderpriority, o_totalprice::VARCHAR FROM k
+  UNION ALL SELECT 'o_orderstatus', 'o_totalprice', o_orderstatus, o_totalprice::VARCHAR FROM k),
+t AS (SELECT a, b, count(*) AS t FROM p GROUP BY 1, 2), j AS (SELECT a, b, x, y, count(*) AS n FROM p GROUP BY 1, 2, 3, 4), c AS (SELECT a, b, x, count(*) AS nx FROM p GROUP BY 1, 2, 3), d AS (SELECT a, b, y, count(*) AS ny FROM p GROUP BY 1, 2, 3)
+SELECT a, b, round(sum(n / t::DOUBLE * ln(n * t / (nx * ny)::DOUBLE)), 6) AS mi FROM j JOIN c USING (a, b, x) JOIN d USING (a, b, y) JOIN t USING (a, b) GROUP BY a, b""")
 def h5_mi_pairs(spark, sf_dir):
-    return H.mutual_information_pairs(order_cells(spark, sf_dir), ORDER_COLUMNS).where("a <> 'o_totalprice' AND b <> 'o_totalprice'").select("a", "b", *r6("mi"))
+    return H.mutual_information_pairs(order_cells(spark, sf_dir), ORDER_COLUMNS).select("a", "b", *r6("mi"))
 
 
 _CLEAN = f"f AS ({FX_ORDERS}), c AS (SELECT *, (dense_rank() OVER (ORDER BY o_orderstatus) - 1)::DOUBLE AS y FROM f WHERE m_p = 0 AND m_s = 0 AND m_t = 0)"

@@ -197,6 +197,13 @@ def scenario_bc_clustered(spark, sf_dir):
     return _scenario(spark, sf_dir, "BC", "kmeans")
 
 
+@query
+def scenario_c(spark, sf_dir):
+    """Scenario C: the signals of the rules alone, uniform seeds."""
+    table, names = scenario.feature_table(X.orders(spark, sf_dir), ORDER_MASKS, "C", rules=RULES)
+    return scenario.run_scenario(table, names)[1]
+
+
 @query
 def rf_cross_validation(spark, sf_dir):
     table, names = scenario.feature_table(X.orders(spark, sf_dir), ORDER_MASKS, "C", rules=RULES)
