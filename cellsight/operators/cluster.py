@@ -191,22 +191,22 @@ def knn_labels(vectors: DataFrame, seeds: DataFrame, k: int = 7) -> DataFrame:
     return near.groupBy("q").agg(F.coalesce(exact, F.when(w >= 0, 1).otherwise(-1)).alias("y_pred")).withColumnRenamed("q", "id")
 
 
-def spread_labels(vectors: DataFrame, seeds: DataFrame, k: int = 7, alpha: float | None = None, rounds: int = 30, tol: float = 1e-3) -> DataFrame:
+def spread_labels(vectors: DataFrame, seeds: DataFrame, k: int = 7, alpha: float | None = None, rounds: int = 1000, tol: float = 1e-3) -> DataFrame:
     """``id, y_pred, score`` over the graph of k nearest neighbours.
 
     With ``alpha`` None seeds keep their labels (propagation), else each node mixes alpha of its neighbours' mean with its own
-    start (spreading). Scores lie between -1 and 1, 0 counts as +1. Every round is checkpointed; it ends when no score moves.
+    start (spreading). Scores lie between -1 and 1, 0 counts as +1. Every round is stored; it ends when no score moves by ``tol``.
     """
     near = neighbours(vectors, vectors, k + 1).where("q <> b")
-    edges = settled(near.select("q", "b").union(near.select(F.col("b"), F.col("q"))).distinct())
+    edges = stored(near.select("q", "b").union(near.select(F.col("b"), F.col("q"))).distinct())
     start = vectors.select("id").join(seeds.select("id", F.col("intent").cast("double").alias("y")), "id", "left")
-    now = settled(start.select("id", "y", F.coalesce("y", F.lit(0.0)).alias("s")))
+    now = stored(start.select("id", "y", F.coalesce("y", F.lit(0.0)).alias("s")))
     for _ in range(rounds):
         mean = edges.join(now.select(F.col("id").alias("b"), "s"), "b").groupBy("q").agg(F.avg("s").alias("m"))
         joined = now.join(mean, now["id"] == mean["q"], "left")
         m = F.coalesce("m", F.lit(0.0))
         step = F.coalesce("y", m) if alpha is None else alpha * m + (1 - alpha) * F.coalesce("y", F.lit(0.0))
-        after = settled(joined.select("id", "y", step.alias("s"), F.col("s").alias("was")))
+        after = stored(joined.select("id", "y", step.alias("s"), F.col("s").alias("was")))
         moved = after.agg(F.max(F.abs(F.col("s") - F.col("was")))).first()[0] or 0.0
         now = after.select("id", "y", "s")
         if moved < tol:

@@ -101,7 +101,7 @@ def _spread(step: str) -> str:
     return f"""WITH RECURSIVE {_LABELLED}, k AS (SELECT q, b FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY d, b) AS i FROM n) WHERE i <= 8 AND q <> b), g AS (SELECT q, b FROM k UNION SELECT b, q FROM k),
 st AS (SELECT v.id, intent::DOUBLE AS y FROM v LEFT JOIN seeds ON v.id = seeds.id),
 it AS (SELECT id, y, coalesce(y, 0)::DOUBLE AS s, 1.0::DOUBLE AS moved, 0 AS r FROM st
-  UNION ALL SELECT id, y, t, max(abs(t - s)) OVER (), r + 1 FROM (SELECT it.id, it.y, it.s, it.r, {step} AS t FROM it LEFT JOIN (SELECT g.q, avg(o.s) AS m FROM g JOIN it o ON g.b = o.id GROUP BY g.q) z ON z.q = it.id WHERE it.moved >= 0.001 AND it.r < 30))
+  UNION ALL SELECT id, y, t, max(abs(t - s)) OVER (), r + 1 FROM (SELECT it.id, it.y, it.s, it.r, {step} AS t FROM it LEFT JOIN (SELECT g.q, avg(o.s) AS m FROM g JOIN it o ON g.b = o.id GROUP BY g.q) z ON z.q = it.id WHERE it.moved >= 0.001 AND it.r < 1000))
 SELECT id, CASE WHEN s >= 0 THEN 1 ELSE -1 END::INT AS y_pred, round(s, 6) AS score FROM it WHERE r = (SELECT max(r) FROM it)"""
 
 
