@@ -199,7 +199,7 @@ def write_files(docs: DataFrame, root: str, path: str | None = None, end_id: int
     """Encode every whole text, append ``end_id`` and write files under ``root`` in ascending order of id; returns the manifest.
 
     The manifest (settled in the shared folder) has a row for each file: ``part, file_no, name, n_docs, n_ids``; a file
-    that it doesn't name belongs to a failed attempt. Order: null ids first, then by id, rows of one id by text. A null or
+    that it doesn't name belongs to a failed attempt. Order: null ids first, then by id, rows of one id as they come. A null or
     empty text is one end id. Rows are dealt out by ranges of ids, so no key gathers in one task.
     """
     path, spark = path or default_path(), docs.sparkSession
@@ -237,9 +237,9 @@ def write_files(docs: DataFrame, root: str, path: str | None = None, end_id: int
             yield flush()
 
     frame = docs.select(docs[id_column].cast("long").alias("doc_id"), docs[text_column].cast("string").alias("text"))
-    # rows that share an id, or have none, go by text and can still be dealt to several tasks
-    keyed = frame.withColumns({"same": F.xxhash64("text"), "tie": F.monotonically_increasing_id()})
-    order = [F.col("doc_id").asc_nulls_first(), "same", "tie"]
+    # rows that share an id, or have none, go as they come and can still be dealt to several tasks; the cuts need no text
+    keyed = frame.withColumn("tie", F.monotonically_increasing_id())
+    order = [F.col("doc_id").asc_nulls_first(), "tie"]
     ordered = keyed.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text")
     return settle(ordered.mapInArrow(run, "part long, file_no long, name string, n_docs long, n_ids long"), "manifest")
 
