@@ -1,10 +1,9 @@
-"""Changed records, alignment of tables that lost rows, places of values among clean ones, and a learnt cell attributor."""
+"""Changed records, places of values among clean ones, and a learnt cell attributor."""
 
 from __future__ import annotations
 
 from functools import reduce
 
-import pandas as pd
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
@@ -18,7 +17,6 @@ from cellsight.operators.heuristics import column_statistics
 from cellsight.operators.models import IntentClassifier
 from cellsight.operators.reference_values import value_codes
 
-LOOK_AHEAD = 20
 CELL_FEATURES = ["z", "abs_z", "place", "share", "known", "length", "digits", "special", "obfuscated", "is_null"]
 
 
@@ -35,25 +33,6 @@ def change_records(pairs: DataFrame, copies: int = 3) -> DataFrame:
     )
 
 
-def align(left: DataFrame, right: DataFrame, group: str = "part", order: str = "position", key: str = "key", ahead: int = LOOK_AHEAD) -> DataFrame:
-    """``part, left_position, right_position``: each left row meets the next equal right row at most ``ahead`` rows on, in order.
-
-    The walk is sequential, so each group (a file, say) is one task's; rows without a partner have a null place.
-    """
-
-    def walk(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        a, b = a.sort_values(order), b.sort_values(order)
-        keys, places, at, out = b[key].tolist(), b[order].tolist(), 0, []
-        for g, p, k in zip(a[group], a[order], a[key]):
-            hit = next((j for j in range(at, min(at + ahead + 1, len(keys))) if keys[j] == k), None)
-            out.append((g, p, None if hit is None else places[hit]))
-            at = at if hit is None else hit + 1
-        return pd.DataFrame(out, columns=[group, "left_position", "right_position"]).astype({"right_position": "Int64"})
-
-    kind = dict(left.dtypes)[group]
-    return left.select(group, order, key).groupBy(group).cogroup(right.select(group, order, key).groupBy(group)).applyInPandas(walk, f"{group} {kind}, left_position long, right_position long")
-
-
 def closest_baseline(results: DataFrame, baselines: DataFrame, metric: str = "f1") -> DataFrame:
     """``method, metric, baseline, gap``: the baseline (a few rows) whose figure is nearest."""
     b = baselines.select(F.col("method").alias("baseline"), F.col(metric).alias("__b"))

@@ -11,6 +11,7 @@ from cellsight.operators import detect, fingerprint, records, rules
 from cellsight.operators import heuristics as H
 from cellsight.operators import reference_values as R
 from cellsight.operators import suspicion
+from cellsight.operators.alignment import align
 from cellsight.plans import fixtures as X
 from cellsight.plans.fixtures import CELLS, FX_LINEITEM, FX_ORDERS, ORDER_COLUMNS, ORDER_MASKS
 
@@ -347,4 +348,11 @@ def key_sets(spark, sf_dir):
 def aligned_rows(spark, sf_dir):
     """Two thirds of each group's rows find their partners again."""
     e = X.table(spark, sf_dir, "events").select(F.col("event_type").alias("part"), F.col("event_id").alias("position"), F.col("event_id").alias("key"))
-    return records.align(e.where("position % 3 <> 0"), e)
+    return align(e.where("position % 3 <> 0"), e)
+
+
+@query("SELECT 'events' AS part, event_id AS left_position, event_id AS right_position FROM events WHERE event_id % 3 <> 0")
+def aligned_table(spark, sf_dir):
+    """The same with all rows in one group, walked in chunks."""
+    e = X.table(spark, sf_dir, "events").select(F.lit("events").alias("part"), F.col("event_id").alias("position"), F.col("event_id").alias("key"))
+    return align(e.where("position % 3 <> 0"), e, chunk=2048)
