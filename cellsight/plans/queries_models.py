@@ -12,6 +12,7 @@ from cellsight.operators import cluster, detect, records
 from cellsight.operators import heuristics as H
 from cellsight.operators import information as I
 from cellsight.operators import models as M
+from cellsight.operators.recurrent import RecurrentAutoencoder
 from cellsight.operators.storage import settled
 from cellsight.plans import fixtures as X
 from cellsight.plans import scenario
@@ -241,6 +242,14 @@ def reconstruction_detector(spark, sf_dir):
     return detect.flag_top(detect.reconstruction_error(_lines(spark, sf_dir), MEASURES), "reconstruction").select("l_orderkey", "l_linenumber", "reconstruction", "flag")
 
 
+@query
+def recurrent_detector(spark, sf_dir):
+    """Customers whose orders an autoencoder doesn't rebuild well; the network and the rounds are the defaults."""
+    o = X.table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("*").cast("double").alias("orders"), F.avg(F.col("o_totalprice").cast("double")).alias("mean"), F.max(F.col("o_totalprice").cast("double")).alias("most"), F.stddev_pop(F.col("o_totalprice").cast("double")).alias("spread"))
+    c = X.table(spark, sf_dir, "customer").select("c_custkey", F.col("c_acctbal").cast("double").alias("balance")).join(o, "c_custkey", "left").na.fill(0.0)
+    return RecurrentAutoencoder(["balance", "orders", "mean", "most", "spread"], "c_custkey").fit(c).transform(c).select("c_custkey", "reconstruction", "flag")
+
+
 @query
 def model_attribution(spark, sf_dir):
     """Decisions of the stub scorer for every flagged order cell, -1 where it gives none."""
