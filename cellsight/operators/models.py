@@ -108,7 +108,8 @@ class PredictorBank:
         n = self.coded.count()
         if clean.count() < max(MIN_CLEAN, n // 20):
             clean = self.coded
-        train = settled(clean.orderBy(F.xxhash64("row_idx", F.lit(self.seed))).limit(self.training_rows) if self.training_rows else clean)
+        self.bins = max(BINS, *[s + 1 for s in self.sizes.values()] or [0])
+        self.train = train = settled(clean.orderBy(F.xxhash64("row_idx", F.lit(self.seed))).limit(self.training_rows) if self.training_rows else clean)
         self.models, self.std = {}, {}
         for c, t in self.types.items():
             others = [f"__e_{o}" for o in self.types if o != c]
@@ -116,7 +117,7 @@ class PredictorBank:
                 continue
             rows = VectorAssembler(inputCols=others, outputCol="__v").transform(train.where(F.col(f"__e_{c}") >= 0) if t == "cat" else train)
             kind = RandomForestClassifier if t == "cat" else RandomForestRegressor
-            self.models[c] = kind(featuresCol="__v", labelCol=f"__e_{c}", numTrees=self.trees, maxDepth=self.depth, seed=self.seed, maxBins=max(BINS, *[s + 1 for s in self.sizes.values()] or [0])).fit(rows)
+            self.models[c] = kind(featuresCol="__v", labelCol=f"__e_{c}", numTrees=self.trees, maxDepth=self.depth, seed=self.seed, maxBins=self.bins).fit(rows)
             self.std[c] = float(train.agg(F.stddev_pop(f"__e_{c}")).first()[0] or 0.0)
         return self
 
@@ -197,8 +198,8 @@ def h6_importance(cells: DataFrame, target: str | None, types: DataFrame) -> Dat
     return spark.createDataFrame(rows, "col_name string, h6_column_importance double")
 
 
-def impute_cells(bank: PredictorBank, flagged: DataFrame, rounds: int = 5, tol: float = 1e-3) -> DataFrame:
-    """``row_idx, col_name, imputed, sigma, confidence, mice_rounds`` of flagged cells (codes for text).
+def impute_cells(bank: PredictorBank, flagged: DataFrame, rounds: int = 5, tol: float = 1e-3, errors: dict[str, float | None] | None = None) -> DataFrame:
+    """``row_idx, col_name, imputed, sigma, confidence, mice_rounds`` of flagged cells (codes for text), and ``sigma_oob`` from given ``errors`` of columns.
 
     Each round predicts every flagged cell from the row with the last round's values in place; rows end when no value moves by
     more than ``tol`` of itself. Every round is checkpointed.
@@ -230,19 +231,11 @@ def impute_cells(bank: PredictorBank, flagged: DataFrame, rounds: int = 5, tol:
         filled = now.groupBy("row_idx").pivot("col_name", list(bank.models)).agg(F.first("imputed"))
         base = rows.join(filled.select("row_idx", *[F.col(f"`{c}`").alias(f"__i_{c}") for c in bank.models]), "row_idx", "left")
         current = settled(base.withColumns({f"__e_{c}": F.coalesce(F.col(f"__i_{c}"), F.col(f"__e_{c}")) for c in bank.models}).drop(*[f"__i_{c}" for c in bank.models]))
-    return last.withColumn("confidence", N.confidence("sigma"))
-
-
-def holdout_errors(bank: PredictorBank, share: float = 0.2) -> dict[str, float]:
-    """Error of each predictor on rows outside its training sample where there are any: stands in for out-of-bag errors."""
-    rows = bank.coded.where("__dirty = 0").where(F.pmod(F.xxhash64("row_idx", F.lit(7)), F.lit(100)) < int(100 * share))
-    out = {}
-    for c, t in bank.types.items():
-        if c in bank.models:
-            p = bank.predict(c, rows)
-            e = F.avg((F.col("observed") != F.col("expected")).cast("double")) if t == "cat" else F.sqrt(F.avg(F.pow(F.col("observed") - F.col("expected"), 2)))
-            out[c] = float(p.agg(e).first()[0] or 0.0)
-    return out
+    out = last.withColumn("confidence", N.confidence("sigma"))
+    if errors is None:
+        return out
+    table = bank.coded.sparkSession.createDataFrame(list(errors.items()), "col_name string, sigma_oob double")
+    return out.join(F.broadcast(table), "col_name", "left").select(*out.columns, "sigma_oob")  # a row for each column
 
 
 def mean_importances(bank: PredictorBank) -> dict[str, float]:

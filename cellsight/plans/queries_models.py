@@ -12,6 +12,7 @@ from cellsight.operators import cluster, detect, records
 from cellsight.operators import heuristics as H
 from cellsight.operators import information as I
 from cellsight.operators import models as M
+from cellsight.operators.bagging import out_of_bag_errors
 from cellsight.operators.recurrent import RecurrentAutoencoder
 from cellsight.operators.storage import settled
 from cellsight.plans import fixtures as X
@@ -213,7 +214,15 @@ def rf_cross_validation(spark, sf_dir):
 
 @query
 def mice_impute(spark, sf_dir):
-    return M.impute_cells(_bank(spark, sf_dir, 5, 4), C.errors(order_cells(spark, sf_dir)), rounds=2)
+    bank = _bank(spark, sf_dir, 5, 4)
+    return M.impute_cells(bank, C.errors(order_cells(spark, sf_dir)), rounds=2, errors=out_of_bag_errors(bank))
+
+
+@query
+def mice_errors(spark, sf_dir):
+    """Out-of-bag error of each order column's predictor."""
+    bank = _bank(spark, sf_dir)
+    return spark.createDataFrame(list(out_of_bag_errors(bank).items()), "col_name string, oob_error double")
 
 
 def _lines(spark, sf_dir) -> DataFrame:
