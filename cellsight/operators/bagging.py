@@ -21,11 +21,8 @@ MOST = 6
 def draws(key: str, tree: int, seed: int = 42) -> Column:
     """How often a row is in a tree's bag: Poisson with mean 1, from a hash; a bag of n rows drawn with replacement tends to it."""
     u = F.pmod(F.xxhash64(F.col(key), F.lit(tree), F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
-    upto, out = 0.0, None
-    for k in range(MOST):
-        upto += math.exp(-1) / math.factorial(k)
-        out = F.when(u < upto, k) if out is None else out.when(u < upto, k)
-    return out.otherwise(MOST)
+    upto = F.array(*[F.lit(math.exp(-1) * sum(1 / math.factorial(j) for j in range(k + 1))) for k in range(MOST)])
+    return F.size(F.filter(upto, lambda c: u >= c))
 
 
 class BaggedForest:
@@ -52,33 +49,35 @@ class BaggedForest:
             if self.classes is None:
                 out = out.withColumnRenamed("prediction", f"__t{i}")
             else:
-                p = vector_to_array("probability")  # a bag may lack the last classes
-                out = out.withColumn(f"__t{i}", F.array(*[F.coalesce(F.get(p, k), F.lit(0.0)) for k in range(self.classes)])).drop("rawPrediction", "probability", "prediction")
+                p = F.concat(vector_to_array("probability"), F.array_repeat(F.lit(0.0), self.classes))  # a bag may lack the last classes
+                out = out.withColumn(f"__t{i}", F.slice(p, 1, self.classes)).drop("rawPrediction", "probability", "prediction")
         return out.drop("__v")
 
-    def _expected(self, use: list[Column]) -> Column:
-        """Mean value, or the class of the greatest total chance (ties: the least code), of the trees that are used; null without any."""
-        n = sum((u.cast("int") for u in use), F.lit(0))
+    def _judged(self, rows: DataFrame, use: list[Column]) -> DataFrame:
+        """``rows`` with ``n_trees`` that are used and their mean value, or class of the greatest total chance (ties: the least code); null without any."""
+        heard = F.filter(F.array(*[F.when(u, F.col(f"__t{i}")) for i, u in enumerate(use)]), lambda a: a.isNotNull())
         if self.classes is None:
-            return sum((F.when(u, F.col(f"__t{i}")).otherwise(0.0) for i, u in enumerate(use)), F.lit(0.0)) / F.nullif(n, F.lit(0))
-        total = F.array(*[sum((F.when(u, F.col(f"__t{i}")[k]).otherwise(0.0) for i, u in enumerate(use)), F.lit(0.0)) for k in range(self.classes)])
-        return F.when(n > 0, F.array_position(total, F.array_max(total)) - 1).cast("double")
+            total = F.aggregate("__heard", F.lit(0.0), lambda s, a: s + a)
+            return self.answers(rows).withColumn("__heard", heard).withColumns({"n_trees": F.size("__heard"), "expected": total / F.nullif(F.size("__heard"), F.lit(0))})
+        total = F.aggregate("__heard", F.array_repeat(F.lit(0.0), self.classes), lambda s, a: F.zip_with(s, a, lambda x, y: x + y))
+        out = self.answers(rows).withColumn("__heard", heard).withColumns({"n_trees": F.size("__heard"), "__total": total})
+        return out.withColumn("expected", F.when(F.col("n_trees") > 0, F.array_position("__total", F.array_max("__total")) - 1).cast("double"))
 
     def predict(self, rows: DataFrame) -> DataFrame:
         """``key, expected`` by all trees."""
-        return self.answers(rows).select(self.key, self._expected([F.lit(True)] * len(self.trees)).alias("expected"))
+        return self._judged(rows, [F.lit(True)] * len(self.trees)).select(self.key, "expected")
 
     def out_of_bag(self, rows: DataFrame) -> DataFrame:
         """``key, observed, expected, n_trees`` of fitted rows by the trees whose bags lack them."""
         lacking = [draws(self.key, i, self.seed) == 0 for i in range(len(self.trees))]
-        return self.answers(rows).select(self.key, F.col(self.label).alias("observed"), self._expected(lacking).alias("expected"), sum((u.cast("int") for u in lacking), F.lit(0)).alias("n_trees"))
+        return self._judged(rows, lacking).select(self.key, F.col(self.label).alias("observed"), "expected", "n_trees")
 
     def error(self, rows: DataFrame) -> float | None:
         """Share of wrong classes, or the squared error over the squared deviation from the mean; None if every row is in every bag."""
-        p = self.out_of_bag(rows).where("expected IS NOT NULL")
+        p = self.out_of_bag(rows)
         if self.classes is not None:
             return p.agg(F.avg((F.col("observed") != F.col("expected")).cast("double"))).first()[0]
-        left, spread = p.agg(F.avg(F.pow(F.col("observed") - F.col("expected"), 2)), F.var_pop("observed")).first()
+        left, spread = p.agg(F.avg(F.pow(F.col("observed") - F.col("expected"), 2)), F.var_pop(F.when(F.col("expected").isNotNull(), F.col("observed")))).first()
         return None if left is None else float(left / spread) if spread else float(left > 0)
 
 
