@@ -8,6 +8,7 @@ from cellsight.functions import decisions as D
 from cellsight.functions import numbers as N
 from cellsight.operators import cells as C
 from cellsight.operators import encode, records, rules
+from cellsight.operators import ensemble as E
 from cellsight.operators import heuristics as H
 from cellsight.operators import metrics as M
 from cellsight.operators import reference_values as R
@@ -165,3 +166,32 @@ def suspicion_weighted(spark, sf_dir):
     whole = SU.combine({"counterfactual": counter, "local": local, "deviation": deviation})
     both = whole.join(local, ["row_idx", "col_name"]).join(counter, ["row_idx", "col_name"])
     return both.select("row_idx", "col_name", *[F.round(c, 5).alias(c) for c in ("local", "counterfactual", "suspicion")])
+
+
+_FLAGS = "(({b} - vb) / ub > 2 OR (vb - {b}) / ub > 2 OR ({n} - vn) / un > 2 OR (vn - {n}) / un > 2)::INT + ({b} < b1 - 1.5 * (b3 - b1) OR {b} > b3 + 1.5 * (b3 - b1) OR {n} < n1 - 1.5 * (n3 - n1) OR {n} > n3 + 1.5 * (n3 - n1))::INT + ({m} > cut)::INT"
+_MAHA = "((({b} - vb) * ({b} - vb) * (cn + 1e-6) - 2 * ({b} - vb) * ({n} - vn) * cbn + ({n} - vn) * ({n} - vn) * (cb + 1e-6)) / ((cb + 1e-6) * (cn + 1e-6) - cbn * cbn))"
+
+
+def _confidence_sql(b: str, n: str) -> str:
+    return f"(({_FLAGS.format(b=b, n=n, m=_MAHA.format(b=b, n=n))}) / 3.0)"
+
+
+@query(f"""WITH t AS ({_CUSTOMERS}), c AS (SELECT * FROM t WHERE mask = 0),
+s AS (SELECT avg(balance) AS mb, stddev_samp(balance) AS sb, avg(nation) AS mn, stddev_samp(nation) AS sn, quantile_cont(balance, 0.5) AS tb, quantile_cont(nation, 0.5) AS tn FROM c),
+a AS (SELECT avg(balance) AS vb, stddev_pop(balance) AS ub, avg(nation) AS vn, stddev_pop(nation) AS un, var_pop(balance) AS cb, var_pop(nation) AS cn, covar_pop(balance, nation) AS cbn, quantile_cont(balance, 0.25) AS b1, quantile_cont(balance, 0.75) AS b3, quantile_cont(nation, 0.25) AS n1, quantile_cont(nation, 0.75) AS n3 FROM t),
+g AS (SELECT quantile_cont({_MAHA.format(b="balance", n="nation")}, 0.99) AS cut FROM t CROSS JOIN a), e AS (SELECT * FROM t CROSS JOIN s CROSS JOIN a CROSS JOIN g WHERE mask <> 0),
+p AS (SELECT e.row_idx AS q, c.balance, c.nation, row_number() OVER (PARTITION BY e.row_idx ORDER BY sqrt(pow((e.balance - mb) / sb - (c.balance - mb) / sb, 2) + pow((e.nation - mn) / sn - (c.nation - mn) / sn, 2)), c.row_idx) AS i FROM e CROSS JOIN c),
+l AS (SELECT q, avg(balance) AS lb, stddev_pop(balance) AS wb, avg(nation) AS ln, stddev_pop(nation) AS wn FROM p WHERE i <= 10 GROUP BY q),
+d AS (SELECT *, greatest(0.0, {_confidence_sql("balance", "nation")} - {_confidence_sql("tb", "nation")}) AS db, greatest(0.0, {_confidence_sql("balance", "nation")} - {_confidence_sql("balance", "tn")}) AS dn FROM e JOIN l ON e.row_idx = q),
+u AS (SELECT row_idx, 'balance' AS col_name, coalesce({_SIGMOID.format("abs(balance - lb) / nullif(wb, 0) - 2")}, 0) AS local, coalesce(db / nullif(greatest(db, dn), 0), 0) AS counterfactual, {_SIGMOID.format("abs(balance - mb) / sb - 3")} AS deviation FROM d
+  UNION ALL SELECT row_idx, 'nation', coalesce({_SIGMOID.format("abs(nation - ln) / nullif(wn, 0) - 2")}, 0), coalesce(dn / nullif(greatest(db, dn), 0), 0), {_SIGMOID.format("abs(nation - mn) / sn - 3")} FROM d)
+SELECT row_idx, col_name, round(counterfactual, 5) AS counterfactual, round(local, 5) AS local, round(deviation, 5) AS deviation, round(0.35 * counterfactual + 0.3 * local + 0.15 * deviation, 5) AS suspicion FROM u""")
+def suspicion_ensemble(spark, sf_dir):
+    """The attributor's scores against the vote of detectors fitted on the whole table."""
+    k = F.col("c_custkey") * 7 % 11 == 0
+    balance = F.col("c_acctbal").cast("double")
+    t = X.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("row_idx"), F.when(k, balance * 3 + 1000).otherwise(balance).alias("balance"), F.col("c_nationkey").cast("double").alias("nation"), k.cast("int").alias("mask"))
+    columns = ["balance", "nation"]
+    model = E.EnsembleDetector([E.ZDetector(columns, 2.0), E.FenceDetector(columns, 1), E.MahalanobisDetector(columns)]).fit(t)
+    out = E.attribute(model, t.where("mask <> 0"), t.where("mask = 0"), C.unpivot(t, columns, masks=dict.fromkeys(columns, "mask")), columns)
+    return out.select("row_idx", "col_name", *[F.round(c, 5).alias(c) for c in ("counterfactual", "local", "deviation", "suspicion")])
