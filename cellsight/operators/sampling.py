@@ -1,7 +1,7 @@
 """Label budgets: how many cells of each cluster are labelled, and which.
 
-Sizes of clusters (tens of rows) come to the driver, where the allocation is worked out; the draw is a window by cluster
-over a hash of the key, so it is the same on any cluster.
+Sizes of clusters (tens of rows) come to the driver, where the allocation is worked out; the draw numbers the rows of each
+cluster by a hash of the key, in ranges, so it is the same on any cluster and no task orders a whole one.
 """
 
 from __future__ import annotations
@@ -9,9 +9,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from cellsight.operators.order import numbered
+
 NOISE = -1
 #: Clusters that an allocation takes at most.
 MAX_CLUSTERS = 100_000
@@ -21,6 +22,13 @@ def draw_key(key: str, seed: int = 42) -> Column:
     return F.xxhash64(F.lit(seed), F.col(key).cast("string"))
 
 
+def ranked(df: DataFrame, by: list[str], order: list[Column | str], name: str = "__r") -> DataFrame:
+    """``df`` with each row's number from 0 in its group; nulls are a group of their own."""
+    if not by:
+        return numbered(df, [], order, name)
+    return numbered(df.withColumn("__g", F.struct(*by)), ["__g"], order, name).drop("__g")
+
+
 def sizes_of(df: DataFrame, cluster: str = "cluster") -> dict:
     rows = df.groupBy(cluster).count().limit(MAX_CLUSTERS + 1).collect()
     if len(rows) > MAX_CLUSTERS:
@@ -94,8 +102,8 @@ def draw(df: DataFrame, allocation: dict, cluster: str = "cluster", order: Colum
         return df.limit(0)
     spark = df.sparkSession
     table = spark.createDataFrame([(k, int(v)) for k, v in allocation.items()], f"{cluster} {dict(df.dtypes)[cluster]}, __n int")
-    rank = F.row_number().over(W.partitionBy(cluster).orderBy(order if order is not None else draw_key(key), key))
-    return df.join(F.broadcast(table), cluster).withColumn("__r", rank).where("__r <= __n").drop("__r", "__n")
+    rows = df.join(F.broadcast(table), cluster)  # at most MAX_CLUSTERS rows
+    return ranked(rows, [cluster], [order if order is not None else draw_key(key), key]).where("__r < __n").drop("__r", "__n")
 
 
 def proportional(df: DataFrame, rate: float, rule: Callable[[dict, int], dict] = without_floor, cluster: str = "cluster", order: Column | None = None, key: str = "row_idx", least: int = 2) -> DataFrame:
@@ -106,7 +114,7 @@ def proportional(df: DataFrame, rate: float, rule: Callable[[dict, int], dict] =
 def uniform(df: DataFrame, rate: float, order: Column | None = None, key: str = "row_idx") -> DataFrame:
     """max(round(n * rate), 2) rows."""
     n = df.count()
-    return df.orderBy(order if order is not None else draw_key(key), key).limit(max(round(n * rate), 2))
+    return ranked(df, [], [order if order is not None else draw_key(key), key]).where(F.col("__r") < max(round(n * rate), 2)).drop("__r")
 
 
 def mixed_pool(df: DataFrame, target: int, cluster: str = "cluster", label: str = "intent", key: str = "row_idx", order: Column | None = None) -> DataFrame:
@@ -120,8 +128,8 @@ def mixed_pool(df: DataFrame, target: int, cluster: str = "cluster", label: str
 
 def folds(df: DataFrame, label: str, k: int = 5, order: Column | None = None, key: str = "row_idx") -> DataFrame:
     """``fold`` 0..k-1, dealt round within each class."""
-    rank = F.row_number().over(W.partitionBy(label).orderBy(order if order is not None else draw_key(key), key))
-    return df.withColumn("fold", ((rank - 1) % k).cast("int"))
+    dealt = ranked(df, [label], [order if order is not None else draw_key(key), key])
+    return dealt.withColumn("fold", (F.col("__r") % k).cast("int")).drop("__r")
 
 
 def group_split(df: DataFrame, group: str, share: float = 0.2, seed: int = 42, order: Column | None = None) -> DataFrame:
@@ -131,15 +139,30 @@ def group_split(df: DataFrame, group: str, share: float = 0.2, seed: int = 42, o
 
 
 def stratified(df: DataFrame, strata: list[str], per: int, order: Column | None = None, key: str = "row_idx") -> DataFrame:
-    rank = F.row_number().over(W.partitionBy(*strata).orderBy(order if order is not None else draw_key(key), key))
-    return df.withColumn("__r", rank).where(F.col("__r") <= per).drop("__r")
+    """The first ``per`` rows of every stratum."""
+    return ranked(df, strata, [order if order is not None else draw_key(key), key]).where(F.col("__r") < per).drop("__r")
+
+
+def stratified_share(df: DataFrame, strata: list[str], share: float, record: str, order: Column | None = None) -> DataFrame:
+    """All rows of a ``share`` of the records: every stratum gives its share of records, at least one, which are then trimmed or
+    topped up to the share of all records (rounded down). Trimmed are the last of those chosen, added the first of the others.
+    Null records are none; null strata are a stratum."""
+    order = order if order is not None else draw_key(record)
+    own = df.where(F.col(record).isNotNull()).select(F.struct(*strata).alias("__s"), record).distinct()
+    wanted = own.groupBy("__s").agg(F.greatest(F.lit(1), F.floor(F.count("*") * F.lit(share))).alias("__n"))
+    chosen = ranked(own, ["__s"], [order, record]).join(wanted, "__s").where("__r < __n").select(record).distinct().withColumn("__chosen", F.lit(1))
+    records = own.select(record).distinct().join(chosen, record, "left").withColumn("__chosen", F.coalesce("__chosen", F.lit(0)))
+    target = int(records.count() * share)
+    kept = ranked(records, [], [F.desc("__chosen"), order, record]).where(F.col("__r") < target).select(record)
+    return df.join(kept, record, "left_semi")
 
 
 def validation_sample(df: DataFrame, labelled: Column, size: int, key: str = "row_idx", order: Column | None = None) -> DataFrame:
     """All labelled rows and others up to ``size``; a row of unknown label counts as one without."""
     known = F.coalesce(labelled, F.lit(False))
     own = df.where(known)
-    return own.unionByName(df.where(~known).orderBy(order if order is not None else draw_key(key), key).limit(max(0, size - own.count())))
+    others = ranked(df.where(~known), [], [order if order is not None else draw_key(key), key])
+    return own.unionByName(others.where(F.col("__r") < max(0, size - own.count())).drop("__r"))
 
 
 def guesses(df: DataFrame, kind: str = "random", share: float = 0.5, seed: int = 42, key: str = "row_idx") -> DataFrame:

@@ -284,6 +284,16 @@ def stratified_records(spark, sf_dir):
     return S.stratified(X.table(spark, sf_dir, "orders"), ["o_orderpriority", "o_orderstatus"], 10, (F.col("o_orderkey") * 7919 + 13) % 100003, "o_orderkey").select("o_orderkey", "o_orderpriority", "o_orderstatus")
 
 
+@query("""WITH l AS (SELECT l_orderkey, l_linenumber, l_returnflag, l_linestatus, (l_orderkey * 7919 + 13) % 100003 AS k FROM lineitem), p AS (SELECT DISTINCT l_returnflag, l_linestatus, l_orderkey, k FROM l),
+r AS (SELECT *, row_number() OVER w AS i, count(*) OVER (PARTITION BY l_returnflag, l_linestatus) AS n FROM p WINDOW w AS (PARTITION BY l_returnflag, l_linestatus ORDER BY k, l_orderkey)),
+c AS (SELECT l_orderkey, k, max((i <= greatest(1, floor(n * 0.05)))::INT) AS chosen FROM r GROUP BY 1, 2), o AS (SELECT l_orderkey, row_number() OVER (ORDER BY chosen DESC, k, l_orderkey) AS i, count(*) OVER () AS n FROM c)
+SELECT l_orderkey, l_linenumber, l_returnflag, l_linestatus FROM l JOIN o USING (l_orderkey) WHERE i <= floor(n * 0.05)""")
+def stratified_share(spark, sf_dir):
+    """A twentieth of the orders, by flag and status of their lines, trimmed to the target."""
+    li = X.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", "l_linestatus")
+    return S.stratified_share(li, ["l_returnflag", "l_linestatus"], 0.05, "l_orderkey", (F.col("l_orderkey") * 7919 + 13) % 100003)
+
+
 @query("SELECT * EXCLUDE (i, own) FROM (SELECT *, row_number() OVER (PARTITION BY toxic = 1 ORDER BY (doc_id * 7919 + 13) % 100003, doc_id) AS i, (SELECT count(*) FROM labels WHERE toxic = 1) AS own FROM labels) WHERE toxic = 1 OR i <= 200 - own")
 def validation_sample(spark, sf_dir):
     return S.validation_sample(X.table(spark, sf_dir, "labels"), F.col("toxic") == 1, 200, "doc_id", (F.col("doc_id") * 7919 + 13) % 100003)
