@@ -7,7 +7,6 @@ from functools import reduce
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cellsight.functions import numbers as N
@@ -15,7 +14,9 @@ from cellsight.functions import text as T
 from cellsight.operators import cells as C
 from cellsight.operators.heuristics import column_statistics
 from cellsight.operators.models import IntentClassifier
+from cellsight.operators.order import running_before
 from cellsight.operators.reference_values import value_codes
+from cellsight.operators.suspicion import value_shares
 
 CELL_FEATURES = ["z", "abs_z", "place", "share", "known", "length", "digits", "special", "obfuscated", "is_null"]
 
@@ -43,13 +44,14 @@ def closest_baseline(results: DataFrame, baselines: DataFrame, metric: str = "f1
 def strict_percentile(values: DataFrame, clean: DataFrame) -> DataFrame:
     """``row_idx, col_name, below``: share of a column's clean numbers that are less. Inputs are (row_idx, col_name, x).
 
-    Both sides are reduced to distinct values before they are ordered.
+    Both sides are reduced to distinct values, which are added up in ranges.
     """
     known = clean.where("x IS NOT NULL").groupBy("col_name", "x").agg(F.count("*").alias("n"))
     asked = values.where("x IS NOT NULL").select("col_name", "x", F.lit(0).cast("long").alias("n")).distinct()
     both = known.unionByName(asked).groupBy("col_name", "x").agg(F.sum("n").alias("n"))
-    w = W.partitionBy("col_name")
-    share = both.select("col_name", "x", (F.coalesce(F.sum("n").over(w.orderBy("x").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)) / F.nullif(F.sum("n").over(w), F.lit(0))).alias("below"))
+    totals = both.groupBy("col_name").agg(F.sum("n").alias("total"))
+    placed = running_before(both, ["col_name"], ["x"], ["n"]).join(F.broadcast(totals), "col_name")  # a row for each column
+    share = placed.select("col_name", "x", (F.col("n_before") / F.nullif("total", F.lit(0))).alias("below"))
     return values.join(share, ["col_name", "x"]).select("row_idx", "col_name", "below")
 
 
@@ -68,7 +70,7 @@ def cell_vectors(cells: DataFrame) -> DataFrame:
     """Ten features of every cell against its column's clean cells."""
     stats = column_statistics(cells).select("col_name", "col_type", "mean", "std_samp")
     freq = cells.where("mask = 0 AND value IS NOT NULL").groupBy("col_name", "value").agg(F.count("*").alias("k"))
-    share = freq.select("col_name", "value", (F.col("k") / F.sum("k").over(W.partitionBy("col_name"))).alias("share"))
+    share = value_shares(freq)
     numbers = cells.select("row_idx", "col_name", N.number("value").alias("x"), "mask").where("x IS NOT NULL")
     place = strict_percentile(numbers.drop("mask"), numbers.where("mask = 0"))
     j = cells.join(F.broadcast(stats), "col_name").join(share, ["col_name", "value"], "left").join(place, ["row_idx", "col_name"], "left")

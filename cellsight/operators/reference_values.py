@@ -5,12 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cellsight.functions import numbers as N
 from cellsight.functions import text as T
-from cellsight.operators.order import column_quantiles, medians
+from cellsight.operators.order import column_quantiles, medians, numbered
 
 
 def typical(df: DataFrame, by: list[str], columns: dict[str, str], name: Callable[[str], str]) -> DataFrame:
@@ -65,7 +64,7 @@ def lookup(df: DataFrame, table: DataFrame, key: str, value: str, default) -> Da
 def value_codes(pairs: DataFrame) -> DataFrame:
     """``col_name, v, code``: values of a column (old or new) numbered from 0 in order."""
     values = pairs.select("col_name", F.explode(F.array("old", "new")).alias("v")).where("v IS NOT NULL").distinct()
-    return values.select("col_name", "v", (F.row_number().over(W.partitionBy("col_name").orderBy("v")) - 1).alias("code"))
+    return numbered(values.where("col_name IS NOT NULL"), ["col_name"], ["v"], "code").withColumn("code", F.col("code").cast("int"))
 
 
 def change_statistics(pairs: DataFrame, columns: list[str]) -> DataFrame:

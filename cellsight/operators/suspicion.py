@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cellsight.functions import numbers as N
@@ -13,11 +12,17 @@ from cellsight.operators.heuristics import column_statistics
 WEIGHTS = {"counterfactual": 0.35, "local": 0.30, "validator": 0.20, "deviation": 0.15}
 
 
+def value_shares(counts: DataFrame) -> DataFrame:
+    """``col_name, value, share`` of counted values (``k``): each count over its column's total."""
+    totals = counts.groupBy("col_name").agg(F.sum("k").alias("total"))
+    return counts.join(F.broadcast(totals), "col_name").select("col_name", "value", (F.col("k") / F.col("total")).alias("share"))  # a row for each column
+
+
 def deviation_scores(cells: DataFrame, statistics: DataFrame | None = None) -> DataFrame:
     """``row_idx, col_name, deviation``: sigmoid of |z| - 3 for numbers (sample deviation), 1 - relative frequency for text, 1 if unknown."""
     stats = statistics if statistics is not None else column_statistics(cells)
     freq = cells.where("mask = 0 AND value IS NOT NULL").groupBy("col_name", "value").agg(F.count("*").alias("k"))
-    share = freq.select("col_name", "value", (F.col("k") / F.sum("k").over(W.partitionBy("col_name"))).alias("share"))
+    share = value_shares(freq)
     j = cells.join(F.broadcast(stats.select("col_name", "col_type", "mean", "std_samp")), "col_name").join(share, ["col_name", "value"], "left")
     z = F.abs((N.number("value") - F.col("mean")) / F.nullif("std_samp", F.lit(0.0)))
     s = F.when(F.col("col_type") == "num", F.coalesce(N.sigmoid(z - 3), F.lit(0.0))).otherwise(1 - F.coalesce("share", F.lit(0.0)))
