@@ -14,7 +14,9 @@ validity u8[] and the end of every document u64[]. Arrays start at multiples of
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import uuid
 import zlib
 from array import array
@@ -28,6 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from cellsight.llm.bpe import byte_alphabet
 from cellsight.llm.common import bound_batches, chunks, scratch_path, settle, texts_of
 
 MAGIC = b"DACT"
@@ -38,6 +41,19 @@ FILE_IDS = 4 << 20
 #: Bounds of one generation of the cache of encoded words, and of the length of a word kept there.
 MAX_WORDS = 300_000
 LONG_WORD = 64
+#: The settings under which a piece that ``PLAIN`` matches is the two words of the model that it finds.
+NORMALISER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+SPLITTER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+LETTERS, MARKS = "[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]", r"[!-/:-@\[-`{-~]"
+PLAIN = re.compile(f"({LETTERS}+)({MARKS}*)")
+PLAIN_PART = re.compile(f"{LETTERS}*{MARKS}*")
+STAND_INS = {b: c for c, b in byte_alphabet().items()}
 
 
 def _padded(b: bytes) -> bytes:
@@ -127,6 +143,8 @@ class WordEncoder:
     """Ids of whole texts by the tokenizers library, which sees every distinct white-space-free piece once while it is cached.
 
     The file's normaliser and splitter never look across ASCII white space, so a text's ids are those of its pieces in turn.
+    With the known normaliser and splitter a piece of Latin-1 letters and ASCII marks after them is two words of the model, the
+    letters in lower case and the marks; the library's model gets such words directly, each once while it is cached.
     """
 
     def __init__(self, path: str):
@@ -136,9 +154,14 @@ class WordEncoder:
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        special = sorted(i for i, t in self.library.get_added_tokens_decoder().items() if t.special and not (t.single_word or t.lstrip or t.rstrip))
+        added = self.library.get_added_tokens_decoder()
+        special = sorted(i for i, t in added.items() if t.special and not (t.single_word or t.lstrip or t.rstrip))
         self.mark_id = special[0] if special else None
         self.mark = self.library.id_to_token(special[0]) if special else None
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        known = (spec.get("normalizer"), spec.get("pre_tokenizer")) == (NORMALISER, SPLITTER) and not any(PLAIN_PART.fullmatch(t.content) for t in added.values())
+        self.model = self.library.model if known else None
         self.fresh: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
 
@@ -156,28 +179,42 @@ class WordEncoder:
             out += [raw[a:b] for a, b in zip(begins.tolist(), ends.tolist())]
         return out
 
+    def _model_word(self, word: str) -> bytes:
+        """Packed ids of a normalised word that the splitter leaves whole."""
+        key = word.encode()
+        ids = self.fresh.get(key)
+        if ids is None:
+            ids = self.old.get(key)
+            if ids is None:
+                # the model works on the printable stand-ins of the bytes
+                ids = array("I", [t.id for t in self.model.tokenize(word if word.isascii() else key.decode("latin-1").translate(STAND_INS))]).tobytes()
+            if len(key) <= LONG_WORD:
+                self.fresh[key] = ids
+        return ids
+
     def encode_packed(self, texts: list[str]) -> list[bytes]:
         found = [t.encode().split() for t in texts]
-        need = set()
-        for parts in found:
-            need.update(parts)
         if len(self.fresh) > MAX_WORDS:
             self.old, self.fresh = self.fresh, {}
-        fresh, old, here, missing = self.fresh, self.old, {}, []
-        for w in need:
-            ids = fresh.get(w)
+        fresh, old, odd, long = self.fresh, self.old, [], []
+        plain, model_word = PLAIN.fullmatch if self.model else lambda w: None, self._model_word
+        for w in set().union(*found).difference(fresh):
+            ids = old.get(w)
             if ids is None:
-                ids = old.get(w)
-                if ids is None:
-                    missing.append(w)
+                if len(w) > LONG_WORD:
+                    long.append(w)
+                m = plain(w.decode())
+                if m is None:
+                    odd.append(w)
                     continue
-                fresh[w] = ids
-            here[w] = ids
-        for w, ids in zip(missing, self._encode_pieces([w.decode() for w in missing])):
-            here[w] = ids
-            if len(w) <= LONG_WORD:
-                fresh[w] = ids
-        return [b"".join(map(here.__getitem__, parts)) for parts in found]
+                letters, marks = m.groups()
+                ids = model_word(letters.lower()) + model_word(marks) if marks else model_word(letters.lower())
+            fresh[w] = ids
+        fresh.update(zip(odd, self._encode_pieces([w.decode() for w in odd])))
+        out = [b"".join(map(fresh.__getitem__, parts)) for parts in found]
+        for w in long:
+            del fresh[w]
+        return out
 
 
 @lru_cache(2)

@@ -52,6 +52,42 @@ def test_token_files(spark, monkeypatch):
     assert len(twice) == 2 * len(rows) and sum(r["n_tokens"] for r in twice) == 2 * start
 
 
+ODD = ["a", "É", "ß", "İ", "Σ", "ª", "µ", "×", "÷", "ÿ", "日", "1", "'", "'S", "'ll", ".", ",", "!", "~", "\u0301", "\u0338", "=", "<", "\x1c", "\xa0", "\u2003", "\x00", "<|endoftext|>", "<|", "|>", "_", " ", "\n", "the"]
+
+
+def test_words_of_one_stem_go_to_the_model_once(monkeypatch):
+    lib = library("word_bpe_49k.json")
+    tok = token_files.WordEncoder(public_tokenizers.path("word_bpe_49k.json"))
+    asked, whole, model = [], [], tok.library.model
+
+    class Model:
+        def tokenize(self, word):
+            asked.append(word)
+            return model.tokenize(word)
+
+    pieces, tok.model = tok._encode_pieces, Model()
+    monkeypatch.setattr(tok, "_encode_pieces", lambda odd: whole.extend(odd) or pieces(odd))
+    text = "Zebra zebra, zebra. ZEBRA!! (zebra) zebra's ÉTÉ, été !!"
+    for _ in range(2):
+        assert np.frombuffer(tok.encode_packed([text])[0], "<u4").tolist() == lib.encode(text, add_special_tokens=False).ids
+    assert len(asked) == len(set(asked)) == 5 and asked.count("zebra") == 1 and "(zebra)" in whole and "zebra," not in whole
+
+
+@pytest.mark.parametrize("limits", [(300_000, 64), (3, 2)])
+def test_words_equal_the_library(monkeypatch, limits):
+    monkeypatch.setattr(token_files, "MAX_WORDS", limits[0])
+    monkeypatch.setattr(token_files, "LONG_WORD", limits[1])
+    lib = library("word_bpe_49k.json")
+    tok = token_files.WordEncoder(public_tokenizers.path("word_bpe_49k.json"))
+    rng = random.Random(4)
+    texts = ["".join(rng.choice(ODD) for _ in range(rng.randint(0, 30))) for _ in range(2000)] + ["ab" * 3000 + ".", "É" * 65 + " " + "é" * 65 + ",", "x" + "!" * 200, ""]
+    texts += [f"{chr(c)}{mark} x{chr(c)}{mark}" for c in range(0x21, 0x250) for mark in ("", ".", "'", "<")]
+    for i in range(0, len(texts), 500):
+        part = texts[i : i + 500]
+        assert [np.frombuffer(x, "<u4").tolist() for x in tok.encode_packed(part)] == [e.ids for e in lib.encode_batch(part, add_special_tokens=False)]
+    assert all(len(w) <= limits[1] for w in tok.fresh)
+
+
 def test_packing(spark):
     lib = library("byte_bpe_50k.json")
     rng = random.Random(2)
