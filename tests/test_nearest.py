@@ -74,3 +74,36 @@ def test_links_join_what_chains_join_without_all_pairs(spark):
     roots = {r["id"]: r["root"] for r in cluster.connected(links, frame(spark, x).select("id")).collect()}
     assert set(roots.values()) == {0, 300}
     assert frame(spark, x).select(F.max("id")).first()[0] == 499
+
+
+@pytest.mark.parametrize("metric", ["euclidean", "manhattan", "chebyshev"])
+def test_wide_vectors_bounded_in_single_precision_give_exact_neighbours(spark, metric):
+    rng = np.random.default_rng(5)
+    x = rng.normal(1000, 1, (300, 40)).astype(np.float32).astype(float)  # far from the origin
+    x[250:] = x[:50] + rng.normal(0, 1e-7, (50, 40))  # nearer than single precision can tell
+    got = nearest.neighbours(frame(spark, x), frame(spark, x), 4, metric, 64).collect()
+    d = nearest.distances(x, x, metric)
+    found = {}
+    for r in got:
+        found.setdefault(r["q"], {})[r["rank"]] = r["b"]
+    assert found == {i: dict(enumerate(sorted(range(300), key=lambda j: (d[i, j], j))[:4], 1)) for i in range(300)}
+
+
+def test_no_vector_is_copied_for_a_visit(spark):
+    """In many dimensions every query visits every cell; what tasks exchange stays in proportion to the vectors."""
+    from cellsight.operators import storage
+
+    rng = np.random.default_rng(6)
+    x = rng.normal(0, 1, (3000, 32))
+    root = storage.shared_root(spark.range(1))
+    before = _written(spark)
+    assert nearest.neighbours(frame(spark, x), frame(spark, x), 3).count() == 9000
+    assert root and _written(spark) - before < 10 * x.nbytes
+
+
+def _written(spark):
+    """Bytes that shuffles have written so far."""
+    store = spark.sparkContext._jsc.sc().statusStore()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    stages = store.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0), None)
+    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
