@@ -4,12 +4,13 @@ import math
 import random
 
 import pytest
+from pyspark.ml.clustering import GaussianMixture
 from pyspark.sql import functions as F
 
 from cellsight.functions import decisions as D
 from cellsight.functions import numbers as N
 from cellsight.operators import cells as C
-from cellsight.operators import cluster, detect, encode, rules
+from cellsight.operators import cluster, detect, encode, records, rules
 from cellsight.operators import metrics as M
 from cellsight.operators import sampling as S
 from cellsight.sources import io
@@ -113,6 +114,27 @@ def test_label_spread(spark):
     assert all(got[i] == 1 for i in range(10)) and all(got[i] == -1 for i in range(10, 20))
 
 
+def test_mixture_counts_equal_rows_first(spark):
+    rows = [(float(i % 3), float(i % 2) + (5.0 if i % 3 == 2 else 0.0)) for i in range(300)]
+    df = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(rows)], "id long, a double, b double")
+    seen = []
+    fit = GaussianMixture._fit
+    GaussianMixture._fit = lambda self, d: seen.append(d.count()) or fit(self, d)
+    try:
+        got = detect.mixture_score(df, ["a", "b"], 2).groupBy("a", "b").agg(F.count_distinct("nll").alias("k"), F.count("*").alias("n")).collect()
+    finally:
+        GaussianMixture._fit = fit
+    assert seen == [6] and all(r["k"] == 1 and r["n"] == 50 for r in got)
+
+
+def test_learned_suspicion_works_out_its_features_once(spark, monkeypatch):
+    cells = spark.createDataFrame([(i, c, str(i % 7), 1 if i % 5 == 0 else 0) for i in range(60) for c in ("a", "b")], "row_idx long, col_name string, value string, mask int")
+    plans = []
+    monkeypatch.setattr(records, "IntentClassifier", lambda *a: type("Stub", (), {"fit": lambda self, d: plans.append(d._jdf.queryExecution().optimizedPlan().toString()) or self, "transform": lambda self, d: d.withColumn("proba", F.lit(0.5))})())
+    assert records.learned_suspicion(cells, ["a", "b"]).count() == 120
+    assert len(plans) == 2 and not any("Join" in p for p in plans)
+
+
 def test_isolation_forest(spark):
     df = spark.createDataFrame([(i, float(i % 10), float(i % 7)) for i in range(200)] + [(999, 500.0, -300.0)], "id long, a double, b double")
     top = detect.isolation_forest(df, ["a", "b"], "id", 50).orderBy(F.desc("score")).first()
