@@ -16,6 +16,7 @@ from cellsight.operators.heuristics import column_statistics
 from cellsight.operators.models import IntentClassifier
 from cellsight.operators.order import running_before
 from cellsight.operators.reference_values import value_codes
+from cellsight.operators.storage import stored
 from cellsight.operators.suspicion import value_shares
 
 CELL_FEATURES = ["z", "abs_z", "place", "share", "known", "length", "digits", "special", "obfuscated", "is_null"]
@@ -83,8 +84,11 @@ def cell_vectors(cells: DataFrame) -> DataFrame:
 
 
 def learned_suspicion(cells: DataFrame, columns: list[str], trees: int = 20, depth: int = 6) -> DataFrame:
-    """``row_idx, col_name, suspicion``: chance of being flagged, from a forest for each column (of the schema)."""
-    vectors = cell_vectors(cells).withColumn("flagged", F.when(F.col("mask") != 0, 1).otherwise(-1))
+    """``row_idx, col_name, suspicion``: chance of being flagged, from a forest for each column (of the schema).
+
+    Features are stored once: every pass of every forest reads them.
+    """
+    vectors = stored(cell_vectors(cells).withColumn("flagged", F.when(F.col("mask") != 0, 1).otherwise(-1)))
     parts = []
     for c in columns:
         own = vectors.where(F.col("col_name") == c)
